@@ -32,9 +32,14 @@ def inline_table(spark: SparkSession, columns: str, rows: Sequence[tuple]) -> Da
 
 
 def rnd(column: Column | str, digits: int) -> Column:
-    """Round for reporting; adding zero turns -0.0 into 0.0."""
+    """Round half away from zero in binary arithmetic; adding zero turns -0.0 into 0.0.
+
+    ``round(x, n)`` on a double goes through its decimal text, which other engines do not do,
+    so ties such as 1.005 would differ between them.
+    """
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column, digits) + F.lit(0.0)
+    scale = F.lit(10.0**digits)
+    return F.round(column * scale, 0) / scale + F.lit(0.0)
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -50,27 +55,37 @@ def trimmed(column: Column) -> Column:
     return F.regexp_replace(column, r"^\s+|\s+$", "")
 
 
-def as_number(column: Column) -> Column:
-    """Text cell to double; null tokens, error tokens and junk all become null."""
-    text = F.trim(column)
-    blocked = F.lower(text).isin(ref.NULL_TOKENS + ref.ERROR_TOKENS) | text.rlike("[dDfF]$")
-    return F.when(~blocked, F.replace(text, F.lit(","), F.lit("")).try_cast("double"))
+# a whole-cell number, with thousands separators allowed
+NUMBER_CELL = r"(?i)^\\s*[+-]?(?:[0-9,]+\\.?[0-9,]*|\\.[0-9]+)(?:e[+-]?[0-9]+)?\\s*$|^\\s*[+-]?inf(?:inity)?\\s*$"
+
+
+def as_number(name: str) -> Column:
+    """Text column to double; null tokens, error tokens and junk all become null.
+
+    One anchored pattern admits numbers, so no token list has to be tested per cell and a
+    failing cast never raises and catches inside the scan.
+    """
+    return F.expr(
+        f"CASE WHEN `{name}` RLIKE '{NUMBER_CELL}' THEN try_cast(replace(`{name}`, ',', '') AS double) END"
+    )
+
 
+def quoted_list(values: Sequence[str]) -> str:
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
 
-def cell_kind(column: Column) -> Column:
+
+def cell_kind(name: str) -> Column:
     """number, null, error or unparseable."""
-    lowered = F.lower(F.trim(column))
-    return (
-        F.when(column.isNull() | lowered.isin(ref.NULL_TOKENS), "null")
-        .when(lowered.isin(ref.ERROR_TOKENS), "error")
-        .when(as_number(column).isNull(), "unparseable")
-        .otherwise("number")
+    return F.expr(
+        f"CASE WHEN `{name}` IS NULL THEN 'null' WHEN `{name}` RLIKE '{NUMBER_CELL}' THEN 'number' "
+        f"WHEN lower(trim(`{name}`)) IN ({quoted_list(ref.NULL_TOKENS)}) THEN 'null' "
+        f"WHEN lower(trim(`{name}`)) IN ({quoted_list(ref.ERROR_TOKENS)}) THEN 'error' ELSE 'unparseable' END"
     )
 
 
-def as_category(column: Column) -> Column:
+def as_category(name: str) -> Column:
     """Trimmed text; cells a workbook reader treats as missing become null."""
-    return F.when(~column.isin(ref.READER_NA_TOKENS), F.trim(column))
+    return F.expr(f"CASE WHEN `{name}` NOT IN ({quoted_list(ref.READER_NA_TOKENS)}) THEN trim(`{name}`) END")
 
 
 def literal_map(values: Mapping[str, float | int | str]) -> Column:

@@ -315,7 +315,7 @@ def _(t: Inputs):
                          ("distance", "fuel_per_distance_kg_per_nmi"))
     ]))
     counted = t.filings.select(cells.alias("c")).groupBy("c.cell", "c.raw").agg(F.count(F.lit(1)).alias("cells"))
-    return counted.select("cell", "raw", as_number(F.col("raw")).alias("parsed"), "cells")
+    return counted.select("cell", "raw", as_number("raw").alias("parsed"), "cells")
 
 
 KIND = (
@@ -487,7 +487,7 @@ def _(t: Inputs):
 @query("flagship_class_period", """
 SELECT vessel_class, reporting_period, count(*) AS ship_years, round(quantile_cont(mean_speed_kn, 0.5), 8) + 0e0 AS median_speed_kn,
   round(avg(energy_per_nmi_mj), 6) + 0e0 AS mean_energy_per_nmi_mj,
-  round(sum(energy_mj) * 0.45e0 / 1e9 * 201.48345864661654e0, 3) + 0e0 AS mgo_ktco2e
+  round(sum(energy_mj * 0.45e0) * (1e0 / 0.45e0 * (14.4e0 / 1e6 + 3.206e0 / 42.7e0 / 1000e0 + 0.001171e0 / 1e6 * 29.8e0 + 0.004215e0 / 1e6 * 273e0)) / 1000e0, 3) + 0e0 AS mgo_ktco2e
 FROM (SELECT u.*, COALESCE(a.vessel_class, 'other') AS vessel_class FROM o_usable u LEFT JOIN o_alias a ON a.label = lower(trim(u.ship_type)))
 GROUP BY ALL""")
 def flagship(t: Inputs):

@@ -130,19 +130,22 @@ def typed_filings(text: DataFrame, keep: Iterable[str] = ("file_order", "source_
     kept = [c for c in keep if c in text.columns]
     columns = []
     for name, _, dimension, _, _, _ in ref.FILING_COLUMNS:
-        source = F.col(name) if name in text.columns else F.lit(None).cast("string")
-        if name == "imo":
-            columns.append(as_number(source).try_cast("bigint").alias(name))
+        if name not in text.columns:
+            kind = {"imo": "bigint", "reporting_period": "int"}.get(
+                name, "double" if dimension in ref.NUMERIC_DIMENSIONS else "string")
+            column = F.lit(None).cast(kind)
+        elif name == "imo":
+            column = as_number(name).try_cast("bigint")
         elif name == "reporting_period":
-            stated = F.round(as_number(source)).try_cast("int")
+            column = F.round(as_number(name)).try_cast("int")
             if "source_file" in kept:
                 found = F.regexp_extract("source_file", PERIOD_PATTERN, 0)
-                stated = F.coalesce(stated, F.when(found != "", found).cast("int"))
-            columns.append(stated.alias(name))
+                column = F.coalesce(column, found.try_cast("int"))
         elif dimension in ref.NUMERIC_DIMENSIONS:
-            columns.append(as_number(source).alias(name))
+            column = as_number(name)
         else:
-            columns.append(as_category(source).alias(name))
+            column = as_category(name)
+        columns.append(column.alias(name))
     return text.select(*kept, *columns)
 
 
@@ -152,7 +155,7 @@ def cell_kinds(text: DataFrame, keys: Sequence[str] = ("source_file",)) -> DataF
         n for n, _, d, *_ in ref.FILING_COLUMNS if d in ref.NUMERIC_DIMENSIONS and n in text.columns
     ]
     cells = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col(n).alias("text"), cell_kind(F.col(n)).alias("kind"))
+        F.struct(F.lit(n).alias("column"), F.col(n).alias("text"), cell_kind(n).alias("kind"))
         for n in names
     ]))
     return text.select(*keys, cells.alias("c")).select(*keys, "c.*")
