@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bunkerline import dims
 from bunkerline.operators import derive
+from bunkerline.session import spread_small_scan, tune
 from bunkerline.sources import filings as filing_source
 from bunkerline.sources.views import BASE_TABLES, VIEWS, portable_sql, read_view
 
@@ -26,9 +27,10 @@ class Inputs:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._views: dict[str, DataFrame] = {}
+        tune(spark)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread_small_scan(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
 
     def view(self, name: str) -> DataFrame:
         if name not in self._views:

@@ -39,3 +39,30 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to the shared folder so lost executors do not replay the whole history."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def tune(spark: SparkSession) -> None:
+    """Session settings the wide projections need.
+
+    The JVM does not compile methods above 8,000 bytecodes; a fused stage over dozens of text
+    columns passes that and would run interpreted. Below the limit Spark splits it instead.
+    """
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
+SPREAD_FROM_BYTES = 4 << 20
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than cores.
+
+    One row group is one task. A few-MB file would pin the whole narrow stage behind it to one
+    core; a table large enough to fill the cores with its own splits is left alone.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    cores = spark.sparkContext.defaultParallelism
+    if SPREAD_FROM_BYTES <= size < cores * SPREAD_FROM_BYTES * 4 and df.rdd.getNumPartitions() < cores // 2:
+        return df.repartition(cores)
+    return df
