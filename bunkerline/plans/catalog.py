@@ -1,5 +1,5 @@
 """Importing this module registers every query."""
 
-from bunkerline.plans import energy, ingest, panel, planning  # noqa: F401
+from bunkerline.plans import energy, fitting, ingest, panel, planning  # noqa: F401
 
 FLAGSHIP = "flagship_class_period"

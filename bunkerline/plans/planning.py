@@ -60,7 +60,7 @@ FROM (SELECT *, CASE WHEN compatible_routes_text IS NOT NULL AND NOT list_contai
      WHEN NOT ok THEN 'fuel_availability' WHEN range_n < nmi * (1e0 - 1e-9) THEN 'range' WHEN late > 0 THEN 'schedule' WHEN trips0 <= 0 THEN 'no_trips_possible' END AS failure
   FROM (SELECT *, tank_volume_m3 * 1000e0 * dens * 0.95e0 / e * (1e0 - 0.15e0) AS range_n,
       greatest(0e0, nmi * e / (1e0 - 0.15e0) / (dens * 1000e0) / 0.95e0 - nmi * e / (1e0 - 0.15e0) / (42.7e0 * 890e0 / 1000e0 * 1000e0) / 0.95e0) * 0.8e0 AS displaced,
-      nmi / sailed - max_h AS late, round((available_hours - fmod(available_hours, 2e0 * nmi / sailed)) / (2e0 * nmi / sailed)) AS trips0
+      nmi / sailed - max_h AS late, round((available_hours - available_hours % (2e0 * nmi / sailed)) / (2e0 * nmi / sailed)) AS trips0
     FROM (SELECT *, 2500e0 * (capacity_t / 20000e0) * pow(sailed / 14e0, 2e0) AS e FROM (
       SELECT {keys}, v.*, s.speed_kn, r.route_idx, r.route, r.nmi, r.demand, {transit} AS max_h, f.fuel_idx, f.fuel, f.price, f.efficiency, f.dens, f.t_per_mj, k.ok, 2000e0 AS carbon,
         least(greatest(s.speed_kn, v.min_speed_kn), v.max_speed_kn) AS sailed,
@@ -199,7 +199,7 @@ def _(t: Inputs):
 
 cte("o_best", """
 SELECT r.route, r.demand, sum(CASE WHEN v.compatible_routes_text IS NULL OR list_contains(string_split(v.compatible_routes_text, '|'), r.route)
-  THEN round((v.available_hours - fmod(v.available_hours, 2e0 * r.nmi / v.max_speed_kn)) / (2e0 * r.nmi / v.max_speed_kn)) * v.capacity_t ELSE 0e0 END) AS best FROM o_route r CROSS JOIN v_vessel v GROUP BY ALL""")
+  THEN round((v.available_hours - v.available_hours % (2e0 * r.nmi / v.max_speed_kn)) / (2e0 * r.nmi / v.max_speed_kn)) * v.capacity_t ELSE 0e0 END) AS best FROM o_route r CROSS JOIN v_vessel v GROUP BY ALL""")
 
 
 @query("flt_max_capacity", "SELECT route, demand AS demand_t, round(best, 2) + 0e0 AS best_t FROM o_best")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -72,12 +73,15 @@ def main(argv):
 
     folder = argv[0]
     wanted = argv[1:]
-    spark = local_session("8")
+    part, parts = (int(x) for x in os.environ.get("SHARD", "0/1").split("/"))
+    spark = local_session(os.environ.get("CORES", "8"), os.environ.get("MEM", "8g"))
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     failures = 0
-    for name, build in queries.items():
+    for at, (name, build) in enumerate(queries.items()):
+        if at % parts != part:
+            continue
         if wanted and not any(name == w or (w.endswith("*") and name.startswith(w[:-1])) for w in wanted):
             continue
         t0 = time.time()
