@@ -25,6 +25,7 @@ FEASIBLE = 1e-9
 SINGLE_PASS_ROWS = 4096
 MAX_CELLS = 512
 TILE_ROWS = 2048
+CELL_POINTS = 16
 
 
 def dominates(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -194,28 +195,74 @@ def hypervolume_3d(front: DataFrame, objectives: Sequence[str], reference: Seque
     return met.agg(F.coalesce(F.sum(area * F.col("_thick")), F.lit(0.0)).alias("hypervolume"))
 
 
+def _append(span: Column, bins: int):
+    return lambda base: F.transform(span, lambda b: base * bins + b)
+
+
 def nearest_distance(
     targets: DataFrame, found: DataFrame, key: str, objectives: Sequence[str], skip_self: bool = False
 ) -> DataFrame:
     """Distance from each target to its nearest found point, exactly.
 
-    Found points are packed into tiles of bounded size; a target meets each tile once and takes
-    the minimum inside it, then over tiles. Nothing pairs rows with rows.
+    Equal vectors are handled once. Found points lie in an equi-depth grid; a target first looks
+    at the cells around its own, then at every cell its best distance so far can still reach.
     """
-    n_tiles = max(1, -(-found.count() // TILE_ROWS))
-    packed = found.withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(n_tiles))).groupBy("_tile").agg(
-        F.collect_list(F.struct(F.col(key).alias("_id"), *[F.col(c).cast("double").alias(c) for c in objectives])).alias("_points"))
-    asked = targets.select(
-        F.col(key), *[F.col(c).cast("double").alias(c) for c in objectives],
-        F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)).cast("array<bigint>")).alias("_tile"))
+    objectives = list(objectives)
+    d = len(objectives)
+    vectors = [F.col(c).cast("double").alias(c) for c in objectives]
+    points = cut_lineage(found.select(*vectors).groupBy(*objectives).agg(F.count(F.lit(1)).alias("_copies")))
+    asked = targets.select(*vectors).dropDuplicates()
+    bins = max(1, min(64, int((points.count() / CELL_POINTS) ** (1.0 / d))))
+    share = [i / bins for i in range(1, bins)]
+    cuts = points.agg(*[F.percentile_approx(c, share, 10000).alias(c) for c in objectives]).first() if share else None
 
-    def distance(p: Column) -> Column:
-        gaps = [(p[c] - F.col(c)) * (p[c] - F.col(c)) for c in objectives]
-        away = F.sqrt(reduce(lambda a, b: a + b, gaps))
-        return F.when(p["_id"] != F.col(key), away) if skip_self else away
+    def bin_of(c: str, value: Column) -> Column:
+        if cuts is None or cuts[c] is None:
+            return F.lit(0)
+        return F.size(F.filter(F.array(*[F.lit(float(v)) for v in cuts[c]]), lambda e: e <= value))
 
-    met = asked.join(packed, "_tile").select(key, F.array_min(F.transform("_points", distance)).alias("_d"))
-    return met.groupBy(key).agg(F.min("_d").alias("nearest"))
+    def cell(parts: Sequence[Column]) -> Column:
+        return reduce(lambda a, b: a * bins + b, parts)
+
+    tiles = points.withColumn("_cell", cell([bin_of(c, F.col(c)) for c in objectives])).groupBy(
+        "_cell", F.pmod(F.xxhash64(*objectives), F.lit(max(1, points.count() // (bins**d * TILE_ROWS)))).alias("_chunk")
+    ).agg(F.collect_list(F.struct(*objectives)).alias("_points"))
+
+    def gap(p: Column) -> Column:
+        return F.sqrt(reduce(lambda a, b: a + b, [(p[c] - F.col(c)) * (p[c] - F.col(c)) for c in objectives]))
+
+    def distance(p: Column) -> Column:
+        if not skip_self:
+            return gap(p)
+        same = reduce(lambda a, b: a & b, [p[c] == F.col(c) for c in objectives])
+        return F.when(~same, gap(p))
+
+    def visit(rows: DataFrame, ranges: Sequence[tuple[Column, Column]]) -> DataFrame:
+        cells = F.array(F.lit(0).cast("int"))
+        for low, high in ranges:
+            span = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(bins - 1)).cast("int"))
+            cells = F.flatten(F.transform(cells, _append(span, bins)))
+        met = rows.select(*objectives, F.explode(cells).alias("_cell")).join(tiles, "_cell")
+        return met.select(*objectives, F.array_min(F.transform("_points", distance)).alias("_d")).groupBy(*objectives).agg(
+            F.min("_d").alias("_d"))
+
+    around = [(bin_of(c, F.col(c)) - 1, bin_of(c, F.col(c)) + 1) for c in objectives]
+    first = asked.join(visit(asked, around), objectives, "left")
+    first = cut_lineage(first)
+    reach = F.col("_d") * (1.0 + 1e-9)
+    within = [
+        (F.coalesce(bin_of(c, F.col(c) - reach), F.lit(0)), F.coalesce(bin_of(c, F.col(c) + reach), F.lit(bins - 1)))
+        for c in objectives
+    ]
+    # a target with no neighbour around has no bound yet and looks everywhere
+    lonely = F.col("_d").isNull()
+    ranges = [(F.when(lonely, 0).otherwise(lo), F.when(lonely, bins - 1).otherwise(hi)) for lo, hi in within]
+    nearest = visit(first, ranges).withColumnRenamed("_d", "nearest")
+    rows = targets.select(key, *vectors).join(nearest, objectives, "left")
+    if skip_self:  # a copy elsewhere is at distance zero
+        copied = points.where(F.col("_copies") > 1).select(*objectives, F.lit(0.0).alias("_zero"))
+        rows = rows.join(copied, objectives, "left").withColumn("nearest", F.coalesce("_zero", "nearest"))
+    return rows.select(key, "nearest")
 
 
 def igd(found: DataFrame, reference_front: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from bunkerline import reference as ref
 from bunkerline.functions.expr import md5_uniform, rnd
 from bunkerline.operators import features, fleet, model, physics, splits, stats
 from bunkerline.plans.registry import Inputs, cte, query
+from bunkerline.session import cut_lineage
 
 KEY = ["imo", "reporting_period"]
 
@@ -149,7 +150,8 @@ UNION ALL SELECT * FROM (SELECT 'class', vessel_class, quantile_cont(residual, 0
 
 
 def class_mean_scored(t: Inputs):
-    rows = featured(t)
+    # levels, residuals and bands all read the features: build them once
+    rows = cut_lineage(featured(t))
     levels = stats.class_levels(rows)
     return model.class_mean_intensity(rows, levels), levels
 
@@ -278,7 +280,7 @@ SELECT f.imo, f.period, f.design IS NULL OR c.vessel_class IS NULL AS cold_start
 LEFT JOIN (SELECT DISTINCT f.vessel_class FROM o_feat f JOIN o_vsplit s ON s.imo = f.imo WHERE s.split = 'train' AND f.vessel_class <> 'ropax') c ON c.vessel_class = f.vessel_class WHERE s.split = 'test'""")
 def _(t: Inputs):
     # ro-pax ships are left out of training so that an unseen class occurs
-    rows = splits.split_by_vessel(featured(t))
+    rows = cut_lineage(splits.split_by_vessel(featured(t)))
     levels = stats.class_levels(rows.where((F.col("split") == "train") & (F.col("vessel_class") != "ropax")))
     test = model.class_mean_intensity(rows.where("split = 'test'"), levels)
     return test.select("imo", "period", model.cold_start().alias("cold_start"))
@@ -312,13 +314,13 @@ def _(t: Inputs):
 
 
 @query("mdl_predict_interval", f"""
-SELECT imo, period, round(e, 5) + 0e0 AS p50, round(e * exp(CASE WHEN cold THEN least(bl * 1.8e0, COALESCE(kl, bl * 1.8e0)) ELSE bl END * w), 5) + 0e0 AS p10,
-  round(e * exp(CASE WHEN cold THEN greatest(bh * 1.8e0, COALESCE(kh, bh * 1.8e0)) ELSE bh END * w), 5) + 0e0 AS p90, cold AS cold_start, mean_speed_kn / vr < 0.6e0 OR mean_speed_kn / vr > 1.4e0 AS extrapolating
+SELECT imo, period, round(e, 3) + 0e0 AS p50, round(e * exp(CASE WHEN cold THEN least(bl * 1.8e0, COALESCE(kl, bl * 1.8e0)) ELSE bl END * w), 3) + 0e0 AS p10,
+  round(e * exp(CASE WHEN cold THEN greatest(bh * 1.8e0, COALESCE(kh, bh * 1.8e0)) ELSE bh END * w), 3) + 0e0 AS p90, cold AS cold_start, mean_speed_kn / vr < 0.6e0 OR mean_speed_kn / vr > 1.4e0 AS extrapolating
 FROM (SELECT *, design IS NULL AS cold, {POWER.format(v='mean_speed_kn')} * 3.6e0 / mean_speed_kn AS e, 1e0 + 1.5e0 * abs(ln(greatest(mean_speed_kn / vr, 0.01e0 / vr))) AS w FROM o_scored)""")
 def _(t: Inputs):
     scored, _ = class_mean_scored(t)
     out = model.predict(scored, class_mean_bands(scored), "mean_speed_kn")
-    return out.select("imo", "period", rnd("predicted_energy_per_nmi_mj", 5).alias("p50"), rnd("p10", 5).alias("p10"), rnd("p90", 5).alias("p90"), "cold_start", "extrapolating")
+    return out.select("imo", "period", rnd("predicted_energy_per_nmi_mj", 3).alias("p50"), rnd("p10", 3).alias("p10"), rnd("p90", 3).alias("p90"), "cold_start", "extrapolating")
 
 
 @query("mdl_reference_point", "SELECT f.imo, f.period, c.reference_speed_kn, c.aux_share FROM o_feat f JOIN o_class c ON c.vessel_class = f.vessel_class")
@@ -353,16 +355,16 @@ MASSES = ", ".join(
 
 
 @query("mdl_speed_sweep", f"""
-SELECT vessel, point, round(v, 9) + 0e0 AS speed_kn, round(e, 5) + 0e0 AS energy_per_nmi_mj, round(e * exp(CASE WHEN cold THEN least(bl * 1.8e0, COALESCE(kl, bl * 1.8e0)) ELSE bl END * w), 5) + 0e0 AS p10,
-  round(e * exp(CASE WHEN cold THEN greatest(bh * 1.8e0, COALESCE(kh, bh * 1.8e0)) ELSE bh END * w), 5) + 0e0 AS p90, round(p, 5) + 0e0 AS power_kw, v / vr < 0.6e0 OR v / vr > 1.4e0 AS extrapolating, {MASSES}
+SELECT vessel, point, round(v, 9) + 0e0 AS speed_kn, round(e, 3) + 0e0 AS energy_per_nmi_mj, round(e * exp(CASE WHEN cold THEN least(bl * 1.8e0, COALESCE(kl, bl * 1.8e0)) ELSE bl END * w), 3) + 0e0 AS p10,
+  round(e * exp(CASE WHEN cold THEN greatest(bh * 1.8e0, COALESCE(kh, bh * 1.8e0)) ELSE bh END * w), 3) + 0e0 AS p90, round(p, 3) + 0e0 AS power_kw, v / vr < 0.6e0 OR v / vr > 1.4e0 AS extrapolating, {MASSES}
 FROM (SELECT *, CASE WHEN v > 0.01e0 THEN p * 3.6e0 / v END AS e, 1e0 + 1.5e0 * abs(ln(greatest(v / vr, 0.01e0 / vr))) AS w FROM (
   SELECT *, {POWER.format(v='v')} AS p FROM (SELECT f.*, CAST(i AS INTEGER) AS point, i * (vr * 1.25e0 / 25) AS v FROM o_vfeat f CROSS JOIN (SELECT unnest(range(0, 26)) AS i))))""")
 def _(t: Inputs):
     scored, bands = scored_vessels(t)
     out = model.speed_sweep(scored, bands, ["vessel"])
     return out.select(
-        "vessel", "point", rnd("speed_kn", 9).alias("speed_kn"), rnd("predicted_energy_per_nmi_mj", 5).alias("energy_per_nmi_mj"),
-        rnd("p10", 5).alias("p10"), rnd("p90", 5).alias("p90"), rnd("power_kw", 5).alias("power_kw"), "extrapolating",
+        "vessel", "point", rnd("speed_kn", 9).alias("speed_kn"), rnd("predicted_energy_per_nmi_mj", 3).alias("energy_per_nmi_mj"),
+        rnd("p10", 3).alias("p10"), rnd("p90", 3).alias("p90"), rnd("power_kw", 3).alias("power_kw"), "extrapolating",
         *[rnd(F.col("fuel_t_per_1000_nmi")[f], 7).alias(f"{f}_t") for f in model.COMBUSTIBLE])
 
 
