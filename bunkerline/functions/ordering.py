@@ -17,11 +17,12 @@ from bunkerline.functions.expr import float_bin
 
 def global_rank(
     df: DataFrame, bins: dict[str, Column], within: Sequence[Column], name: str = "rank",
-    groups: Sequence[str] = (),
+    groups: Sequence[str] = (), total: str | None = None,
 ) -> DataFrame:
     """1-based rank in the order (bins..., within...), per ``groups`` if given.
 
     ``bins`` must be ordered coarse keys of bounded cardinality that agree with the wanted order.
+    ``total`` names a column to receive the row count, so callers need no separate count job.
     """
     binned = df.select("*", *[c.alias(f"_bin_{k}") for k, c in bins.items()])
     keys = [f"_bin_{k}" for k in bins]
@@ -31,10 +32,12 @@ def global_rank(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.select(
-        *groups, *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+        *groups, *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_n").over(Window.partitionBy(*groups)).alias(total)] if total else []),
     )
     on = [binned[k].eqNullSafe(offsets[k]) for k in [*groups, *keys]]
-    joined = binned.join(offsets, on, "left").select(binned["*"], offsets["_offset"])
+    extra = [offsets[c] for c in (["_offset", total] if total else ["_offset"])]
+    joined = binned.join(offsets, on, "left").select(binned["*"], *extra)
     inside = Window.partitionBy(*groups, *keys).orderBy(*within)
     return joined.withColumn(
         name, (F.col("_offset") + F.row_number().over(inside)).cast("bigint")

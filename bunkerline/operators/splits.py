@@ -6,8 +6,6 @@ same place on every run and engine, and ranks are computed bin by bin, not in on
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +25,12 @@ def split_by_vessel(frame: DataFrame, test_size: float = 0.25, seed: int = 1000,
     if not 0.0 < test_size < 1.0:
         raise ValueError(f"test_size must be inside (0, 1), not {test_size}")
     ships = ships_of(frame, group).select(group, ship_digest(seed, F.col(group)).alias("_h"))
-    count = ships.count()
-    if count < 2:
-        raise ValueError("a vessel split needs at least two ships")
-    held_out = math.ceil(test_size * count)
-    ranked = global_rank(ships, {"prefix": F.substring("_h", 1, 3)}, ["_h", group], "_place")
+    ranked = global_rank(ships, {"prefix": F.substring("_h", 1, 3)}, ["_h", group], "_place", total="_ships")
+    held_out = F.ceil(F.lit(test_size) * F.col("_ships"))
     sides = ranked.select(
-        group, F.when(F.col("_place") <= held_out, "test").otherwise("train").alias("split")
+        group,
+        F.when(F.col("_ships") < 2, F.raise_error(F.lit("a vessel split needs at least two ships")))
+        .when(F.col("_place") <= held_out, "test").otherwise("train").alias("split"),
     )
     return frame.join(sides, group)
 
@@ -64,16 +61,15 @@ def split_by_vessel_and_time(
 def grouped_folds(frame: DataFrame, k: int = 5, seed: int = 1000, group: str = "imo") -> DataFrame:
     """Add ``fold`` 0..k-1: whole ships, dealt in a snake from the most to the least filed."""
     ships = ships_of(frame, group).withColumn("_h", ship_digest(seed, F.col(group)))
-    count = ships.count()
-    if count < k:
-        raise ValueError(f"{count} ships cannot fill {k} folds")
     ranked = global_rank(
-        ships, {"size": -F.col("rows"), "prefix": F.substring("_h", 1, 3)}, ["_h", group], "_place"
+        ships, {"size": -F.col("rows"), "prefix": F.substring("_h", 1, 3)}, ["_h", group], "_place", total="_ships"
     )
     place = F.col("_place") - 1
     lap, seat = F.floor(place / k), place % k
     dealt = ranked.select(
-        group, F.when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold")
+        group,
+        F.when(F.col("_ships") < k, F.raise_error(F.lit(f"too few ships for {k} folds")).cast("int"))
+        .when(lap % 2 == 0, seat).otherwise(k - 1 - seat).cast("int").alias("fold"),
     )
     return frame.join(dealt, group)
 

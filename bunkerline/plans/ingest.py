@@ -468,7 +468,7 @@ def _(t: Inputs):
 SELECT count(*) AS "rows", max(gap) < 1e-9 AS holds FROM (
   SELECT abs(mean_power_kw - inferred_lhv_mj_per_kg * fuel_per_distance_kg_per_nmi * mean_speed_kn / 3.6e0) / mean_power_kw AS gap FROM o_usable)""")
 def _(t: Inputs):
-    return derive.power_identity(t.usable).select("rows", (F.col("max_relative_gap") < 1e-9).alias("holds"))
+    return derive.power_identity(t.derived.where("is_usable")).select("rows", (F.col("max_relative_gap") < 1e-9).alias("holds"))
 
 
 @query("drv_cf_crosscheck", """
@@ -479,7 +479,7 @@ SELECT count(residual) AS n, round(quantile_cont(residual, 0.05), 9) + 0e0 AS p0
 def _(t: Inputs):
     from bunkerline.operators.stats import cf_crosscheck
 
-    out = cf_crosscheck(t.derived)
+    out = cf_crosscheck(t.stored)
     return out.select("n", *[rnd(c, 9).alias(c) for c in ("p05", "p50", "p95")])
 
 

@@ -50,7 +50,7 @@ CROSS JOIN (VALUES ('mean_speed_kn'), ('distance_nmi'), ('total_fuel_t'), ('carg
 def _(t: Inputs):
     asked = ["mean_speed_kn", "distance_nmi", "total_fuel_t", "cargo_carried_t", "laden_fuel_share", "berth_co2_share"]
     leaking = features.contaminated(asked)
-    counts = t.derived.agg(*[F.count(c).alias(c) for c in leaking])
+    counts = t.stored.agg(*[F.count(c).alias(c) for c in leaking])
     return counts.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in leaking
     ])).alias("r")).select("r.*")
@@ -234,7 +234,7 @@ SELECT fuel_class, count(*) AS ship_years, round(quantile_cont(ch4, 0.5), 8) + 0
   SELECT CASE WHEN cf < (2.75e0 + 3.114e0) / 2 THEN 'lng' WHEN cf < (3.114e0 + 3.206e0) / 2 THEN 'hfo' ELSE 'mgo' END AS fuel_class,
          total_ch4_t / total_fuel_t * 1000e0 AS ch4, total_n2o_t / total_fuel_t * 1000e0 AS n2o FROM o_energy WHERE total_fuel_t > 0 AND total_ch4_t IS NOT NULL) GROUP BY fuel_class""")
 def _(t: Inputs):
-    out = stats.measured_factors(t.derived)
+    out = stats.measured_factors(t.stored)
     return out.select("fuel_class", "ship_years", *[rnd(c, 8).alias(c) for c in (
         "ch4_g_per_kg", "n2o_g_per_kg", "slip_pct_p25", "slip_pct_p50", "slip_pct_p75", "slip_pct_p95")])
 

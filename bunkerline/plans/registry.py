@@ -13,11 +13,13 @@ from bunkerline import dims
 from bunkerline.operators import derive
 from bunkerline.session import spread_small_scan, tune
 from bunkerline.sources import filings as filing_source
+from bunkerline.sources import sinks
 from bunkerline.sources.views import BASE_TABLES, VIEWS, portable_sql, read_view
 
 QUERIES: dict[str, Callable[["Inputs"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
+_STORED: dict[tuple, str] = {}
 
 
 class Inputs:
@@ -57,9 +59,23 @@ class Inputs:
     def derived(self) -> DataFrame:
         return derive.derive_physics(self.panel)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The derived panel as a Parquet table in the shared folder, written once per session.
+
+        Everything after the panel reads it several times (levels, residuals, bands, folds), so
+        it is handed over as a table, pruned to the columns and periods a query needs, instead of
+        being rebuilt from text inside every branch of a plan.
+        """
+        sizes = tuple(len(self.table(n).inputFiles()) for n in ("lineitem", "part"))
+        key = (self.spark.sparkContext.applicationId, self.folder, sizes)
+        if key not in _STORED:
+            _STORED[key] = sinks.write_panel(self.derived)
+        return self.spark.read.parquet(_STORED[key])
+
     @cached_property
     def usable(self) -> DataFrame:
-        return self.derived.where("is_usable")
+        return self.stored.where("is_usable")
 
 
 def query(name: str, oracle: str | None = None):

@@ -149,30 +149,26 @@ def typed_filings(text: DataFrame, keep: Iterable[str] = ("file_order", "source_
     return text.select(*kept, *columns)
 
 
-def cell_kinds(text: DataFrame, keys: Sequence[str] = ("source_file",)) -> DataFrame:
-    """Long form of every numeric cell: keys, column, raw text, kind."""
-    names = [
-        n for n, _, d, *_ in ref.FILING_COLUMNS if d in ref.NUMERIC_DIMENSIONS and n in text.columns
-    ]
-    cells = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("column"), F.col(n).alias("text"), cell_kind(n).alias("kind"))
-        for n in names
-    ]))
-    return text.select(*keys, cells.alias("c")).select(*keys, "c.*")
-
-
 def cell_kind_counts(text: DataFrame, examples: int = 3) -> DataFrame:
-    """Per file and column: null, error and unparseable cells, with a few unparseable texts.
+    """Per file and column: number, null, error and unparseable cells, with a few unparseable texts.
 
-    Repeated texts are merged before the shuffle, and example texts are ranked per column
-    only among the distinct unparseable ones.
+    Counting is one wide aggregation by file, turned long afterwards, so cells are never exploded.
+    Only unparseable cells become rows, and only distinct ones are shuffled and ranked.
     """
-    cells = cell_kinds(text)
-    counts = cells.groupBy("source_file", "column").agg(
-        *[F.sum((F.col("kind") == k).cast("bigint")).alias(f"{k}_cells")
-          for k in ("number", "null", "error", "unparseable")]
-    )
-    odd = cells.where(F.col("kind") == "unparseable").select("source_file", "column", F.trim("text").alias("text")).distinct()
+    names = [
+        n for n, _, d, *_ in ref.FILING_COLUMNS if d in ref.NUMERIC_DIMENSIONS and n in text.columns
+    ]
+    kinds = ("number", "null", "error", "unparseable")
+    tagged = text.select("source_file", *[cell_kind(n).alias(n) for n in names])
+    wide = tagged.groupBy("source_file").agg(*[
+        F.count_if(F.col(n) == k).alias(f"{n}:{k}") for n in names for k in kinds])
+    counts = wide.select("source_file", F.explode(F.array(*[
+        F.struct(F.lit(n).alias("column"), *[quoted(f"{n}:{k}").alias(f"{k}_cells") for k in kinds]) for n in names
+    ])).alias("c")).select("source_file", "c.*")
+    strange = F.explode(F.array_compact(F.array(*[
+        F.when(cell_kind(n) == "unparseable", F.struct(F.lit(n).alias("column"), F.trim(n).alias("text"))) for n in names
+    ])))
+    odd = text.select("source_file", strange.alias("c")).select("source_file", "c.*").distinct()
     rank = F.row_number().over(Window.partitionBy("source_file", "column").orderBy("text"))
     shown = (
         odd.withColumn("_r", rank).where(F.col("_r") <= examples)
