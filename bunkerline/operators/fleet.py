@@ -8,17 +8,18 @@ holds a large share of all assignments is combined before it is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bunkerline import dims
 from bunkerline import reference as ref
-from bunkerline.functions.expr import clip, md5_uniform
+from bunkerline.functions.expr import clip, float_bin, md5_uniform
 from bunkerline.operators import emissions, tank
 
 FAILURES = (
@@ -419,19 +420,15 @@ def bau_intensity(rows: DataFrame, scenario: Scenario) -> DataFrame:
 
 
 def plan_report(scored: DataFrame) -> DataFrame:
-    """Per plan: vessels, fuel mix and the assignments as a list.
+    """Per plan: vessels, cargo and fuel mix. The assignments stay the long table ``scored``.
 
-    The mix is counted per (plan, fuel) first. The list is the output itself: one entry per
-    vessel of a plan, and a plan holds at most one fleet.
+    Counted per (plan, fuel) first, so a plan of any size reaches the second step as a few rows.
     """
     fuels = scored.groupBy("plan_id", "fuel").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("delivered_t").alias("cargo"),
-        F.collect_list(F.struct("vessel", "route", "fuel", "sailed_kn")).alias("part"),
-    )
+        F.count(F.lit(1)).alias("n"), F.sum("delivered_t").alias("cargo"))
     return fuels.groupBy("plan_id").agg(
         F.sum("n").alias("deployed"), F.sum("cargo").alias("cargo_t"),
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("fuel", "n")))).alias("fuel_mix"),
-        F.sort_array(F.flatten(F.collect_list("part"))).alias("assignments"),
     )
 
 
@@ -459,8 +456,9 @@ def greedy(vessels: DataFrame, scenario: Scenario, group: str, fractions: int =
     """Cheapest capacity first, each vessel to the largest unmet route, per (group, speed, fuel).
 
     The choice depends on what is left, so it is sequential inside one (group, fraction, fuel);
-    those are independent and spread over tasks. Rows arrive sorted and are consumed as a
-    stream of batches with one number per route as state: no group is ever held in memory.
+    those are independent and spread over tasks. Vessels that can only come after all demand is
+    met are cut off beforehand, so what a task reads is set by the demand and not by the table,
+    and it is consumed as a stream with one number per route as state.
     """
     combos = F.array(*[
         F.struct(F.lit(i).alias("fraction"), F.lit(f).alias("fuel_idx"), F.lit(r).alias("route_idx"))
@@ -480,6 +478,7 @@ def greedy(vessels: DataFrame, scenario: Scenario, group: str, fractions: int =
         for c in ("delivered_t", "fuel_energy_mj", "emissions_t", "cost_inr", "failure_violation")
     ])
     demands = [float(r.annual_demand_t) for r in scenario.routes]
+    flat = _before_demand_is_met(flat, keys, [float(r.annual_demand_t) for r in scenario.routes])
     ordered = flat.repartition(*keys).sortWithinPartitions(*keys, "_order", "vessel_key")
     return ordered.mapInPandas(
         _greedy_stream(keys, demands),
@@ -488,6 +487,23 @@ def greedy(vessels: DataFrame, scenario: Scenario, group: str, fractions: int =
     )
 
 
+def _before_demand_is_met(flat: DataFrame, keys: list[str], demands: list[float]) -> DataFrame:
+    """Drop vessels no greedy run can reach.
+
+    A vessel takes at least its smallest delivery off some unmet route, or finishes that route,
+    which happens once per route. So once the smallest deliveries of all earlier vessels pass
+    total demand plus one largest vessel per route, nothing is left to serve.
+    """
+    deliveries = [F.coalesce(F.col(f"delivered_t_{i}"), F.lit(0.0)) for i in range(len(demands))]
+    least = F.least(*deliveries) if len(deliveries) > 1 else deliveries[0]
+    binned = flat.withColumns({"_least": least, "_bin": float_bin(F.col("_order"))})
+    sums = binned.groupBy(*keys, "_bin").agg(F.sum("_least").alias("_sum"), F.max("_least").alias("_max"))
+    earlier = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    limit = sum(demands) + len(demands) * F.max("_max").over(Window.partitionBy(*keys))
+    kept = sums.select(*keys, "_bin", (F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)) <= limit).alias("_keep"))
+    return binned.join(kept.where("_keep"), [*keys, "_bin"], "left_semi").drop("_least", "_bin")
+
+
 def _greedy_stream(keys: list[str], demands: list[float]):
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, left = None, []
@@ -514,29 +530,32 @@ MAX_ENUMERATION = 200_000
 
 
 def instance_options(vessels: DataFrame, scenario: Scenario, instance: str, bands: int) -> DataFrame:
-    """Per instance: one list of feasible options per vessel. Lists are bounded by the scenario."""
+    """Per instance: one list of feasible options per vessel.
+
+    The state count of each instance is aggregated first, and an instance above
+    ``MAX_ENUMERATION`` fails before any of its rows is gathered: refused, never truncated.
+    """
     scored = score_assignments(candidates(vessels, scenario, bands), [scenario]).where("failure is null")
+    per_vessel = scored.groupBy(instance, "vessel_key").agg(F.count(F.lit(1)).alias("_options"))
+    states = per_vessel.groupBy(instance).agg(F.sum(F.ln(1.0 + F.col("_options"))).alias("_ln_states"))
+    checked = scored.join(states, instance).withColumn(
+        "vessel_key",
+        F.when(F.col("_ln_states") <= math.log(MAX_ENUMERATION), F.col("vessel_key")).otherwise(
+            F.raise_error(F.lit("instance too large to enumerate")).cast("bigint")))
     option = F.struct(
         F.col("cost_inr").alias("cost"), F.col("emissions_t").alias("emissions"), F.col("fuel_energy_mj").alias("energy"),
         F.col("delivered_t").alias("delivered"), F.col("route_idx").alias("route"), F.col("fuel_idx").alias("fuel"), F.col("band").alias("band"))
-    per_vessel = scored.groupBy(instance, "vessel_key").agg(F.collect_list(option).alias("options"))
-    return per_vessel.groupBy(instance).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("vessel_key", "options"))), lambda x: x["options"]).alias("fleet"),
-        F.expr("CAST(exp(sum(ln(1.0D + size(options)))) AS DOUBLE)").alias("states"),
-    )
+    listed = checked.groupBy(instance, "vessel_key").agg(F.collect_list(option).alias("options"))
+    return listed.groupBy(instance).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("vessel_key", "options"))), lambda x: x["options"]).alias("fleet"))
 
 
 def exact_small(vessels: DataFrame, scenario: Scenario, instance: str, bands: int = 5) -> DataFrame:
-    """Proven optimum and exact front of every small single-route instance, by enumeration in the row.
-
-    Instances whose state count passes ``MAX_ENUMERATION`` are refused, not truncated.
-    """
+    """Proven optimum and exact front of every small single-route instance, by enumeration in the row."""
     if len(scenario.routes) != 1:
         raise ValueError("exact enumeration is for single-route instances")
     demand = float(scenario.routes[0].annual_demand_t)
     rows = instance_options(vessels, scenario, instance, bands)
-    guarded = F.when(F.col("states") <= MAX_ENUMERATION * 1.0, F.col("fleet")).otherwise(
-        F.raise_error(F.lit("instance too large to enumerate")))
     fields = ("cost", "emissions", "energy", "delivered")
     nothing = F.struct(*[F.lit(0.0).alias(c) for c in fields])
 
@@ -545,7 +564,7 @@ def exact_small(vessels: DataFrame, scenario: Scenario, instance: str, bands: in
         return F.flatten(F.transform(states, lambda s: F.transform(
             choices, lambda o: F.struct(*[(s[c] + o[c]).alias(c) for c in fields]))))
 
-    states = F.aggregate(guarded, F.array(nothing), extend)
+    states = F.aggregate("fleet", F.array(nothing), extend)
     plans = F.filter(states, lambda p: p["delivered"] >= demand - 1e-9)
     if scenario.emission_cap_tco2e is not None:
         cap = scenario.emission_cap_tco2e
@@ -573,7 +592,7 @@ def exact_small(vessels: DataFrame, scenario: Scenario, instance: str, bands: in
 
 def qubo_variables(vessels: DataFrame, scenario: Scenario, instance: str, bands: int = 3) -> DataFrame:
     """Per instance: the ordered variables with cost and delivery, penalty weight and demand scale."""
-    rows = instance_options(vessels, scenario, instance, bands).where(F.col("states") <= MAX_ENUMERATION * 1.0)
+    rows = instance_options(vessels, scenario, instance, bands)
     tagged = F.flatten(F.transform("fleet", lambda options, v: F.transform(
         F.sort_array(F.transform(options, lambda o: F.struct(o["route"], o["fuel"], o["band"], o["cost"], o["delivered"]))),
         lambda o: F.struct(v.alias("vessel"), o["route"].alias("route"), o["cost"].alias("cost"), o["delivered"].alias("delivered")))))

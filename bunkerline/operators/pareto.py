@@ -224,8 +224,11 @@ def nearest_distance(
     def cell(parts: Sequence[Column]) -> Column:
         return reduce(lambda a, b: a * bins + b, parts)
 
-    tiles = points.withColumn("_cell", cell([bin_of(c, F.col(c)) for c in objectives])).groupBy(
-        "_cell", F.pmod(F.xxhash64(*objectives), F.lit(max(1, points.count() // (bins**d * TILE_ROWS)))).alias("_chunk")
+    # a dense cell is packed into several tiles, so no list outgrows TILE_ROWS by much
+    placed = points.withColumn("_cell", cell([bin_of(c, F.col(c)) for c in objectives]))
+    parts = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_parts"))
+    tiles = placed.join(parts, "_cell").groupBy(
+        "_cell", F.pmod(F.xxhash64(*objectives), F.col("_parts")).alias("_chunk")
     ).agg(F.collect_list(F.struct(*objectives)).alias("_points"))
 
     def gap(p: Column) -> Column:

@@ -291,7 +291,7 @@ def _(t: Inputs):
     scored = fleet.score_assignments(rows, [TIMED])
     report = fleet.plan_report(scored).select(
         "plan_id", F.array_join(F.transform(F.map_entries("fuel_mix"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("fuel_mix"),
-        F.size("assignments").cast("bigint").alias("vessels"))
+        F.col("deployed").alias("vessels"))
     totals = fleet.score_plans(scored, [TIMED]).join(fleet.bau_intensity(rows, TIMED), "plan_id").where("cargo_t > 0 and bau_intensity > 0")
     status = policy.assess(totals.withColumns({"year": F.lit(2030), "baseline_intensity": F.col("bau_intensity")}))
     return status.join(report, "plan_id").select(
