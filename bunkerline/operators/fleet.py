@@ -88,6 +88,50 @@ TINY = Scenario((Route("Mumbai-Cochin", ("mumbai", "cochin"), 560.0, 250000.0),)
 TUG = Scenario((Route("Harbour-duty", ("mormugao", "mormugao"), 25.0, 60000.0),), ("mgo", "methanol", "hydrogen"), name="tug")
 
 
+# fixed values: the two-vessel instance; name, class, capacity, certificate, min and max speed, tank, cost, hours
+TINY_VESSELS = [
+    ("Coastal-A", "general_cargo", 8000.0, 18.0, 8.0, 15.0, 900.0, 9.0e7, 7000.0),
+    ("Coastal-B", "general_cargo", 6000.0, 22.0, 8.0, 14.0, 700.0, 7.5e7, 7000.0),
+]
+VESSEL_COLUMNS = (
+    "vessel string, vessel_class string, capacity_t double, design_efficiency_gco2_per_t_nmi double, min_speed_kn double, "
+    "max_speed_kn double, tank_volume_m3 double, annual_cost_inr double, available_hours double"
+)
+
+
+def generated_fleet(indices: DataFrame, kind: str, index: str = "index") -> DataFrame:
+    """Candidate vessels of any number, one per index: kind coastal, tug or large.
+
+    Values are digests of kind and index in the published ranges, so any task can draw any
+    vessel and a larger fleet contains the smaller one.
+    """
+    def u(what: str) -> Column:
+        return md5_uniform(F.lit(kind), F.col(index), F.lit(what))
+
+    def between(what: str, low: float, high: float) -> Column:
+        return low + u(what) * (high - low)
+
+    def pick(what: str, *values: float) -> Column:
+        options = F.array(*[F.lit(float(v)) for v in values])
+        return F.element_at(options, (F.floor(u(what) * len(values)) + 1).cast("int"))
+
+    number = F.col(index).cast("string")
+    if kind == "coastal":
+        capacity = pick("capacity", 6000, 8000, 12000, 18000)
+        columns = [F.concat(F.lit("Coastal-"), number), F.when(capacity < 12000, "general_cargo").otherwise("bulk_carrier"), capacity,
+                   between("design", 12, 26), F.lit(8.0), pick("speed", 14, 15, 16), capacity / 10.0, capacity * 11000.0, between("hours", 6500, 7400)]
+    elif kind == "tug":
+        columns = [F.concat(F.lit("Tug-"), number), F.lit("harbour_tug"), F.lit(80.0), F.lit(None).cast("double"), F.lit(6.0), F.lit(12.0),
+                   between("tank", 60, 140), between("cost", 2.2e7, 3.2e7), between("hours", 3000, 4200)]
+    elif kind == "large":
+        columns = [F.concat(F.lit("V"), number), F.when(F.col(index) % 3 == 0, "general_cargo").otherwise("bulk_carrier"), between("capacity", 5000, 40000),
+                   between("design", 8, 30), F.lit(8.0), between("speed", 13, 18), between("tank", 600, 3000), between("cost", 6e7, 4e8), between("hours", 6000, 7500)]
+    else:
+        raise ValueError(f"kind must be coastal, tug or large, not {kind!r}")
+    names = [part.strip().split(" ")[0] for part in VESSEL_COLUMNS.split(",")]
+    return indices.select(F.col(index).alias("vessel_key"), *[c.alias(n) for n, c in zip(names, columns, strict=True)])
+
+
 def default_pathways(fuels: Sequence[str]) -> dict[str, str]:
     """The only pathway, else fossil, else grey, else the first listed."""
     chosen = {}

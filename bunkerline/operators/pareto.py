@@ -39,10 +39,10 @@ def feasible(df: DataFrame, violation: str | None) -> DataFrame:
 
 
 def _front_stream(objectives: list[str], key: str):
-    """Emit own rows no earlier row of the same key dominates.
+    """Emit own rows no earlier row of the same key dominates, once per vector.
 
     Rows of a key arrive in (sum, objectives...) order, in which a dominating row always comes
-    first, so the state is the front found so far.
+    first and equal vectors are neighbours, so the state is the front found so far.
     """
     def keep(window: list[np.ndarray], points: np.ndarray) -> np.ndarray:
         alive = np.ones(len(points), dtype=bool)
@@ -58,11 +58,16 @@ def _front_stream(objectives: list[str], key: str):
         return alive
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, window = None, []
+        current, window, last = None, [], None
         for batch in batches:
             for value, rows in batch.groupby(key, sort=False):
                 if value != current:
-                    current, window = value, []
+                    current, window, last = value, [], None
+                vectors = rows[objectives].to_numpy(dtype="float64")
+                fresh = np.ones(len(vectors), dtype=bool)
+                fresh[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
+                fresh[0] = last is None or bool((vectors[0] != last).any())
+                last, rows = vectors[-1], rows[fresh]
                 for start in range(0, len(rows), 256):
                     chunk = rows.iloc[start:start + 256]
                     points = chunk[objectives].to_numpy(dtype="float64")
@@ -83,13 +88,33 @@ def _stream_fronts(df: DataFrame, objectives: list[str], key: str) -> DataFrame:
     return ordered.mapInPandas(_front_stream(objectives, key), ordered.schema).drop("_sum")
 
 
+def _drop_beaten(vectors: DataFrame, objectives: list[str], grouped: bool) -> DataFrame:
+    """Drop rows beaten by a few strong rows, before anything is sorted or leaves the JVM.
+
+    The strong rows are one aggregate: the best in each objective and the best geometric mean.
+    They are real rows of the data, so whatever they dominate cannot be on the front.
+    """
+    vector = F.struct(*objectives)
+    mean = reduce(lambda a, b: a + b, [F.ln(F.greatest(F.col(c), F.lit(1e-300))) for c in objectives])
+    best = [F.min_by(vector, by).alias(f"_p{i}") for i, by in enumerate([mean, *[F.struct(c, *objectives) for c in objectives]])]
+    pivots = vectors.groupBy("_key").agg(*best) if grouped else vectors.agg(*best).withColumn("_key", F.lit(""))
+    rows = vectors.join(F.broadcast(pivots), "_key")
+    for i in range(len(best)):
+        rows = rows.where(~dominates([F.col(f"_p{i}.{c}") for c in objectives], [F.col(c) for c in objectives]))
+    return rows.select(*vectors.columns)
+
+
 def front_vectors(df: DataFrame, objectives: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Distinct non-dominated vectors, per group of ``by`` (few groups)."""
+    """Distinct non-dominated vectors, per group of ``by`` (few groups).
+
+    Input rows are not shuffled: each partition is reduced to its own front where it lies.
+    """
     objectives = list(objectives)
     group = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
-    vectors = df.select(*by, *[F.col(c).cast("double").alias(c) for c in objectives]).dropDuplicates()
-    vectors = vectors.withColumns({"_key": group, "_own": F.lit(True)})
-    survivors = cut_lineage(_stream_fronts(vectors, objectives, "_key"))
+    vectors = df.select(*by, *[F.col(c).cast("double").alias(c) for c in objectives]).withColumns(
+        {"_key": group, "_own": F.lit(True)})
+    local = _stream_fronts(_drop_beaten(vectors, objectives, bool(by)), objectives, "_key")
+    survivors = cut_lineage(local.dropDuplicates())
     count = survivors.count()
     if count <= SINGLE_PASS_ROWS:  # proven small: one task finishes it
         return _stream_fronts(survivors.coalesce(1), objectives, "_key").drop("_key", "_own")

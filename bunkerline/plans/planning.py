@@ -163,12 +163,26 @@ def _(t: Inputs):
     return fleet.vessel_features(t.view("v_vessel"), 2030)
 
 
-@query("flt_scenarios", """
-SELECT vessel_class, count(*) AS vessels, sum(capacity_t) AS capacity_t, min(max_speed_kn) AS slowest_kn, max(max_speed_kn) AS fastest_kn, sum(available_hours) AS hours FROM v_vessel GROUP BY vessel_class""")
-def _(t: Inputs):
-    return t.view("v_vessel").groupBy("vessel_class").agg(
-        F.count(F.lit(1)).alias("vessels"), F.sum("capacity_t").alias("capacity_t"), F.min("max_speed_kn").alias("slowest_kn"),
-        F.max("max_speed_kn").alias("fastest_kn"), F.sum("available_hours").alias("hours"))
+def fleet_draw(kind: str, tag: str) -> str:
+    return f"(CAST('0x' || substr(md5('{kind}-' || CAST(p_partkey AS VARCHAR) || '-{tag}'), 1, 8) AS BIGINT) / 4294967296e0)"
+
+
+@query("flt_scenarios", f"""
+SELECT 'large' AS kind, p_partkey AS vessel_key, 'V' || CAST(p_partkey AS VARCHAR) AS vessel, CASE WHEN p_partkey % 3 = 0 THEN 'general_cargo' ELSE 'bulk_carrier' END AS vessel_class,
+  round(5000e0 + {fleet_draw('large', 'capacity')} * 35000e0, 6) + 0e0 AS capacity_t, round(13e0 + {fleet_draw('large', 'speed')} * 5e0, 6) + 0e0 AS max_speed_kn,
+  round(600e0 + {fleet_draw('large', 'tank')} * 2400e0, 6) + 0e0 AS tank_volume_m3, round(6e7 + {fleet_draw('large', 'cost')} * (4e8 - 6e7), 2) + 0e0 AS annual_cost_inr FROM part
+UNION ALL SELECT 'coastal', p_partkey, 'Coastal-' || CAST(p_partkey AS VARCHAR), CASE WHEN cap < 12000 THEN 'general_cargo' ELSE 'bulk_carrier' END, cap, spd, cap / 10, cap * 11000 FROM (
+  SELECT p_partkey, [6000e0, 8000e0, 12000e0, 18000e0][CAST(floor({fleet_draw('coastal', 'capacity')} * 4) AS INTEGER) + 1] AS cap,
+         [14e0, 15e0, 16e0][CAST(floor({fleet_draw('coastal', 'speed')} * 3) AS INTEGER) + 1] AS spd FROM part)""")
+def _(t: Inputs):
+    parts = t.table("part").select(F.col("p_partkey").alias("index"))
+    both = None
+    for kind in ("large", "coastal"):
+        df = fleet.generated_fleet(parts, kind).select(
+            F.lit(kind).alias("kind"), "vessel_key", "vessel", "vessel_class", rnd("capacity_t", 6).alias("capacity_t"), rnd("max_speed_kn", 6).alias("max_speed_kn"),
+            rnd("tank_volume_m3", 6).alias("tank_volume_m3"), rnd("annual_cost_inr", 2).alias("annual_cost_inr"))
+        both = df if both is None else both.unionByName(df)
+    return both
 
 
 cte("o_cand", """

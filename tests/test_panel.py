@@ -264,3 +264,14 @@ def test_stream_upsert(spark, tmp_path):
     batch = spark.read.option("header", True).csv(str(source / "filings_2021_v1.csv"))
     merge_drop(batch, str(target))  # a late, older version changes nothing
     assert [(r["total_fuel_t"]) for r in spark.read.parquet(str(target)).collect()] == [120.0]
+
+
+def test_level_models_are_interchangeable(spark):
+    rows = [("bulk_carrier", 10.0, 100.0), ("bulk_carrier", 12.0, 400.0), ("other", 11.0, 50.0)]
+    df = spark.createDataFrame(rows, "vessel_class string, design_efficiency_gco2_per_t_nmi double, target double")
+    score = learning.fit_level("class_mean", df)
+    got = score(spark.createDataFrame([("bulk_carrier", 1.0), ("ropax", 1.0)], "vessel_class string, design_efficiency_gco2_per_t_nmi double")).collect()
+    assert math.exp(got[0]["log_level"]) == pytest.approx(200.0)
+    assert math.exp(got[1]["log_level"]) == pytest.approx((100 * 400 * 50) ** (1 / 3))
+    with pytest.raises(ValueError):
+        learning.fit_level("forest", df)

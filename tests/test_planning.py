@@ -196,3 +196,15 @@ def test_rotation_angle():
     assert search.rotation_angle(10_000, 60) == pytest.approx(0.15 * np.pi)
     with pytest.raises(ValueError):
         search.rotation_angle(0, 1)
+
+
+def test_generated_fleets(spark):
+    ids = spark.range(30).withColumnRenamed("id", "index")
+    for kind in ("coastal", "tug", "large"):
+        df = fleet.generated_fleet(ids, kind)
+        assert df.count() == 30 and fleet.validate_vessels(df).count() == 0
+    assert fleet.generated_fleet(ids, "tug").where("design_efficiency_gco2_per_t_nmi is null").count() == 30
+    with pytest.raises(ValueError):
+        fleet.generated_fleet(ids, "space")
+    tiny = spark.createDataFrame(fleet.TINY_VESSELS, fleet.VESSEL_COLUMNS)
+    assert fleet.validate_vessels(tiny).count() == 0
