@@ -615,15 +615,18 @@ def exact_small(vessels: DataFrame, scenario: Scenario, instance: str, bands: in
         plans = F.filter(plans, lambda p: p["emissions"] <= cap + 1e-9)
     rows = rows.withColumn("_plans", plans).where(F.size("_plans") > 0)
 
-    def dominated(p: Column) -> Column:
+    def beats(q: Column, p: Column) -> Column:
         three = ("energy", "emissions", "cost")
-        return F.exists("_plans", lambda q: (
-            (q["energy"] <= p["energy"]) & (q["emissions"] <= p["emissions"]) & (q["cost"] <= p["cost"])
-            & reduce(lambda a, b: a | b, [q[c] < p[c] for c in three])))
-
+        no_worse = reduce(lambda a, b: a & b, [q[c] <= p[c] for c in three])
+        return no_worse & reduce(lambda a, b: a | b, [q[c] < p[c] for c in three])
+
+    # in (cost, emissions, energy) order a dominating plan comes first: compare with the front so far
+    ordered = F.array_sort("_plans")
+    front = F.aggregate(
+        ordered, F.slice(ordered, 1, 0),
+        lambda held, p: F.when(F.exists(held, lambda q: beats(q, p)), held).otherwise(F.concat(held, F.array(p))))
     cheapest = F.array_min(F.transform("_plans", lambda p: F.struct(p["cost"], p["emissions"], p["energy"])))
     cleanest = F.array_min(F.transform("_plans", lambda p: F.struct(p["emissions"], p["cost"], p["energy"])))
-    front = F.filter("_plans", lambda p: ~dominated(p))
     return rows.select(
         instance, F.size("_plans").alias("feasible_plans"),
         cheapest.alias("_c"), cleanest.alias("_e"),

@@ -51,18 +51,18 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
-SPREAD_FROM_BYTES = 4 << 20
+SPREAD_FROM_BYTES = 1 << 20
 
 
 def spread_small_scan(df: DataFrame) -> DataFrame:
     """Spread a scan that yields fewer splits than cores.
 
-    One row group is one task. A few-MB file would pin the whole narrow stage behind it to one
+    One row group is one task. A file of a few MB would pin the whole narrow stage behind it to one
     core; a table large enough to fill the cores with its own splits is left alone.
     """
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = spark.sparkContext.defaultParallelism
-    if SPREAD_FROM_BYTES <= size < cores * SPREAD_FROM_BYTES * 4 and df.rdd.getNumPartitions() < cores // 2:
+    if SPREAD_FROM_BYTES <= size < cores * (16 << 20) and df.rdd.getNumPartitions() < cores // 2:
         return df.repartition(cores)
     return df
