@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import packing
-from bunkerline.llm.common import read
+from bunkerline.llm import hashtree, mixing, packing
+from bunkerline.llm.common import read, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,79 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenise(read(spark, sf_dir, "documents"), word_vocabulary())
     slim = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return packing.place(slim)
+
+
+ORACLES["op6_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5(concat_ws('|', 'mix', coalesce(doc_id::VARCHAR, 'null'))) AS h
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::BIGINT AS n, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w
+  FROM d GROUP BY source),
+r AS (
+  SELECT *, 2.0::DOUBLE * n AS cap, 1.5::DOUBLE * sum(n) OVER () AS total,
+    coalesce(sum(2.0::DOUBLE * n) OVER (ORDER BY 2.0::DOUBLE * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+    sum(w) OVER (ORDER BY 2.0::DOUBLE * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_
+  FROM s),
+l AS (SELECT full_, open_ FROM r WHERE (total - full_) * w / open_ <= cap ORDER BY cap / w, source LIMIT 1),
+q AS (
+  SELECT source, n, CASE WHEN (total - l.full_) * w / l.open_ > cap THEN cap ELSE (total - l.full_) * w / l.open_ END::DOUBLE AS target
+  FROM r, l),
+c AS (
+  SELECT source, 1 AS copy, least(n, floor(target)::BIGINT) AS quota FROM q
+  UNION ALL SELECT source, 2, floor(target)::BIGINT - least(n, floor(target)::BIGINT) FROM q),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS cum FROM d),
+f AS (
+  SELECT c.source, c.copy, c.quota, c.quota - coalesce(max(o.cum) FILTER (o.cum <= c.quota), 0) AS lack
+  FROM c JOIN o ON o.source IS NOT DISTINCT FROM c.source GROUP BY c.source, c.copy, c.quota),
+g AS (SELECT f.source, f.copy, f.lack, o.cum, o.size FROM f JOIN o ON o.source IS NOT DISTINCT FROM f.source AND o.cum > f.quota AND o.size > 0 AND f.quota > 0),
+p1 AS (SELECT source, copy, max((size, -cum)) AS b, lack - max(size) AS lack FROM g WHERE size <= lack GROUP BY source, copy, lack),
+p2 AS (
+  SELECT g.source, g.copy, max((g.size, -g.cum)) AS b, p1.lack - max(g.size) AS lack
+  FROM g JOIN p1 ON g.source IS NOT DISTINCT FROM p1.source AND g.copy = p1.copy AND g.cum <> -p1.b[2] AND g.size <= p1.lack GROUP BY g.source, g.copy, p1.lack),
+p3 AS (
+  SELECT g.source, g.copy, max((g.size, -g.cum)) AS b, p2.lack - max(g.size) AS lack
+  FROM g JOIN p2 ON g.source IS NOT DISTINCT FROM p2.source AND g.copy = p2.copy AND g.size <= p2.lack
+  JOIN p1 ON g.source IS NOT DISTINCT FROM p1.source AND g.copy = p1.copy
+  WHERE g.cum NOT IN (-p1.b[2], -p2.b[2]) GROUP BY g.source, g.copy, p2.lack),
+p4 AS (
+  SELECT g.source, g.copy, max((g.size, -g.cum)) AS b
+  FROM g JOIN p3 ON g.source IS NOT DISTINCT FROM p3.source AND g.copy = p3.copy AND g.size <= p3.lack
+  JOIN p2 ON g.source IS NOT DISTINCT FROM p2.source AND g.copy = p2.copy JOIN p1 ON g.source IS NOT DISTINCT FROM p1.source AND g.copy = p1.copy
+  WHERE g.cum NOT IN (-p1.b[2], -p2.b[2], -p3.b[2]) GROUP BY g.source, g.copy),
+p AS (
+  SELECT source, copy, -b[2] AS cum FROM p1 UNION ALL SELECT source, copy, -b[2] FROM p2
+  UNION ALL SELECT source, copy, -b[2] FROM p3 UNION ALL SELECT source, copy, -b[2] FROM p4),
+k AS (
+  SELECT o.source, o.cum, f.copy FROM o JOIN f ON o.source IS NOT DISTINCT FROM f.source AND o.cum <= f.quota WHERE o.size > 0
+  UNION ALL SELECT source, cum, copy FROM p),
+t AS (SELECT source, cum, count(*) AS copies FROM k GROUP BY source, cum)
+SELECT o.doc_id, o.size, q.n AS source_size, q.target, (coalesce(t.copies, 0) * o.size)::BIGINT AS taken
+FROM o JOIN q ON q.source IS NOT DISTINCT FROM o.source
+LEFT JOIN t ON t.source IS NOT DISTINCT FROM o.source AND t.cum = o.cum AND o.size > 0
+"""
+
+
+def mixture(sized: DataFrame) -> tuple[list[tuple[str | None, int]], dict[str | None, float]]:
+    """Size and target of each source of a table that has `source` and `size`."""
+    sizes = [(r["source"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
+    return sizes, mixing.targets(sizes)
+
+
+@query
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = store(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
+    sizes, targets = mixture(sized)
+    mixed = mixing.mix(sized, F.col("size"), F.array("source"), targets)
+    table = spark.createDataFrame([(s, n, float(targets[s])) for s, n in sizes], "source string, source_size long, target double")
+    joined = mixed.join(F.broadcast(table), mixed["source"].eqNullSafe(table["source"]))
+    return joined.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
+
+
+@query
+def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
+    now = hashtree.assign(rows, hashtree.topology(24), "doc_id")
+    return hashtree.number(hashtree.assign(now, hashtree.topology(25), "doc_id", "grown_shard"))
