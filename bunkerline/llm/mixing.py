@@ -119,9 +119,10 @@ def mix(docs: DataFrame, size: Column, sources: Column, quotas: dict, key: str =
     """
     t = tag()
     pat, h, b, cum, base, segs = (f"_{c}_{t}" for c in ("pattern", "hash", "bucket", "cum", "base", "segments"))
+    kind = docs.select(sources.alias("s")).schema["s"].dataType.simpleString()
     kept = [c for c in docs.columns if c not in ("size", "takes", "taken")]
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    rows = store(docs.select(*kept, size.alias("size"), F.array_sort(F.array_distinct(sources)).alias(pat), digest.alias(h)).withColumn(b, F.substring(h, 1, BUCKET_DIGITS)))
+    rows = store(docs.select(*kept, size.alias("size"), F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast(kind)).alias(pat), digest.alias(h)).withColumn(b, F.substring(h, 1, BUCKET_DIGITS)))
     sums = rows.groupBy(pat, b).agg(F.sum("size").alias(cum)).persist()
     patterns = [(tuple(r[pat] or ()), r["n"]) for r in sums.groupBy(pat).agg(F.sum(cum).alias("n")).collect()]
     dealt = flow(patterns, {s: int(q) for s, q in quotas.items()}, repeats)
@@ -136,7 +137,6 @@ def mix(docs: DataFrame, size: Column, sources: Column, quotas: dict, key: str =
                 at += n
         table.append((list(names), own))
     spark = docs.sparkSession
-    kind = docs.select(sources.alias("s")).schema["s"].dataType.simpleString()
     name = docs.select(F.element_at(sources, 1).alias("s")).schema["s"].dataType.simpleString()
     plan = spark.createDataFrame(table, f"`{pat}` {kind}, `{segs}` array<struct<copy:int,source:{name},lo:long,hi:long,k:int,n:int>>")
     before = Window.partitionBy(pat).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
