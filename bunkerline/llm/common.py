@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from bunkerline.session import cut_lineage
+from bunkerline.session import cut_lineage, shared_dir
 
 MASK = (1 << 64) - 1
 
@@ -24,6 +25,13 @@ def store(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """The same as a compressed Parquet table, for rows that several branches of a plan read."""
+    path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tag() -> str:
     """A suffix that keeps working columns apart from whatever columns a caller's table has."""
     return f"{random.getrandbits(32):08x}"

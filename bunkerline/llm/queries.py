@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import hashtree, mixing, packing
+from bunkerline.llm import hashtree, mixing, packing, suffix_dedup
 from bunkerline.llm.common import read, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,15 @@ def mixture(sized: DataFrame) -> tuple[list[tuple[str | None, int]], dict[str |
     return sizes, mixing.targets(sizes)
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return suffix_dedup.remove_repeats(docs).select(
+        "doc_id", n.alias("n_bytes"), (n - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = store(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.words(F.col("text")).alias("size")))
