@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import hashtree, mixing, packing, suffix_dedup
+from bunkerline.llm import hashtree, mixing, ngram_join, packing, suffix_dedup
 from bunkerline.llm.common import read, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,11 @@ def mixture(sized: DataFrame) -> tuple[list[tuple[str | None, int]], dict[str |
     return sizes, mixing.targets(sizes)
 
 
+@query
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_texts(read(spark, sf_dir, "documents"))
+
+
 @query
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
