@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import hashtree, mixing, ngram_join, packing, suffix_dedup
+from bunkerline.llm import hashtree, line_crf, mixing, ngram_join, packing, suffix_dedup, toxicity
 from bunkerline.llm.common import read, store
+from bunkerline.llm.labelled import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,6 +91,21 @@ def mixture(sized: DataFrame) -> tuple[list[tuple[str | None, int]], dict[str |
     return sizes, mixing.targets(sizes)
 
 
+#: A score from here on predicts label 1.
+THRESHOLD = 0.7
+
+
+def judged(scored: DataFrame, of: int, held: int) -> DataFrame:
+    return scored.select("doc_id", (remainder(F.col("doc_id"), of) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 3) != 1)
+    return judged(toxicity.score(docs, lexicon), 3, 1)
+
+
 @query
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_texts(read(spark, sf_dir, "documents"))
@@ -120,3 +136,13 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
     now = hashtree.assign(rows, hashtree.topology(24), "doc_id")
     return hashtree.number(hashtree.assign(now, hashtree.topology(25), "doc_id", "grown_shard"))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> line_crf.Model | None:
+    return line_crf.learn(docs, read(spark, sf_dir, "labels"), remainder(F.col("doc_id"), 4) != 2)
+
+
+@query
+def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return judged(line_crf.score(docs, quality_model(spark, docs, sf_dir)), 4, 2)
