@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import hashtree, line_crf, mixing, ngram_join, packing, suffix_dedup, toxicity
+from bunkerline.llm import hashtree, imatch, line_crf, mixing, ngram_join, packing, suffix_dedup, toxicity
 from bunkerline.llm.common import read, store
 from bunkerline.llm.labelled import remainder
 
@@ -130,6 +130,11 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
 
 
+@query
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.compare(read(spark, sf_dir, "documents"))
+
+
 @query
 def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
