@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import hashtree, imatch, line_crf, mixing, ngram_join, packing, suffix_dedup, toxicity
+from bunkerline.llm import hashtree, imatch, line_crf, media, mixing, ngram_join, packing, suffix_dedup, toxicity
 from bunkerline.llm.common import read, store
 from bunkerline.llm.labelled import remainder
 
@@ -130,6 +130,17 @@ def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long"))
 
 
+@query
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    files = media.store_media(docs.select("doc_id", n.alias("n_bytes"), "text")).select("doc_id", "n_bytes", "media")
+    return media.read_media(files).select(
+        "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 @query
 def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compare(read(spark, sf_dir, "documents"))
