@@ -158,21 +158,20 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     return fit(documents, y)
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score, bad): the quality of every document, and each line's probability of being bad."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+    """The kept columns with `score`, the quality of the document, and `bad`, each line's probability of being bad."""
+    spec = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                found = [document_lines(t) for t in blobs(part.column("text"))]
+            for part in slices(batch, text_col, 2 << 20):
+                found = [document_lines(t) for t in blobs(part.column(text_col))]
                 lengths = np.array([len(n) for _, n in found])
                 if model is None:
                     value, bad = np.full(len(found), 0.5), np.full(lengths.sum(), 0.5)
                 else:
                     bad, _ = Chains(lengths).marginals(np.concatenate([f for f, _ in found]) @ model.weights, model.steps)
                     value = probability(quality(bad, np.concatenate([n for _, n in found]), np.cumsum(lengths) - lengths), model.curve)
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(value), lists(bad.astype(np.float32), lengths, pa.float32())], ["key", "score", "bad"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value), lists(bad.astype(np.float32), lengths, pa.float32())], [*keep, "score", "bad"])
 
-    plain = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(scan, f"key {kind}, score double, bad array<float>").withColumnRenamed("key", id_col)
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(scan, f"{spec}score double, bad array<float>")
