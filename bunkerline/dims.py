@@ -39,17 +39,8 @@ def ports(spark: SparkSession) -> DataFrame:
     return inline_table(spark, ref.PORT_COLUMNS, ref.PORTS)
 
 
-def availability_rows() -> list[tuple[str, str, int, str]]:
-    return [
-        (port, fuel, year, ref.STATUS_CODES[code])
-        for port, codes in ref.AVAILABILITY.items()
-        for fuel, statuses in zip(ref.AVAILABILITY_FUELS, codes, strict=True)
-        for year, code in zip(ref.AVAILABILITY_YEARS, statuses, strict=True)
-    ]
-
-
 def availability(spark: SparkSession) -> DataFrame:
-    return inline_table(spark, "port string, fuel string, year int, status string", availability_rows())
+    return inline_table(spark, ref.AVAILABILITY_COLUMNS, ref.AVAILABILITY)
 
 
 def shore_power(spark: SparkSession) -> DataFrame:

@@ -1,8 +1,11 @@
 """Global ranks, quantiles and neighbours without a single-task sort.
 
-A window without PARTITION BY moves every row into one task. The helpers here cut the
-value axis into order-preserving bins, count rows per bin with map-side combining, run
-the cross-bin window over the (bounded) bin table, and rank inside bins in parallel.
+A window without PARTITION BY moves every row into one task. The helpers here deal the rows out
+by ranges of the wanted order, whose bounds Spark samples from the data, and materialise them with
+their range. Counts per range, offsets over the ranges (one row each) and windows within a range
+then give positions in the whole order. Ties are dealt out by their tie column, so neither a narrow
+band of values nor one value that many rows share meets in a task. The order is Spark's own: null
+first, NaN last.
 """
 
 from __future__ import annotations
@@ -12,51 +15,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bunkerline.functions.expr import float_bin
+from bunkerline.session import cut_lineage
 
 
-def global_rank(
-    df: DataFrame, bins: dict[str, Column], within: Sequence[Column], name: str = "rank",
-    groups: Sequence[str] = (), total: str | None = None,
-) -> DataFrame:
-    """1-based rank in the order (bins..., within...), per ``groups`` if given.
+def _ranged(df: DataFrame, order: Sequence[str], name: str = "_range") -> DataFrame:
+    """The rows with the number of the range they are dealt to, fixed so that every later use sees the same one."""
+    return cut_lineage(df.repartitionByRange(*order).withColumn(name, F.spark_partition_id()))
+
+
+def global_rank(df: DataFrame, order: Sequence[str], name: str = "rank", groups: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """1-based rank in the order of the columns, per ``groups`` if given.
 
-    ``bins`` must be ordered coarse keys of bounded cardinality that agree with the wanted order.
     ``total`` names a column to receive the row count, so callers need no separate count job.
     """
-    binned = df.select("*", *[c.alias(f"_bin_{k}") for k, c in bins.items()])
-    keys = [f"_bin_{k}" for k in bins]
-    sizes = binned.groupBy(*groups, *keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = (
-        Window.partitionBy(*groups).orderBy(*keys)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ranged = _ranged(df, [*groups, *order])
+    sizes = ranged.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        *groups, *keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+        *groups, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         *([F.sum("_n").over(Window.partitionBy(*groups)).alias(total)] if total else []),
     )
-    on = [binned[k].eqNullSafe(offsets[k]) for k in [*groups, *keys]]
+    on = [ranged[k].eqNullSafe(offsets[k]) for k in [*groups, "_range"]]
     extra = [offsets[c] for c in (["_offset", total] if total else ["_offset"])]
-    joined = binned.join(offsets, on, "left").select(binned["*"], *extra)
-    inside = Window.partitionBy(*groups, *keys).orderBy(*within)
-    return joined.withColumn(
-        name, (F.col("_offset") + F.row_number().over(inside)).cast("bigint")
-    ).drop("_offset", *keys)
+    joined = ranged.join(offsets, on, "left").select(ranged["*"], *extra)
+    inside = Window.partitionBy(*groups, "_range").orderBy(*order)
+    return joined.withColumn(name, (F.col("_offset") + F.row_number().over(inside)).cast("bigint")).drop("_offset", "_range")
 
 
-def value_positions(
-    df: DataFrame, groups: Sequence[str], value: str, per_octave: int = 256
-) -> DataFrame:
+def value_positions(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
     """Distinct values per group with ``cnt`` copies and ``below`` = rows strictly smaller.
 
     Copies are combined before the shuffle, so a value held by a third of all rows is one row
-    here; different values of a hot group spread over the bins.
+    here; different values of a hot group spread over the ranges.
     """
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*groups, value).agg(F.count(F.lit(1)).alias("cnt"))
-        .withColumn("_bin", float_bin(F.col(value), per_octave))
-    )
+    counted = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("cnt"))
+    distinct = _ranged(counted, [*groups, value], "_bin")
     sizes = distinct.groupBy(*groups, "_bin").agg(F.sum("cnt").alias("_n"))
     across = Window.partitionBy(*groups).orderBy("_bin")
     sizes = sizes.select(
@@ -78,15 +71,14 @@ def value_positions(
 
 
 def exact_percentiles(
-    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float],
-    per_octave: int = 256,
+    df: DataFrame, groups: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """Exact linearly interpolated percentiles per group, one column per entry.
 
     The builtin ``percentile`` keeps every distinct value of a group in one buffer; this
     stays distributed for groups of any size. Also returns ``n`` = non-null rows.
     """
-    placed = value_positions(df, groups, value, per_octave)
+    placed = value_positions(df, groups, value)
 
     def at(position: Column) -> Column:
         hit = (F.col("below") <= position) & (position < F.col("below") + F.col("cnt"))
@@ -113,15 +105,13 @@ def exact_percentiles(
     )
 
 
-def with_neighbours(
-    df: DataFrame, value: str, tie: str, previous: str, following: str, per_octave: int = 256
-) -> DataFrame:
+def with_neighbours(df: DataFrame, value: str, tie: str, previous: str, following: str) -> DataFrame:
     """Add the previous and next ``value`` in the global (value, tie) order."""
-    binned = df.withColumn("_bin", float_bin(F.col(value), per_octave))
+    binned = _ranged(df, list(dict.fromkeys([value, tie])), "_bin")
     edges = binned.groupBy("_bin").agg(
         F.min(value).alias("_first"), F.max(value).alias("_last")
     )
-    across = Window.orderBy("_bin")  # over bins, not rows
+    across = Window.orderBy("_bin")  # one row a range
     edges = edges.select(
         "_bin",
         F.lag("_last").over(across).alias("_prev_bin"),
@@ -136,11 +126,9 @@ def with_neighbours(
     )
 
 
-def running_min_before(
-    df: DataFrame, order: str, tie: str, value: str, name: str, per_octave: int = 256
-) -> DataFrame:
+def running_min_before(df: DataFrame, order: str, tie: str, value: str, name: str) -> DataFrame:
     """Add the minimum of ``value`` over all rows earlier in the global (order, tie) order."""
-    binned = df.withColumn("_bin", float_bin(F.col(order), per_octave))
+    binned = _ranged(df, list(dict.fromkeys([order, tie])), "_bin")
     lows = binned.groupBy("_bin").agg(F.min(value).alias("_low"))
     lows = lows.select(
         "_bin",

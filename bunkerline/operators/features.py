@@ -25,14 +25,11 @@ def resolve_class(df: DataFrame, label: str = "ship_type", name: str = "vessel_c
     return joined.withColumn(name, F.coalesce("_found", F.lit(ref.FALLBACK_CLASS))).drop("_label", "_found")
 
 
-def unknown_labels(df: DataFrame, label: str = "ship_type", limit: int = 10) -> DataFrame:
-    """Labels outside the vocabulary, once each, in order, at most ``limit``."""
+def unknown_labels(df: DataFrame, label: str = "ship_type") -> DataFrame:
+    """Labels outside the vocabulary, once each, with the number of their rows."""
     aliases = dims.class_aliases(df.sparkSession)
-    seen = df.where(F.col(label).isNotNull()).select(label).distinct()
-    return (
-        seen.join(F.broadcast(aliases), F.lower(F.trim(seen[label])) == aliases["label"], "left_anti")
-        .orderBy(label).limit(limit)
-    )
+    seen = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("rows"))
+    return seen.join(F.broadcast(aliases), F.lower(F.trim(seen[label])) == aliases["label"], "left_anti")
 
 
 def with_target(derived: DataFrame) -> DataFrame:

@@ -117,15 +117,20 @@ def generated_fleet(indices: DataFrame, kind: str, index: str = "index") -> Data
 
     number = F.col(index).cast("string")
     if kind == "coastal":
-        capacity = pick("capacity", 6000, 8000, 12000, 18000)
-        columns = [F.concat(F.lit("Coastal-"), number), F.when(capacity < 12000, "general_cargo").otherwise("bulk_carrier"), capacity,
-                   between("design", 12, 26), F.lit(8.0), pick("speed", 14, 15, 16), capacity / 10.0, capacity * 11000.0, between("hours", 6500, 7400)]
+        fixed = ref.COASTAL_FLEET
+        capacity = pick("capacity", *fixed["capacity_t"])
+        columns = [F.concat(F.lit("Coastal-"), number), F.when(capacity < fixed["bulk_from_t"], "general_cargo").otherwise("bulk_carrier"), capacity,
+                   between("design", *fixed["design_gco2"]), F.lit(fixed["min_speed_kn"]), pick("speed", *fixed["max_speed_kn"]),
+                   capacity / fixed["capacity_per_tank_m3"], capacity * fixed["cost_inr_per_t"], between("hours", *fixed["hours"])]
     elif kind == "tug":
-        columns = [F.concat(F.lit("Tug-"), number), F.lit("harbour_tug"), F.lit(80.0), F.lit(None).cast("double"), F.lit(6.0), F.lit(12.0),
-                   between("tank", 60, 140), between("cost", 2.2e7, 3.2e7), between("hours", 3000, 4200)]
+        fixed = ref.TUG_FLEET
+        columns = [F.concat(F.lit("Tug-"), number), F.lit("harbour_tug"), F.lit(fixed["capacity_t"]), F.lit(None).cast("double"), F.lit(fixed["min_speed_kn"]),
+                   F.lit(fixed["max_speed_kn"]), between("tank", *fixed["tank_m3"]), between("cost", *fixed["cost_inr"]), between("hours", *fixed["hours"])]
     elif kind == "large":
-        columns = [F.concat(F.lit("V"), number), F.when(F.col(index) % 3 == 0, "general_cargo").otherwise("bulk_carrier"), between("capacity", 5000, 40000),
-                   between("design", 8, 30), F.lit(8.0), between("speed", 13, 18), between("tank", 600, 3000), between("cost", 6e7, 4e8), between("hours", 6000, 7500)]
+        fixed = ref.LARGE_FLEET
+        columns = [F.concat(F.lit("V"), number), F.when(F.col(index) % fixed["general_cargo_every"] == 0, "general_cargo").otherwise("bulk_carrier"),
+                   between("capacity", *fixed["capacity_t"]), between("design", *fixed["design_gco2"]), F.lit(fixed["min_speed_kn"]),
+                   between("speed", *fixed["max_speed_kn"]), between("tank", *fixed["tank_m3"]), between("cost", *fixed["cost_inr"]), between("hours", *fixed["hours"])]
     else:
         raise ValueError(f"kind must be coastal, tug or large, not {kind!r}")
     names = [part.strip().split(" ")[0] for part in VESSEL_COLUMNS.split(",")]
@@ -143,7 +148,7 @@ def default_pathways(fuels: Sequence[str]) -> dict[str, str]:
 
 
 def _usable_at(port: str, fuel: str, year: int) -> bool:
-    past = [(y, s) for p, f, y, s in dims.availability_rows() if p == port and f == fuel and y <= year]
+    past = [(y, s) for p, f, y, s in ref.AVAILABILITY if p == port and f == fuel and y <= year]
     return bool(past) and max(past)[1] in ref.USABLE_STATUS
 
 

@@ -328,7 +328,7 @@ def thin(front: DataFrame, objectives: Sequence[str], key: str, k: int) -> DataF
 
 def sort_by(front: DataFrame, column: str, key: str, name: str = "place") -> DataFrame:
     """Add the 0-based place in ascending order of a column."""
-    ranked = global_rank(front, {"v": float_bin(F.col(column))}, [column, key], "_place")
+    ranked = global_rank(front, [column, key], "_place")
     return ranked.withColumn(name, F.col("_place") - 1).drop("_place")
 
 
@@ -338,20 +338,38 @@ def best_by(front: DataFrame, objectives: Sequence[str], key: str) -> DataFrame:
 
 def update_archive(
     archive: DataFrame | None, candidates: DataFrame, objectives: Sequence[str], key: str,
-    capacity: int = 60, violation: str | None = None,
+    capacity: int | None = None, violation: str | None = None,
 ) -> DataFrame:
-    """Merge feasible candidates, drop dominated and nearly equal plans, keep the most spread ``capacity``.
+    """Merge feasible candidates, drop dominated plans and those nearly equal to one of a lesser key.
 
-    Near-equality is a relative step of 1e-5 per objective.
+    Plans are nearly equal if no objective differs by more than 1e-5 of the larger value. All that is left
+    stays, unless a ``capacity`` asks for the most spread plans only.
     """
     fresh = feasible(candidates, violation)
     pool = fresh if archive is None else archive.unionByName(fresh.select(*archive.columns))
     front = skyline(pool, objectives)
-    steps = [
-        F.when(F.col(c) > 0, F.floor(F.ln(F.col(c)) / 1e-5)).when(F.col(c) < 0, -F.floor(F.ln(-F.col(c)) / 1e-5)).otherwise(0)
-        for c in objectives
-    ]
-    rest = [c for c in front.columns if c != key]
-    unique = front.groupBy(*[s.alias(f"_s{i}") for i, s in enumerate(steps)]).agg(
-        F.min_by(F.struct(*rest), key).alias("_r"), F.min(key).alias(key)).select(key, "_r.*")
-    return cut_lineage(thin(unique.select(*front.columns), objectives, key, capacity).drop("crowding"))
+    kept = front.join(_nearly_equal(front, objectives, key), key, "left_anti").select(*front.columns)
+    return cut_lineage(kept if capacity is None else thin(kept, objectives, key, capacity).drop("crowding"))
+
+
+def _nearly_equal(front: DataFrame, objectives: Sequence[str], key: str, tolerance: float = 1e-5) -> DataFrame:
+    """Keys of plans with a nearly equal plan of a lesser key.
+
+    Values fall into steps of the tolerance on a logarithmic scale, so nearly equal plans are in the same or adjacent
+    steps of every objective; one side looks into those, and the distance itself decides.
+    """
+    def step(c: str) -> Column:
+        wide = F.floor(F.ln(F.abs(F.col(c))) / tolerance).cast("bigint")
+        return F.when(F.col(c) == 0, F.struct(F.lit(0).alias("sign"), F.lit(0).cast("bigint").alias("step"))).otherwise(
+            F.struct(F.signum(c).cast("int").alias("sign"), wide.alias("step")))
+
+    rows = cut_lineage(front.select(key, *objectives, *[step(c).alias(f"_s{i}") for i, c in enumerate(objectives)]))
+    around = rows
+    for i in range(len(objectives)):
+        near = F.array(*[F.struct(F.col(f"_s{i}.sign").alias("sign"), (F.col(f"_s{i}.step") + d).alias("step")) for d in (-1, 0, 1)])
+        around = around.withColumn(f"_s{i}", F.explode(near))
+    around = around.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(objectives)], *[F.col(f"_s{i}").alias(f"_t{i}") for i in range(len(objectives))])
+    on = [F.col(f"_s{i}") == F.col(f"_t{i}") for i in range(len(objectives))]
+    close = [F.abs(F.col(c) - F.col(f"_o{i}")) <= tolerance * F.greatest(F.abs(F.col(c)), F.abs(F.col(f"_o{i}"))) for i, c in enumerate(objectives)]
+    met = reduce(lambda x, y: x & y, [*on, *close, F.col("_k") < F.col(key)])
+    return rows.join(around, met).select(key).distinct()

@@ -61,7 +61,7 @@ def can_bunker(df: DataFrame) -> DataFrame:
 def _port_statuses(fuel: Column, year: Column, port: Column) -> Column:
     """Status of one (port, fuel, year) as an expression over a constant nested map."""
     table: dict[str, list] = {}
-    for p, f, y, status in dims.availability_rows():
+    for p, f, y, status in ref.AVAILABILITY:
         table.setdefault(f"{p}|{f}", []).append((y, status))
     entries = []
     for key, steps in table.items():
@@ -99,7 +99,7 @@ def route_status(df: DataFrame, ports: str = "ports") -> DataFrame:
 
 def fuels_on_route(df: DataFrame, ports: str = "ports") -> DataFrame:
     """Add the sorted fuels usable on the whole route in the row's year."""
-    candidates = F.array(*[F.lit(f) for f in sorted(ref.AVAILABILITY_FUELS)])
+    candidates = F.array(*[F.lit(f) for f in sorted({fuel for _, fuel, _, _ in ref.AVAILABILITY})])
     usable_fuels = F.filter(candidates, lambda f: F.forall(
         F.col(ports), lambda p: _port_statuses(f, F.col("year"), p).isin(ref.USABLE_STATUS)))
     return df.withColumn("route_fuels", usable_fuels)

@@ -25,7 +25,7 @@ def split_by_vessel(frame: DataFrame, test_size: float = 0.25, seed: int = 1000,
     if not 0.0 < test_size < 1.0:
         raise ValueError(f"test_size must be inside (0, 1), not {test_size}")
     ships = ships_of(frame, group).select(group, ship_digest(seed, F.col(group)).alias("_h"))
-    ranked = global_rank(ships, {"prefix": F.substring("_h", 1, 3)}, ["_h", group], "_place", total="_ships")
+    ranked = global_rank(ships, ["_h", group], "_place", total="_ships")
     held_out = F.ceil(F.lit(test_size) * F.col("_ships"))
     sides = ranked.select(
         group,
@@ -60,10 +60,8 @@ def split_by_vessel_and_time(
 
 def grouped_folds(frame: DataFrame, k: int = 5, seed: int = 1000, group: str = "imo") -> DataFrame:
     """Add ``fold`` 0..k-1: whole ships, dealt in a snake from the most to the least filed."""
-    ships = ships_of(frame, group).withColumn("_h", ship_digest(seed, F.col(group)))
-    ranked = global_rank(
-        ships, {"size": -F.col("rows"), "prefix": F.substring("_h", 1, 3)}, ["_h", group], "_place", total="_ships"
-    )
+    ships = ships_of(frame, group).select("*", ship_digest(seed, F.col(group)).alias("_h"), (-F.col("rows")).alias("_fewer"))
+    ranked = global_rank(ships, ["_fewer", "_h", group], "_place", total="_ships")
     place = F.col("_place") - 1
     lap, seat = F.floor(place / k), place % k
     dealt = ranked.select(

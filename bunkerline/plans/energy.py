@@ -94,7 +94,7 @@ def _(t: Inputs):
 
 
 @query("cls_unknown_report", """
-SELECT DISTINCT ship_type FROM v_filings WHERE lower(trim(ship_type)) NOT IN (SELECT label FROM o_alias) ORDER BY 1 LIMIT 10""")
+SELECT ship_type, count(*) AS rows FROM v_filings WHERE lower(trim(ship_type)) NOT IN (SELECT label FROM o_alias) GROUP BY 1""")
 def _(t: Inputs):
     return features.unknown_labels(t.filings)
 

@@ -94,7 +94,7 @@ values_cte("o_pathway", ref.PATHWAY_COLUMNS, ref.PATHWAYS)
 values_cte("o_slip", ref.SLIP_COLUMNS, ref.SLIPS)
 values_cte("o_sliprange", ref.SLIP_RANGE_COLUMNS, ref.SLIP_RANGES)
 values_cte("o_gwp", ref.GWP_COLUMNS, ref.GWP_SETS)
-values_cte("o_avail", "port string, fuel string, year int, status string", dims.availability_rows())
+values_cte("o_avail", "port string, fuel string, year int, status string", ref.AVAILABILITY)
 values_cte("o_shore", ref.SHORE_POWER_COLUMNS, ref.SHORE_POWER)
 values_cte("o_port", ref.PORT_COLUMNS, ref.PORTS)
 values_cte("o_unitdim", "dimension string, unit string, factor double",
@@ -271,10 +271,10 @@ def _(t: Inputs):
     return found.join(ships, "subject", "left").select("rule", "subject", "ships")
 
 
-@query("sink_parquet_panel")
+@query("sink_parquet_panel", """
+SELECT reporting_period, count(*) AS rows, count(*) FILTER (is_usable) AS usable FROM o_derived GROUP BY ALL""")
 def _(t: Inputs):
-    path = sinks.write_panel(t.derived)
-    return t.spark.read.parquet(path).groupBy("reporting_period").agg(
+    return t.stored.groupBy("reporting_period").agg(
         F.count(F.lit(1)).alias("rows"), F.count_if("is_usable").alias("usable")
     )
 

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bunkerline import dims
 from bunkerline.operators import derive
-from bunkerline.session import spread_small_scan, tune
+from bunkerline.session import tune
 from bunkerline.sources import filings as filing_source
 from bunkerline.sources import sinks
 from bunkerline.sources.views import BASE_TABLES, VIEWS, portable_sql, read_view
@@ -32,7 +33,7 @@ class Inputs:
         tune(spark)
 
     def table(self, name: str) -> DataFrame:
-        return spread_small_scan(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
@@ -43,6 +44,12 @@ class Inputs:
     def dim(self, name: str) -> DataFrame:
         return dims.TABLES[name](self.spark)
 
+    def identity(self, name: str) -> tuple:
+        """Number of a table's files and a sum over their names, sizes and times, which a rewrite in place changes."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{self.folder}/{name}.parquet")
+        mark = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        return tuple(files.select(mark.alias("m")).agg(F.count("*"), F.sum("m")).first())
+
     @cached_property
     def filings(self) -> DataFrame:
         return self.view("v_filings")
@@ -67,8 +74,7 @@ class Inputs:
         it is handed over as a table, pruned to the columns and periods a query needs, instead of
         being rebuilt from text inside every branch of a plan.
         """
-        sizes = tuple(len(self.table(n).inputFiles()) for n in ("lineitem", "part"))
-        key = (self.spark.sparkContext.applicationId, self.folder, sizes)
+        key = (self.spark.sparkContext.applicationId, self.folder, *(self.identity(n) for n in ("lineitem", "part")))
         if key not in _STORED:
             _STORED[key] = sinks.write_panel(self.derived)
         return self.spark.read.parquet(_STORED[key])

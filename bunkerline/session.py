@@ -23,9 +23,11 @@ def local_session(cores: str = "*", memory: str = "12g", name: str = "bunkerline
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is named."""
+    """The shared folder the cluster names; a temporary one only on a local master where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _fallback:
             _fallback[app] = tempfile.mkdtemp(prefix="bunkerline-shared-")
@@ -49,20 +51,3 @@ def tune(spark: SparkSession) -> None:
     """
     if spark.conf.get("spark.sql.codegen.hugeMethodLimit", "65535") == "65535":
         spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-
-
-SPREAD_FROM_BYTES = 1 << 20
-
-
-def spread_small_scan(df: DataFrame) -> DataFrame:
-    """Spread a scan that yields fewer splits than cores.
-
-    One row group is one task. A file of a few MB would pin the whole narrow stage behind it to one
-    core; a table large enough to fill the cores with its own splits is left alone.
-    """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    cores = spark.sparkContext.defaultParallelism
-    if SPREAD_FROM_BYTES <= size < cores * (16 << 20) and df.rdd.getNumPartitions() < cores // 2:
-        return df.repartition(cores)
-    return df

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -220,30 +223,46 @@ def union_periods(layouts: Sequence[DataFrame], keep: Sequence[str], periods: Se
 
 MIN_DROP_BYTES = 1_000_000  # fixed value: smaller workbook drops are truncated
 WORKBOOK_MAGIC = b"PK\x03\x04"  # fixed value
-MAX_CELL_BYTES = 1 << 30
+CHUNK_BYTES = 8 << 20
+
+
+def _open(path: str):
+    """A stream over a file, by whatever store its address names."""
+    from pyarrow import fs
+
+    address = re.sub(r"^file:/+", "file:///", path)
+    store, inner = fs.FileSystem.from_uri(address)
+    return store.open_input_stream(inner)
 
 
 def input_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Bytes, SHA-256, magic check, version and period of every input file.
 
-    A file is one binary cell, so files above ``MAX_CELL_BYTES`` are listed with their size and
-    without a digest instead of being pulled into a task.
+    Spark lists the files and deals them out; a task reads its files a chunk at a time, so their size does not matter.
     """
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", True).load(path)
-    )
-    listed = files.select("path", "length").where(F.col("length") > MAX_CELL_BYTES).select(
-        "path", "length", F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("binary").alias("magic")
-    )
-    hashed = files.where(F.col("length") <= MAX_CELL_BYTES).select(
-        "path", "length", F.sha2("content", 256).alias("sha256"),
-        F.substring("content", 1, 4).alias("magic"),
+        .option("recursiveFileLookup", True).load(path).select("path", "length")
     )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, magic = [], []
+            for name in batch.column("path").to_pylist():
+                digest, first = hashlib.sha256(), b""
+                with _open(name) as stream:
+                    while chunk := stream.read(CHUNK_BYTES):
+                        first = first or chunk[:4]
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+                magic.append(first)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string()), pa.array(magic, pa.binary())], ["path", "length", "sha256", "magic"])
+
+    hashed = files.repartition("path").mapInArrow(read, "path string, length long, sha256 string, magic binary")
     name = F.element_at(F.split("path", "/"), -1)
     period = F.regexp_extract(name, PERIOD_PATTERN, 0)
     version = F.regexp_extract(name, r"_v(\d+)", 1)
-    return hashed.unionByName(listed).select(
+    return hashed.select(
         name.alias("file_name"), F.col("length").alias("bytes"), "sha256",
         (F.col("magic") == F.lit(WORKBOOK_MAGIC)).alias("is_workbook"),
         (F.col("length") >= MIN_DROP_BYTES).alias("plausible_size"),

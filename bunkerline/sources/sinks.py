@@ -15,12 +15,11 @@ from bunkerline.session import shared_dir
 def write_panel(panel: DataFrame, path: str | None = None) -> str:
     """Parquet partitioned by period, so a period filter prunes directories.
 
-    Rows are spread by (period, ship) first: without it every task would open a file in every
-    partition, and by period alone one task would write a whole year.
+    Rows are brought together by period first, so that not every task opens a file in every partition;
+    the rebalance splits a large period by its size.
     """
     path = path or f"{shared_dir(panel.sparkSession)}/panel-{uuid.uuid4().hex}"
-    spread = panel.repartition(F.col("reporting_period"), F.pmod(F.hash("imo"), F.lit(16)))
-    spread.write.mode("overwrite").partitionBy("reporting_period").parquet(path)
+    panel.hint("rebalance", "reporting_period").write.mode("overwrite").partitionBy("reporting_period").parquet(path)
     return path
 
 

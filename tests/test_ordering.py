@@ -38,7 +38,7 @@ def test_positions_ranks_and_neighbours(skewed):
     for v, (below, cnt) in placed.items():
         assert below == (pdf["v"] < v).sum() and cnt == (pdf["v"] == v).sum()
     ordered = pdf.sort_values(["v", "id"]).reset_index(drop=True)
-    ranked = global_rank(df, {"b": float_bin(F.col("v"))}, ["v", "id"], "rank", total="n").orderBy("rank").collect()
+    ranked = global_rank(df, ["v", "id"], "rank", total="n").orderBy("rank").collect()
     assert [r["id"] for r in ranked] == list(ordered["id"]) and ranked[0]["n"] == len(pdf)
     near = {r["id"]: (r["p"], r["f"]) for r in with_neighbours(df, "v", "id", "p", "f").collect()}
     for i, row in ordered.iterrows():
@@ -76,3 +76,26 @@ def test_wilcoxon_matches_hand_ranks(spark):
     row = stats.wilcoxon(spark.createDataFrame(pairs, "a double, b double"), "a", "b").first()
     assert (row["n"], row["w_plus"], row["w_minus"]) == (4, 8.5, 1.5)
     assert 0.0 < row["p_value"] < 1.0
+
+
+def test_one_narrow_band_one_value_and_odd_numbers(spark):
+    """Values in one narrow range, one repeated value, null, NaN and infinity keep Spark's order and lose no row."""
+    rows = [(i, 1000.0 + i / 1e6) for i in range(300)] + [(300 + i, 7.0) for i in range(300)]
+    rows += [(600, None), (601, float("nan")), (602, float("inf")), (603, float("-inf")), (604, -0.0)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    key = lambda r: (r[1] is not None, r[1] != r[1] if r[1] is not None else False, 0.0 if r[1] is None or r[1] != r[1] else r[1], r[0])
+    ordered = sorted(rows, key=key)
+    ranked = global_rank(df, ["v", "id"], "rank").orderBy("rank").collect()
+    assert [r["id"] for r in ranked] == [r[0] for r in ordered]
+    near = {r["id"]: (r["p"], r["f"]) for r in with_neighbours(df, "v", "id", "p", "f").collect()}
+    assert len(near) == len(rows)
+    same = lambda a, b: a == b or (a != a and b != b)
+    for before, (i, _), after in zip(ordered, ordered[1:], ordered[2:]):
+        assert same(near[i][0], before[1]) and same(near[i][1], after[1])
+    low = {r["id"]: r["m"] for r in running_min_before(df, "v", "id", "id", "m").collect()}
+    least = None
+    for i, _ in ordered:
+        assert low[i] == least
+        least = i if least is None else min(least, i)
+    placed = {r["v"]: (r["below"], r["cnt"]) for r in value_positions(df, [], "v").collect()}
+    assert placed[7.0] == (2, 300) and placed[float("inf")][0] == 602

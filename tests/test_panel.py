@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -275,3 +276,34 @@ def test_level_models_are_interchangeable(spark):
     assert math.exp(got[1]["log_level"]) == pytest.approx((100 * 400 * 50) ** (1 / 3))
     with pytest.raises(ValueError):
         learning.fit_level("forest", df)
+
+
+def test_manifest_reads_in_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(filings, "CHUNK_BYTES", 10)  # a worker may keep its own
+    (tmp_path / "2021_v3.xlsx").write_bytes(b"PK\x03\x04" + b"x" * 95)
+    (tmp_path / "2022.xlsx").write_bytes(b"x")
+    got = {r["file_name"]: r for r in filings.input_manifest(spark, str(tmp_path)).collect()}
+    first, second = got["2021_v3.xlsx"], got["2022.xlsx"]
+    assert first["sha256"] == hashlib.sha256(b"PK\x03\x04" + b"x" * 95).hexdigest() and first["is_workbook"] and first["version"] == 3
+    assert second["sha256"] == hashlib.sha256(b"x").hexdigest() and not second["is_workbook"]
+
+
+def test_rewritten_inputs_are_read_again(spark, small_dir, tmp_path):
+    """A stored panel belongs to the files it was built from, also if they are replaced in place."""
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    import __spark_entry__ as entry
+
+    for name in os.listdir(small_dir):
+        if os.path.isfile(f"{small_dir}/{name}"):
+            shutil.copy(f"{small_dir}/{name}", f"{tmp_path}/{name}")
+            os.chmod(f"{tmp_path}/{name}", 0o644)
+    total = lambda: sum(r["rows"] for r in entry.queries()["sink_parquet_panel"](spark, str(tmp_path)).collect())
+    before = total()
+    rows = pq.read_table(f"{small_dir}/lineitem.parquet")
+    pq.write_table(rows.slice(0, rows.num_rows // 2), f"{tmp_path}/lineitem.parquet")
+    assert total() < before

@@ -208,3 +208,18 @@ def test_generated_fleets(spark):
         fleet.generated_fleet(ids, "space")
     tiny = spark.createDataFrame(fleet.TINY_VESSELS, fleet.VESSEL_COLUMNS)
     assert fleet.validate_vessels(tiny).count() == 0
+
+
+def test_nearly_equal_plans_are_found_across_steps(spark):
+    """The distance decides, wherever the values lie on the scale of steps."""
+    import random
+
+    from bunkerline.operators import pareto
+
+    rng = random.Random(5)
+    base = [(rng.uniform(1, 100), rng.uniform(-5, 5)) for _ in range(40)] + [(0.0, 0.0), (0.0, 1.0)]
+    points = [(a * (1 + rng.choice([0, 0.4e-5, -0.9e-5, 2e-5])), b * (1 + rng.choice([0, 0.9e-5, 3e-5]))) for a, b in base for _ in range(4)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "k long, a double, b double")
+    close = lambda x, y: abs(x - y) <= 1e-5 * max(abs(x), abs(y))
+    want = {i for i, p in enumerate(points) if any(close(p[0], q[0]) and close(p[1], q[1]) for q in points[:i])}
+    assert {r["k"] for r in pareto._nearly_equal(df, ["a", "b"], "k").collect()} == want
