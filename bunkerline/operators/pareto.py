@@ -98,7 +98,7 @@ def _drop_beaten(vectors: DataFrame, objectives: list[str], grouped: bool) -> Da
     mean = reduce(lambda a, b: a + b, [F.ln(F.greatest(F.col(c), F.lit(1e-300))) for c in objectives])
     best = [F.min_by(vector, by).alias(f"_p{i}") for i, by in enumerate([mean, *[F.struct(c, *objectives) for c in objectives]])]
     pivots = vectors.groupBy("_key").agg(*best) if grouped else vectors.agg(*best).withColumn("_key", F.lit(""))
-    rows = vectors.join(F.broadcast(pivots), "_key")
+    rows = vectors.join(pivots if grouped else F.broadcast(pivots), "_key")
     for i in range(len(best)):
         rows = rows.where(~dominates([F.col(f"_p{i}.{c}") for c in objectives], [F.col(c) for c in objectives]))
     return rows.select(*vectors.columns)
@@ -148,7 +148,7 @@ def _grid_front(survivors: DataFrame, objectives: list[str], count: int) -> Data
             routes.append((key, [int(v) for v in grid[source]], f"{key}#{'.'.join(map(str, grid[target]))}", bool(source == target)))
     # bounded by the square of MAX_CELLS per group
     table = survivors.sparkSession.createDataFrame(routes, "_key string, _cell array<int>, _target string, _here boolean")
-    sent = placed.join(F.broadcast(table), ["_key", "_cell"]).withColumn("_own", F.col("_here")).drop("_here", "_cell")
+    sent = placed.join(table, ["_key", "_cell"]).withColumn("_own", F.col("_here")).drop("_here", "_cell")
     return _stream_fronts(sent.repartition("_target"), objectives, "_target").drop("_target")
 
 

@@ -84,7 +84,7 @@ def predict(
 ) -> DataFrame:
     """Add ``predicted_power_kw`` and ``cold_start`` (type not in training: pooled coefficients).
 
-    Coefficients are one row per declared type, so they are broadcast.
+    Coefficients are one row per filed type, which is free text, so the size check decides how they are joined.
     """
     table = coefficients.where(F.col("ship_type") != POOLED).select(
         F.col("ship_type").alias("_type"), F.col("intercept").alias("_a"),
@@ -92,7 +92,7 @@ def predict(
     pooled = coefficients.where(F.col("ship_type") == POOLED).select(
         F.lit(1).alias("_k"), F.col("intercept").alias("_pa"),
         F.col("displacement_exponent").alias("_pb"), F.col("speed_exponent").alias("_pn"))
-    joined = rows.join(F.broadcast(table), F.col(group) == F.col("_type"), "left").withColumn("_k", F.lit(1)).join(
+    joined = rows.join(table, F.col(group) == F.col("_type"), "left").withColumn("_k", F.lit(1)).join(
         F.broadcast(pooled), "_k")
     log_power = (
         F.coalesce("_a", "_pa") + F.coalesce("_b", "_pb") * _positive_log(size)

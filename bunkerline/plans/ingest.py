@@ -121,13 +121,9 @@ def _(t: Inputs):
 SELECT report_coverage, CAST(year AS INTEGER) AS reporting_period, count(*) AS filings FROM (
   SELECT report_coverage, regexp_extract(source_file, '[0-9]{4}', 0) AS year FROM v_filings) GROUP BY ALL""")
 def _(t: Inputs):
-    parts = [
-        src.typed_filings(src.with_coverage(t.filings, c)).groupBy("report_coverage", F.regexp_extract(
-            "source_file", src.PERIOD_PATTERN, 0).cast("int").alias("reporting_period"))
-        .agg(F.count(F.lit(1)).alias("filings"))
-        for c in ("full", "partial")
-    ]
-    return parts[0].unionByName(parts[1])
+    period = F.regexp_extract("source_file", src.PERIOD_PATTERN, 0).cast("int")
+    known = src.typed_filings(t.filings.where(F.col("report_coverage").isin("full", "partial")))
+    return known.groupBy("report_coverage", period.alias("reporting_period")).agg(F.count(F.lit(1)).alias("filings"))
 
 
 META = ["file_order", "source_file", "report_coverage", "file_version"]
@@ -342,12 +338,8 @@ def _(t: Inputs):
 SELECT source_file, count(*) AS rows_read, count(*) FILTER (imo IS NOT NULL AND total_fuel_t IS NOT NULL) AS kept,
        count(*) FILTER (imo IS NULL OR total_fuel_t IS NULL) AS dropped FROM o_clean GROUP BY source_file""")
 def _(t: Inputs):
-    read = t.typed.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_read"))
-    kept = src.drop_blank(t.typed).groupBy("source_file").agg(F.count(F.lit(1)).alias("kept"))
-    return read.join(kept, "source_file", "left").select(
-        "source_file", "rows_read", F.coalesce("kept", F.lit(0)).alias("kept"),
-        (F.col("rows_read") - F.coalesce("kept", F.lit(0))).alias("dropped"),
-    )
+    counts = t.typed.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(src.is_filled()).alias("kept"))
+    return counts.select("*", (F.col("rows_read") - F.col("kept")).alias("dropped"))
 
 
 @query("cln_imo_cast", """

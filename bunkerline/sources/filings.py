@@ -181,8 +181,13 @@ def cell_kind_counts(text: DataFrame, examples: int = 3) -> DataFrame:
     return counts.join(shown, ["source_file", "column"], "left")
 
 
+def is_filled() -> Column:
+    """A filing that names its ship and its fuel."""
+    return F.col("imo").isNotNull() & F.col("total_fuel_t").isNotNull()
+
+
 def drop_blank(typed: DataFrame) -> DataFrame:
-    return typed.where(F.col("imo").isNotNull() & F.col("total_fuel_t").isNotNull())
+    return typed.where(is_filled())
 
 
 def deduplicate(
