@@ -9,8 +9,9 @@ possible number of tokens that one of two linked documents of this size has and
   combinations of two that follow each other in the order. Where no rare token is shared, the extended prefixes share more frequent tokens than
   there are tokens of only one document to come between them, so two of the shared ones are neighbours in both.
 
-Equal token sets are one node from the start. Singly indexed nodes are compared within a key by bit signatures, which bound the
-overlap from above; what remains, and the nodes under each combination, are joined into clusters, and the sets of a cluster are compared exactly, each pair once. Clusters above
+Equal token sets are one node from the start. Nodes under a rare token, once for each different
+group of them, are compared by bit signatures, which bound the overlap from above. Candidates, and the nodes under each combination, are joined into clusters, and the
+sets of a cluster are compared exactly, each pair once. Clusters above
 `block` nodes are cut into blocks that meet pairwise, so no task holds more. Only one link for each node leaves a task.
 
 Defined cases: null and empty texts have no tokens, no links and are components of their own; a text shorter than the n-gram is one token;
@@ -35,8 +36,8 @@ from bunkerline.llm.components import components
 
 #: Cells of the frequency table, and of a piece of it; the table that is broadcast has a bit for each cell.
 CELLS, PIECE = 1 << 24, 1 << 16
-BLOCK = 2048
-REMEMBERED = 500_000
+BLOCK = 1024
+REMEMBERED = 250_000
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -71,8 +72,8 @@ class Tokens:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """A bit for each residue of the tokens; two bits a token or more, a power of two in all."""
-    bits = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    """A bit for each residue of the tokens; one bit a token or more, a power of two in all."""
+    bits = max(64, 1 << (len(tokens) - 1).bit_length())
     marks = np.zeros(bits, np.uint8)
     marks[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(marks, bitorder="little").tobytes()
@@ -95,13 +96,18 @@ def _linked(shared: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int,
     return at_least.denominator * shared >= at_least.numerator * (a + b - shared)
 
 
+def short(node: bytes) -> int:
+    """The name of a node while candidates are sought, where two nodes of one name would only be compared too often."""
+    return int.from_bytes(node[:8], "little", signed=True)
+
+
 def _scan(docs: DataFrame, width: int) -> DataFrame:
     """A row (doc_id, node, n) for each document, and pieces (piece, counts) of the tasks' frequency tables."""
     kind = docs.schema["doc_id"].dataType
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, counts, seen, id_type = Tokens(width), np.zeros(CELLS, np.uint16), set(), None
-        names = ["doc_id", "node", "n", "piece", "counts"]
+        names = ["doc_id", "node", "short", "n", "piece", "counts"]
         for batch in batches:
             id_type = batch.column("doc_id").type
             for part in slices(batch, "text", 4 << 20):
@@ -116,31 +122,38 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                         cells = (own & np.uint64(CELLS - 1)).astype(np.int64)
                         counts[cells] = np.minimum(counts[cells], 65534) + 1
                 empty = pa.nulls(len(nodes), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), empty, pa.nulls(len(nodes), pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes, pa.binary()), pa.array([short(x) for x in nodes], pa.int64()), pa.array(sizes, pa.int64()), empty, pa.nulls(len(nodes), pa.binary())], names)
         if id_type is None:
             return
         used = [k for k in range(CELLS // PIECE) if counts[k * PIECE : (k + 1) * PIECE].any()]
         for at in range(0, len(used), 32):
             own = used[at : at + 32]
             packed = [zlib.compress(counts[k * PIECE : (k + 1) * PIECE].tobytes(), 1) for k in own]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), id_type), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), id_type), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(scan, f"doc_id {kind.simpleString()}, node binary, n long, piece int, counts binary")
+    return docs.mapInArrow(scan, f"doc_id {kind.simpleString()}, node binary, short long, n long, piece int, counts binary")
 
 
 def _frequent(pieces: DataFrame) -> np.ndarray:
     """A bit for each cell that holds clearly more than the mean."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        at, own = None, np.zeros(PIECE, np.int64)
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([int(own.sum())]), pa.array([zlib.compress(np.minimum(own, 2**31).astype(np.uint32).tobytes(), 1)])], ["piece", "total", "counts"])
+
         for batch in batches:
             for piece, counts in zip(batch.column("piece").to_pylist(), batch.column("counts").to_pylist()):
-                own = np.frombuffer(zlib.decompress(counts), np.uint16)
-                sums[piece] = sums.get(piece, np.zeros(PIECE, np.int64)) + own
-        for piece, own in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([int(own.sum())]), pa.array([zlib.compress(np.minimum(own, 2**31).astype(np.uint32).tobytes(), 1)])], ["piece", "total", "counts"])
-
-    summed = stash(pieces.repartition("piece").mapInArrow(add, "piece int, total long, counts binary"))
+                if piece != at:
+                    if at is not None:
+                        yield told()
+                    at, own = piece, np.zeros(PIECE, np.int64)
+                own += np.frombuffer(zlib.decompress(counts), np.uint16)
+        if at is not None:
+            yield told()
+
+    summed = stash(pieces.repartition("piece").sortWithinPartitions("piece").mapInArrow(add, "piece int, total long, counts binary"))
     mean = (summed.agg(F.sum("total")).first()[0] or 0) / CELLS
     limit = 3 + 2 * mean
 
@@ -171,7 +184,7 @@ def keys(tokens: np.ndarray, frequent: np.ndarray, at_least: Fraction) -> tuple[
 
 
 def _index(docs: DataFrame, width: int, at_least: Fraction, frequent: np.ndarray) -> DataFrame:
-    """(node, n, signature, singles, pairs) of documents large enough to link to a different set."""
+    """(node, n, bits, singles, pairs) of documents large enough to link to a different set."""
     table = docs.sparkSession.sparkContext.broadcast(frequent)
     smallest = -(-at_least.numerator // (at_least.denominator - at_least.numerator))
 
@@ -186,12 +199,12 @@ def _index(docs: DataFrame, width: int, at_least: Fraction, frequent: np.ndarray
                     if len(own) < smallest or node in seen:
                         continue
                     seen.add(node)
-                    rows.append((node, len(own), signature(own), *(k.view(np.int64) for k in keys(own, table.value, at_least))))
+                    rows.append((short(node), len(own), signature(own), *(k.view(np.int64) for k in keys(own, table.value, at_least))))
                 columns = list(zip(*rows)) or [()] * 5
-                kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "n", "bits", "singles", "pairs"])
 
-    return docs.mapInArrow(scan, "node binary, n long, bits binary, singles array<long>, pairs array<long>")
+    return docs.mapInArrow(scan, "node long, n long, bits binary, singles array<long>, pairs array<long>")
 
 
 def _compare(postings: DataFrame, at_least: Fraction) -> DataFrame:
@@ -212,7 +225,7 @@ def _compare(postings: DataFrame, at_least: Fraction) -> DataFrame:
                         found.append(edge)
 
         def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.binary()) for k in (0, 1)], ["u", "v"])
+            batch = pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
             found.clear()
             if len(told) > REMEMBERED:
                 told.clear()
@@ -229,7 +242,38 @@ def _compare(postings: DataFrame, at_least: Fraction) -> DataFrame:
         yield flush()
 
     ordered = postings.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(scan, "u binary, v binary").distinct()
+    return ordered.mapInArrow(scan, "u long, v long").distinct()
+
+
+def _compare_pairs(pairs: DataFrame, at_least: Fraction) -> DataFrame:
+    """Those of the pairs whose signatures allow a link."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n_u", "bits_u", "n_v", "bits_v")]
+            named = lambda n, bits: (n, len(bits), int.from_bytes(bits, "little"))
+            may = [_linked(_most_shared(named(a, x), named(b, y)), a, b, at_least) for a, x, b, y in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(may, pa.bool_())) for c in ("u", "v")], ["u", "v"])
+
+    return pairs.mapInArrow(scan, "u long, v long")
+
+
+def _candidates(index: DataFrame, at_least: Fraction) -> DataFrame:
+    """Edges (u, v) that join all nodes that may be linked."""
+    singles = index.select(F.explode("singles").alias("key"), "node").repartition("key")  # rare tokens: no key is large; dealt out once for both uses
+    h = F.xxhash64("node")
+    sums = [F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("s1"), F.sum(F.shiftrightunsigned(h, 33)).alias("s2")]
+    met = singles.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("c"), *sums).where("u <> v")
+    twos = met.where("c = 2").select("u", "v").distinct()
+    chosen = met.where("c > 2").groupBy("u", "v", "c", "s1", "s2").agg(F.min("key").alias("key")).select("key")
+    signed = index.select("node", "n", "bits").dropDuplicates(["node"])
+    u, v = (signed.select(*(F.col(c).alias(f"{c}_{x}") for c in signed.columns)) for x in "uv")
+    twos = _compare_pairs(twos.join(u, twos["u"] == u["node_u"]).join(v, twos["v"] == v["node_v"]).select("u", "v", "n_u", "bits_u", "n_v", "bits_v"), at_least)
+    postings = singles.join(chosen, "key").join(signed, "node")
+    pairs = index.select(F.explode("pairs").alias("key"), "node")
+    hubs = pairs.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("b")).where("v <> b").select("key", "v")
+    stars = pairs.join(hubs, "key").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    return twos.unionByName(_compare(postings, at_least)).unionByName(stars)
 
 
 def verify(nodes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, at_least: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -248,13 +292,13 @@ def verify(nodes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, side:
     overlap = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    step = max(1, (8 << 20) // len(sets))
+    step = max(1, (2 << 20) // len(sets))
     for at in range(0, width, step):
         a, b = np.searchsorted(column, [at, at + step])
         rows = np.zeros((len(sets), min(step, width - at)), np.float32)
         rows[owner[a:b], column[a:b] - at] = 1
         overlap += rows @ rows.T
-    linked = _linked(overlap.astype(np.int64), n[:, None], n[None, :], at_least)
+    linked = np.stack([_linked(overlap[i].astype(np.int64), n[i], n, at_least) for i in range(len(n))])
     np.fill_diagonal(linked, False)
     if side.any():
         linked &= side[:, None] != side[None, :]
@@ -269,28 +313,30 @@ def verify(nodes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, side:
     return root, linked @ copies
 
 
-def _verify_clusters(rows: DataFrame, at_least: Fraction) -> DataFrame:
-    """(node, root, links) of rows (task, side, node, copies, tokens) that come sorted by task."""
+def _verify_clusters(rows: DataFrame, width: int, at_least: Fraction) -> DataFrame:
+    """(node, root, links) of rows (task, side, node, copies, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, {}
+        at, group, tokens = None, {}, Tokens(width)
 
         def settle() -> pa.RecordBatch:
             nodes = list(group)
             root, links = np.zeros(0, np.int64), np.zeros(0, np.int64)
             if len(nodes) > 1:
-                sets = [np.frombuffer(group[x][2], np.uint64) for x in nodes]
+                sets = [group[x][2] for x in nodes]
                 root, links = verify(nodes, sets, np.array([group[x][1] for x in nodes]), np.array([group[x][0] for x in nodes]), at_least)
             own = np.flatnonzero(links)
             return pa.RecordBatch.from_arrays([pa.array([nodes[i] for i in own], pa.binary()), pa.array([nodes[root[i]] for i in own], pa.binary()), pa.array(links[own].astype(np.int64))], ["node", "root", "links"])
 
         for batch in batches:
-            for task, side, node, copies, tokens in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "copies", "tokens"))):
+            for task, side, node, copies, text in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "node", "copies", "text"))):
                 if task != at:
                     if group:
                         yield settle()
                     at, group = task, {}
-                group[node] = (side, copies, tokens)
+                own = tokens((text or "").encode())
+                if xxhash.xxh3_128_digest(own.tobytes()) == node:  # not another text of the same id
+                    group[node] = (side, copies, own)
         if group:
             yield settle()
 
@@ -303,44 +349,27 @@ def join_texts(docs: DataFrame, width: int = 3, at_least: Fraction = Fraction(9,
         raise ValueError("the prefixes need a similarity from 0.8 to below 1")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanned = stash(_scan(plain, width))
-    texts = scanned.where("piece is null").select("doc_id", "node", "n")
-    classes = texts.where("n > 0").groupBy("node").agg(F.count("*").alias("copies"))
+    texts = scanned.where("piece is null").select("doc_id", "node", "short", "n")
+    carrier = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("carrier")
+    classes = texts.where("n > 0").groupBy("node", "short").agg(F.count("*").alias("copies"), carrier)
     frequent = _frequent(scanned.where("piece is not null").select("piece", "counts"))
     index = stash(_index(plain, width, at_least, frequent))
-    singles = index.select(F.explode("singles").alias("key"), "node")
-    pairs = index.select(F.explode("pairs").alias("key"), "node")
-    met = singles.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key")
-    postings = singles.join(met, "key").join(index.select("node", "n", "bits"), "node")
-    hubs = pairs.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("key", "a")
-    stars = pairs.join(hubs, "key").where("node <> a").select(F.col("node").alias("u"), F.col("a").alias("v")).distinct()
-    clusters = components(_compare(postings, at_least).unionByName(stars))
+    clusters = components(_candidates(index, at_least))
 
     sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "root").join(classes, "node")
-    carriers = texts.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"))
-    chosen = members.join(carriers, "node")
-    text = plain.withColumn("_id", F.xxhash64("doc_id")).join(chosen.select(F.xxhash64("doc_id").alias("_id"), F.lit(True).alias("_")).distinct(), "_id").select("text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(width)
-        for batch in batches:
-            for part in slices(batch, "text", 4 << 20):
-                own = [tokens(t).tobytes() for t in blobs(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x) for x in own], pa.binary()), pa.array(own, pa.binary())], ["node", "tokens"])
-
-    placed = text.mapInArrow(sets, "node binary, tokens binary").join(members, "node")
+    members = clusters.join(sizes, "root").withColumnRenamed("node", "short").join(classes, "short")
+    members = members.select(F.xxhash64("carrier").alias("_id"), "root", "blocks", "node", "copies")
+    placed = plain.select(F.xxhash64("doc_id").alias("_id"), "text").join(members, "_id")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    task = F.struct("root", low.alias("i"), high.alias("j"))
-    side = F.when(F.col("blocks") == 1, 0).when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2)
-    rows = placed.select(F.xxhash64(task).alias("h"), task.alias("t"), side.alias("side"), "node", "copies", "tokens")
-    rows = rows.select(F.concat_ws("-", F.hex("t.root"), "t.i", "t.j").alias("task"), "side", "node", "copies", "tokens")
-    links = stash(_verify_clusters(rows, at_least))
+    side = F.when(low == high, 0).when(F.col("mine") == low, 1).otherwise(2)
+    rows = placed.select(F.concat_ws("-", "root", low, high).alias("task"), side.alias("side"), "node", "copies", "text")
+    links = stash(_verify_clusters(rows, width, at_least))
     roots = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
 
-    found = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes, "node", "left").join(counts, "node", "left")
+    found = texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(classes.select("node", "copies"), "node", "left").join(counts, "node", "left")
     least = found.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = found.join(least, "root", "left")
     return named.select(
