@@ -22,6 +22,7 @@ stay. Long texts are cut into overlapping blocks, so memory does not grow with t
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,7 +36,7 @@ from bunkerline.llm.common import blobs, signed, slices, stash, tag
 LENGTH, ANCHOR = 400, 200
 #: Distinct contexts of one anchor that one task sorts; larger groups count windows as rows.
 MOST = 4096
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -45,18 +46,18 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     n = len(text)
     symbols = sorted(set(text))
     name = {c: g for g, c in enumerate(symbols)}
-    group = [name[c] for c in text]
-    members: list[list[int]] = [[] for _ in symbols]
+    group = array("i", [name[c] for c in text])
+    members: list[list[int] | int] = [[] for _ in symbols]
     for i, g in enumerate(group):
         members[g].append(i)
-    below = list(range(-1, len(symbols) - 1))
-    above = list(range(1, len(symbols) + 1))
-    smaller = [-1] * n
+    below = array("i", range(-1, len(symbols) - 1))
+    above = array("i", range(1, len(symbols) + 1))
+    smaller = array("i", bytes(4 * n))
     done = bytearray(n)
     g = len(symbols) - 1
     while g >= 0:
         own = [i for i in members[g] if group[i] == g]
-        members[g] = own
+        members[g] = len(own)  # of a finished group only the size is needed
         extended = []
         for i in own:
             done[i] = 1
@@ -101,14 +102,14 @@ def _by_count(ascending: list[int]) -> list[list[int]]:
     return [levels[c] for c in sorted(levels, reverse=True)]
 
 
-def _emit(n: int, group: list[int], members: list[list[int]], below: list[int], smaller: list[int], g_last: int) -> list[int]:
-    free = [0] * len(members)
+def _emit(n: int, group: array, sizes: list[int], below: array, smaller: array, g_last: int) -> list[int]:
+    free = array("i", bytes(4 * len(sizes)))
     end, g = n, g_last
     while g >= 0:
-        end -= len(members[g])
+        end -= sizes[g]
         free[g] = end
         g = below[g]
-    order = [0] * n
+    order = array("i", bytes(4 * n))
     placed = bytearray(n)
     for k in range(-1, n):
         j = (n if k < 0 else order[k]) - 1
@@ -118,7 +119,7 @@ def _emit(n: int, group: list[int], members: list[list[int]], below: list[int],
             free[g] += 1
             placed[j] = 1
             j = smaller[j]
-    return order
+    return order.tolist()
 
 
 class Windows:
@@ -215,9 +216,9 @@ def repeated_starts(contexts: list[tuple[int, int, int, bytes]], length: int, an
         symbols.append(core)
         symbols += a[right:]
         symbols.append(stop)
-    order = suffix_array(symbols)
     text: Sequence[int] = bytes(symbols) if plain else symbols
-    rank = [0] * len(order)
+    order = array("i", suffix_array(text))
+    rank = array("i", bytes(4 * len(order)))
     for k, i in enumerate(order):
         rank[i] = k
     last = len(order) - 1
@@ -331,7 +332,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     """Merged byte spans (k1, k2, spans) to remove, from documents (k1, k2, text); the keys name a text."""
     found = stash(_find(docs, length, anchor))
     groups = found.groupBy("anchor").agg(F.count("*").alias("all"), F.min("context").alias("a"), F.max("context").alias("b")).where("all > 1")
-    kept = stash(found.join(groups.select("anchor", (F.col("a") != F.col("b")).alias("differ")), "anchor"))
+    groups = stash(groups.select("anchor", (F.col("a") != F.col("b")).alias("differ")))  # as a table, so that the join may split a common anchor
+    kept = stash(found.join(groups, "anchor"))
     distinct = kept.where("differ").groupBy("anchor", "context").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "lo", "n", "at")).alias("r"))
     sizes = distinct.groupBy("anchor").agg((F.count("*") > most).alias("large"))
     chosen = distinct.join(sizes, "anchor").select("r.k1", "r.k2", F.struct("anchor", "context", "copies", "r.lo", "r.n", "r.at", "large").alias("c"))
