@@ -9,7 +9,7 @@ A turn is `<|im_start|>role`, a line end, the text, `<|im_end|>` and a line end.
 `<|` becomes `<\\|`, so that no control string is left in them; in roles a line end becomes `\\n`. `read_back` undoes this.
 
 Defined cases: null roles and texts are empty; rows without conversation form one, whose id is null; turns in a table of rows are ordered by
-turn, null first, then role and text, so repeated rows are turns of their own; a parent that does not exist makes a root; messages on a cycle
+turn, null first, then role and text, so repeated rows are turns of their own; a parent that does not exist makes a root; a null score counts 0; messages on a cycle
 are in no path; an empty table gives an empty result. A path is one row, as its text is one string; nothing else is gathered.
 """
 
@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bunkerline.llm.common import store
@@ -76,28 +76,30 @@ def chains(rows: DataFrame) -> DataFrame:
     return numbered.withColumn("parent", F.when(F.col("id") > 1, F.col("id") - 1)).withColumn("score", F.lit(0.0))
 
 
-def _same(a: DataFrame, x: str, b: DataFrame, y: str) -> Column:
-    return a["conv_id"].eqNullSafe(b["conv_id"]) & (a[x] == b[y])
+def _climb(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Jumps (conv_id, id, up, sum) of 1, 2, 4, ... steps, of the messages that have such an ancestor, and (conv_id, id, root, steps, sum).
 
-
-def _climb(messages: DataFrame) -> list[DataFrame]:
-    """Tables (conv_id, id, up, steps, sum): the ancestor 2^k steps up where there is one, else the root with the steps to it.
-
-    `sum` is the score of the messages from `id` up to below `up`. The last table has every message's root.
+    `sum` is the score of the messages from `id` up to below `up` or `root`. A message takes part in as many rounds as its depth has
+    bits; the longest jump it has ends at a message whose root an earlier round has found. Messages on a cycle find none.
     """
     ids = messages.select(F.col("conv_id").alias("c"), F.col("id").alias("p"))
-    joined = messages.join(ids, messages["conv_id"].eqNullSafe(ids["c"]) & (messages["parent"] == ids["p"]), "left")
-    first = joined.select("conv_id", "id", F.coalesce("p", "id").alias("up"), F.col("p").isNotNull().cast("long").alias("steps"), F.when(F.col("p").isNotNull(), F.col("score")).otherwise(F.lit(0.0)).alias("sum"))
-    tables = [store(first)]
-    longest = max(2, messages.count())  # no path has more; messages on a cycle never end one
-    while True:
-        low, high = tables[-1], tables[-1].select(*(F.col(c).alias(f"n_{c}") for c in tables[-1].columns))
-        both = low.join(high, low["conv_id"].eqNullSafe(high["n_conv_id"]) & (low["up"] == high["n_id"]))
-        new = store(both.select("conv_id", "id", F.col("n_up").alias("up"), (F.col("steps") + F.col("n_steps")).alias("steps"), (F.col("sum") + F.col("n_sum")).alias("sum")))
-        tables.append(new)
-        running = new.where(F.col("steps") == 1 << len(tables) - 1).limit(1).count()
-        if not running or 1 << len(tables) - 1 >= longest:
-            return tables
+    joined = store(messages.join(ids, messages["conv_id"].eqNullSafe(ids["c"]) & (messages["parent"] == ids["p"]), "left").select("conv_id", "id", F.col("p").alias("up"), F.coalesce("score", F.lit(0.0)).alias("sum")))
+    roots = joined.where("up is null").select("conv_id", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("steps"), F.lit(0.0).alias("sum"))
+    jumps, longest = [joined.where("up is not null")], messages.count()
+    while 1 << len(jumps) <= 2 * longest:
+        low = jumps[-1]
+        high = low.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), F.col("up").alias("further"), F.col("sum").alias("more"))
+        both = store(low.join(high, low["conv_id"].eqNullSafe(high["c"]) & (low["up"] == high["i"]), "left").select("conv_id", "id", "up", "sum", "further", "more"))
+        ending = both.where("further is null").select("conv_id", "id", "up", "sum")
+        known = roots.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "root", "steps", F.col("sum").alias("above"))
+        met = ending.join(known, ending["conv_id"].eqNullSafe(known["c"]) & (ending["up"] == known["i"]))
+        steps = F.col("steps") + F.lit(1 << len(jumps) - 1)
+        roots = store(roots.unionByName(met.select("conv_id", "id", "root", steps.alias("steps"), (F.col("sum") + F.col("above")).alias("sum"))))
+        following = both.where("further is not null").select("conv_id", "id", F.col("further").alias("up"), (F.col("sum") + F.col("more")).alias("sum"))
+        if not following.limit(1).count():
+            break
+        jumps.append(following)
+    return jumps, roots
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -106,20 +108,16 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     `messages` has (conv_id, id, parent, role, text, score); ids are unique within a conversation. Branches rank by summed score, then length, then leaf.
     """
     messages = store(messages)
-    tables = _climb(messages)
-    root = tables[-1]
+    jumps, roots = _climb(messages)
     parents = messages.select(F.col("conv_id").alias("c"), F.col("parent").alias("p")).where("p is not null").distinct()
-    ends = root.join(messages.select(F.col("conv_id").alias("m"), F.col("id").alias("i"), "parent", "score"), root["conv_id"].eqNullSafe(F.col("m")) & (root["id"] == F.col("i")))
-    ends = ends.drop("m", "i").join(parents, ends["conv_id"].eqNullSafe(F.col("c")) & (ends["id"] == F.col("p")), "left_anti")
-    top = root.where("id = up").select(F.col("conv_id").alias("c"), F.col("id").alias("r"))
-    tops = messages.select(F.col("conv_id").alias("c"), F.col("id").alias("r"), F.col("score").alias("first"))
-    top = top.join(tops, top["c"].eqNullSafe(tops["c"]) & (top["r"] == tops["r"])).select(top["c"], top["r"], "first")
-    ranked = ends.join(top, ends["conv_id"].eqNullSafe(top["c"]) & (ends["up"] == top["r"]))
-    order = Window.partitionBy("conv_id").orderBy((F.col("sum") + F.col("first")).desc(), F.desc("steps"), "id")
+    leaves = roots.join(parents, roots["conv_id"].eqNullSafe(parents["c"]) & (roots["id"] == parents["p"]), "left_anti")
+    tops = messages.where("score is not null").select(F.col("conv_id").alias("c"), F.col("id").alias("r"), F.col("score").alias("first"))
+    ranked = leaves.join(tops, leaves["conv_id"].eqNullSafe(tops["c"]) & (leaves["root"] == tops["r"]), "left")
+    order = Window.partitionBy("conv_id").orderBy((F.col("sum") + F.coalesce("first", F.lit(0.0))).desc(), F.desc("steps"), "id")
     chosen = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
-    found = chosen.select("conv_id", F.col("id").alias("path"), "rank", "id", F.col("steps").alias("position"))
-    for k in range(len(tables) - 2, -1, -1):
-        step = tables[k].where(F.col("steps") == 1 << k).select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "up")
+    found = store(chosen.select("conv_id", F.col("id").alias("path"), "rank", "id", F.col("steps").alias("position")))
+    for k in range(len(jumps) - 1, -1, -1):
+        step = jumps[k].select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "up")
         above = found.join(step, found["conv_id"].eqNullSafe(step["c"]) & (found["id"] == step["i"]))
         found = store(found.unionByName(above.select("conv_id", "path", "rank", F.col("up").alias("id"), (F.col("position") - (1 << k)).alias("position"))))
     texts = messages.select(F.col("conv_id").alias("c"), F.col("id").alias("i"), "role", "text")
