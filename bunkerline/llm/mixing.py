@@ -4,10 +4,12 @@ Method: a min-cost flow. Documents are summed by membership pattern (the set of
 a pattern's words flow to its sources' quotas, the first copy of a word free, every further one dearer than the last,
 up to `repeats` copies. The flow of a pattern's copy to its sources is then filled with documents in a seeded order: cumulative
 sizes cut the order into one stretch for each source, and the words missing at a stretch's end go to the largest
-unused documents that fit, `fills` times.
+unused documents that fit, `fills` times. What a source lacks after that goes to cumulative-sum passes over the unused documents that fit, in the
+seeded order, until none fits: a source ends less than its smallest unused document below its quota.
 
 The driver sees one row for each pattern and source, which is the mixture's definition and not its data. Cumulative sizes
-come from sums per (pattern, bucket of the seeded hash) and a window within a bucket, so one source may hold any share of the rows.
+come from sums per (pattern, bucket of the seeded hash) and a window within a bucket, so one source may hold any share of the rows. The passes sum per
+source in the same way; each takes at least one document for a source that has one, and in a random order about halves what is missing or uses up what fits.
 
 Defined cases: null and empty texts have size 0; a null source is a source, last in order; a document of no source, or of
 sources without quota, is not taken; repeated rows are taken on their own; an empty table gives an empty result; all given columns stay.
@@ -16,6 +18,7 @@ sources without quota, is not taken; repeated rows are taken on their own; an em
 from __future__ import annotations
 
 from collections import deque
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,8 +174,46 @@ def mix(docs: DataFrame, size: Column, sources: Column, quotas: dict, key: str =
             lack[at] -= r["b"]["n"]
         if not best:
             break
-    picks = spark.createDataFrame([(list(names), at, (c, s)) for names, c, _, at, s in picked], f"`{pat}p` {kind}, `{base}` long, more struct<copy:int,source:{name}>")
-    picks = F.broadcast(picks.groupBy(f"{pat}p", base).agg(F.collect_list("more").alias("more")))
+    first = spark.createDataFrame([(list(names), at, (c, s)) for names, c, _, at, s in picked], f"`{pat}p` {kind}, `{base}` long, more struct<copy:int,source:{name}>")
+    more = first.groupBy(f"{pat}p", base).agg(F.collect_list("more").alias("more"))
+
+    # then whole passes: every unused document, in the copies its pattern's flow reaches, for any of its sources that still lacks its size
+    missing = {s: int(q) - sum(seg[3] - seg[2] for _, own in table for seg in own if seg[1] == s) for s, q in quotas.items()}
+    for (names, _), (_, own) in zip(patterns, table):
+        for seg in own:
+            missing[seg[1]] += lack[names, seg[0], seg[4]]
+    known = list(quotas)
+    reach = [(list(names), [known.index(s) for s in names if s in missing], 1 + max([seg[0] for seg in own], default=0)) for (names, _), (_, own) in zip(patterns, table)]
+    reach = spark.createDataFrame(reach, f"`{pat}p` {kind}, open array<int>, most int")
+    at = (F.col(pat).eqNullSafe(F.col(f"{pat}p"))) & (F.col(cum) == F.col(base))
+    rest = placed.where(F.col("size") > 0).join(F.broadcast(more), at, "left").drop(f"{pat}p", base)
+    gone = F.concat(*(F.coalesce(F.transform(c, lambda s: s["copy"]), F.array().cast("array<int>")) for c in ("takes", "more")))
+    rest = rest.join(F.broadcast(reach), F.col(pat).eqNullSafe(F.col(f"{pat}p"))).withColumn("gone", gone)
+    rest = rest.select(pat, cum, h, b, F.col(key).alias("key"), "size", "open", F.explode(F.array_except(F.sequence(F.lit(0), F.col("most") - 1), "gone")).alias("copy"))
+    passes: list[DataFrame] = []
+    while any(n > 0 for n in missing.values()):
+        lacks = F.broadcast(spark.createDataFrame([([missing[s] for s in known],)], "lacks array<long>"))
+        rest = rest.crossJoin(lacks).withColumn("fits", F.filter("open", lambda s: F.get("lacks", s) >= F.col("size"))).where(F.size("fits") > 0)
+        turn = F.pmod(F.xxhash64(h, "copy", F.lit(len(passes))), F.greatest(F.size("fits"), F.lit(1))).cast("int")
+        rest = rest.withColumn("to", F.get("fits", turn)).withColumn("lack", F.get("lacks", F.col("to"))).drop("lacks", "fits")
+        earlier = Window.partitionBy("to").orderBy("copy", b).rowsBetween(Window.unboundedPreceding, -1)
+        ahead = rest.groupBy("to", "copy", b).agg(F.sum("size").alias("n")).select("to", "copy", b, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"))
+        within = Window.partitionBy("to", "copy", b).orderBy(h, "key", "size", cum).rowsBetween(Window.unboundedPreceding, 0)
+        rest = rest.withColumn("run", F.sum("size").over(within)).join(ahead, ["to", "copy", b])
+        rest = store(rest.withColumn("taken", F.col("run") + F.col("ahead") <= F.col("lack")).drop("run", "ahead", "lack"))
+        got = rest.where("taken").groupBy("to").agg(F.sum("size").alias("n")).collect()
+        if not got:
+            break
+        for r in got:
+            missing[known[r["to"]]] -= r["n"]
+        passes.append(rest.where("taken").select(F.col(pat).alias(f"{pat}p"), F.col(cum).alias(base), "copy", "to"))
+        rest = rest.where(~F.col("taken")).drop("taken", "to")
+    if passes:
+        numbers = spark.createDataFrame(list(enumerate(known)), f"to int, source {name}")
+        later = reduce(DataFrame.union, passes).join(F.broadcast(numbers), "to").select(f"{pat}p", base, F.struct("copy", "source").alias("more"))
+        picks = first.unionByName(later).groupBy(f"{pat}p", base).agg(F.collect_list("more").alias("more"))
+    else:
+        picks = F.broadcast(more)
     at = (F.col(pat).eqNullSafe(F.col(f"{pat}p"))) & (F.col(cum) == F.col(base)) & (F.col("size") > 0)
     done = placed.join(picks, at, "left")
     empty = F.array().cast(f"array<struct<copy:int,source:{name}>>")

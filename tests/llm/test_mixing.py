@@ -69,3 +69,31 @@ def test_overlapping_and_odd_rows(spark):
             got[s] = got.get(s, 0) + r["n"]
     assert abs(got["a"] - 1500) <= 16 and abs(got["b"] - 900) <= 16 and got[None] == 4
     assert mixing.mix(docs.limit(0), F.col("n"), F.col("names"), {}).count() == 0
+
+
+def missing_and_unused(out, quotas, repeats=2):
+    """For each source: words it lacks, and the sizes of its documents that were never taken, or once in a copy that is not full."""
+    lack = {s: int(q) - sum(r["size"] * r["takes"].count(s) for r in out) for s, q in quotas.items()}
+    whole = {s: q >= sum(r["size"] for r in out if s in r["names"]) for s, q in quotas.items()}
+    spare = {s: [r["size"] for r in out if s in r["names"] and r["size"] and len(r["takes"]) < (repeats if whole[s] else 1)] for s in quotas}
+    return lack, spare
+
+
+@pytest.mark.parametrize("seed", ["mix", "b", "c"])
+def test_a_long_text_leaves_no_gap_that_unused_short_ones_fill(spark, seed):
+    docs = spark.range(2001).select(F.col("id").alias("doc_id"), F.array(F.lit("a")).alias("names"), F.when(F.col("id") == 0, 200_000).otherwise(100 + F.col("id") % 3).alias("n"))
+    size = docs.agg(F.sum("n")).first()[0]
+    quotas = {"a": 1.5 * size}
+    lack, spare = missing_and_unused(mixing.mix(docs, F.col("n"), F.col("names"), quotas, seed=seed).collect(), quotas)
+    assert 0 <= lack["a"] < min(spare["a"], default=1), lack
+
+
+def test_no_unused_document_of_overlapping_sources_fits(spark):
+    rows = [(i, [["a"], ["b"], ["a", "b"], [None, "b"]][i % 4], 5000 if i % 97 == 0 else 10 + i % 7) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, names array<string>, n long")
+    quotas = {"a": 9000, "b": 6000, None: 1500}
+    out = mixing.mix(docs, F.col("n"), F.col("names"), quotas, seed="x").collect()
+    lack, spare = missing_and_unused(out, quotas)
+    assert all(set(r["takes"]) <= set(r["names"]) and len(r["takes"]) <= 2 for r in out)
+    for s in quotas:
+        assert 0 <= lack[s] < min((n for n in spare[s]), default=10**9), (s, lack)
