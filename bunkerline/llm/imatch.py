@@ -2,8 +2,8 @@
 
 Method: a term's document frequency decides whether it is in the lexicon: terms within a band of inverse document frequency stay,
 very common and very rare ones go. A document's distinct lexicon terms are sorted and split by a hash into `SUBSETS`
-randomised parts of the lexicon; the hash of each part is one component of the fingerprint. A document with many terms first takes a randomised half of
-the lexicon, a quarter and so on, until its parts have about one term each. Two fingerprints are as like as the share of their components that agree, of those that either has.
+randomised parts of the lexicon; the hash of each part is one component of the fingerprint. The parts are the same for every document and take all its
+lexicon terms, however many. Two fingerprints are as like as the share of their components that agree, of those that either has.
 
 Everything is DataFrame functions. Frequencies are counted over all documents with map-side combining; of the terms in the band,
 the lexicon takes `LEXICON` by their hash. It reaches the scan as a bit map of fixed size (`WORDS` longs, by a scalar subquery), in which a
@@ -24,6 +24,8 @@ from bunkerline.llm.common import stash, store
 #: Share of the documents a lexicon term occurs in: from, below.
 BAND = (0.0001, 0.02)
 SUBSETS = 64
+#: A part is named by twice three bits of a term's hash.
+_SPLIT = 8
 #: Characters of a component; one that has no term is dots.
 DIGITS, NONE = 4, "...."
 WORDS, LEXICON = 1 << 12, 1 << 15
@@ -59,17 +61,18 @@ def fingerprint(df: DataFrame, text: str, out: str, words: DataFrame) -> DataFra
 
     df = df.withColumn(f"{out}_in", F.filter(f"{out}_all", chosen)).drop(f"{out}_bits")
     own = F.when(F.size(f"{out}_in") > 0, F.col(f"{out}_in")).otherwise(F.col(f"{out}_all"))
-    df = df.withColumn(f"{out}_own", own)
-    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(f"{out}_own"), F.lit(1)) / F.lit(1.5 * SUBSETS)))).cast("int")
-    df = df.withColumn(f"{out}_mask", F.call_function("shiftleft", F.lit(1).cast("long"), halvings) - 1)
-    df = df.withColumn(f"{out}_own", F.array_sort(F.filter(f"{out}_own", lambda t: F.shiftright(t, 16).bitwiseAND(F.col(f"{out}_mask")) == 0)))
+    df = df.withColumn(f"{out}_own", F.array_sort(own))
+    of = lambda t, shift: F.shiftright(t, shift).bitwiseAND(F.lit(_SPLIT - 1))
+    # in two steps, so that a long text is not read once for every part
+    df = df.withColumns({f"{out}_own{i}": F.filter(f"{out}_own", lambda t: of(t, 6) == i) for i in range(_SPLIT)})  # noqa: B023
 
     def component(r: int) -> Column:
-        part = F.filter(f"{out}_own", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(SUBSETS - 1)) == r)
+        part = F.filter(f"{out}_own{r % _SPLIT}", lambda t: of(t, 9) == r // _SPLIT)
         digest = lambda x: F.substring(F.lpad(F.lower(F.hex(F.shiftrightunsigned(F.xxhash64(x), 48))), DIGITS, "0"), 1, DIGITS)
         return F.transform(F.array(part), lambda x: F.when(F.size(x) > 0, digest(x)).otherwise(F.lit(NONE)))[0]
 
-    return df.withColumn(out, F.array(*(component(r) for r in range(SUBSETS)))).drop(*(f"{out}_{c}" for c in ("all", "in", "own", "mask")))
+    working = ("all", "in", "own", *(f"own{i}" for i in range(_SPLIT)))
+    return df.withColumn(out, F.array(*(component(r) for r in range(SUBSETS)))).drop(*(f"{out}_{c}" for c in working))
 
 
 def components(fingerprints: Column) -> Column:

@@ -85,3 +85,26 @@ def test_odd_rows(spark):
     assert len(out) == 4 and {r["edited_sha256"] for r in out if r["doc_id"] == 2} == {hashlib.sha256(b"e a").hexdigest()}
     assert imatch.compare(docs.limit(0)).count() == 0
     assert imatch.compare(docs.limit(1)).count() == 1
+
+
+def whole_fingerprint(text, kept):
+    """As the module states it: every lexicon term of the text, in parts that are the same for all texts."""
+    every = hashes(text)
+    own = {h for h in every if h in kept} or every
+    out = ""
+    for r in range(imatch.SUBSETS):
+        seed, part = 42, sorted((h for h in own if (h >> 6) & (imatch.SUBSETS - 1) == r), key=SIGNED)
+        for h in part:
+            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
+        out += f"{seed >> 48:04x}" if part else imatch.NONE
+    return out
+
+
+def test_one_term_changes_one_part_whatever_the_number_of_terms(spark):
+    sizes = (95, 96, 191, 192, 384)
+    rows = [(i, " ".join(f"t{n}x{k}" for k in range(n + more))) for i, (n, more) in enumerate((n, more) for n in sizes for more in (0, 1, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["fingerprint"], r["near_next"]) for r in imatch.compare(docs, band=(0.0, 0.9)).collect()}
+    assert {d: f for d, (f, _) in got.items()} == {d: whole_fingerprint(t, hashes(t)) for d, t in rows}
+    for i in range(len(sizes)):
+        assert got[3 * i][1] > 0.95, (sizes[i], got[3 * i][1])
