@@ -5,9 +5,9 @@ very common and very rare ones go. A document's distinct lexicon terms are sorte
 randomised parts of the lexicon; the hash of each part is one component of the fingerprint. The parts are the same for every document and take all its
 lexicon terms, however many. Two fingerprints are as like as the share of their components that agree, of those that either has.
 
-Everything is DataFrame functions. Frequencies are counted over all documents with map-side combining; of the terms in the band,
-the lexicon takes `LEXICON` by their hash. It reaches the scan as a bit map of fixed size (`WORDS` longs, by a scalar subquery), in which a
-term stands for the others that share its bit.
+Everything is DataFrame functions. Frequencies are counted over all documents with map-side combining; every term in the band is in the
+lexicon and no other. It reaches the scan as a hash table of whole term hashes (by a scalar subquery), of `WORDS` rows or more as the band needs.
+A term in the band is in a share of the documents, so the table has at most 1 / BAND[0] times the mean number of distinct terms of a document, however many documents there are.
 
 Defined cases: null and empty texts have no terms and equal, empty fingerprints; a text without lexicon terms is fingerprinted by all its
 terms; equal texts have equal fingerprints whatever their ids; a null doc_id comes before all others; rows that share a doc_id have the same next
@@ -16,6 +16,8 @@ document, and a doc_id with several texts passes on the least of them; an empty
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,38 +30,43 @@ SUBSETS = 64
 _SPLIT = 8
 #: Characters of a component; one that has no term is dots.
 DIGITS, NONE = 4, "...."
+#: Rows of the least table, and the terms it is for; a larger lexicon has a table of twice the rows, and so on.
 WORDS, LEXICON = 1 << 12, 1 << 15
-#: The upper bits of a term's hash that name its word in the map.
+#: The upper bits of a term's hash that name its row in the least table.
 _SHIFT = 64 - WORDS.bit_length() + 1
 
 
+class Lexicon(NamedTuple):
+    table: DataFrame
+    shift: int
+
+
 def terms(text: Column) -> Column:
     """Hashes of the distinct lower-cased runs of letters and digits."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
 
 
-def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
-    """One row with the bit map of the terms in the band, from a table with `text`."""
+def lexicon(texts: DataFrame, band: tuple[float, float] = BAND) -> Lexicon:
+    """All terms in the band, from a table with `text`: one row with their hashes, dealt out by their upper bits."""
     n = texts.count()
     counts = texts.select(F.explode(terms(F.col("text"))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
-    kept = counts.where((F.col("n") >= max(2.0, band[0] * n)) & (F.col("n") < max(3.0, band[1] * n)))
-    one = F.expr("shiftleft(1L, cast(t & 63 as int))")
-    kept = kept.orderBy(F.xxhash64("t"), "t").limit(LEXICON)
-    bits = kept.groupBy(F.shiftrightunsigned("t", _SHIFT).alias("id")).agg(F.bit_or(one).alias("bits"))
-    dense = texts.sparkSession.range(WORDS).join(bits, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
-    return store(dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")))
+    kept = store(counts.where((F.col("n") >= max(2.0, band[0] * n)) & (F.col("n") < max(3.0, band[1] * n))).select("t"))
+    doublings = max(0, -(-kept.count() // LEXICON) - 1).bit_length()
+    shift = _SHIFT - doublings
+    rows = kept.groupBy(F.shiftrightunsigned("t", shift).alias("id")).agg(F.collect_list("t").alias("ts"))
+    dense = texts.sparkSession.range(WORDS << doublings).join(rows, "id", "left").select("id", F.coalesce("ts", F.array().cast("array<long>")).alias("ts"))
+    return Lexicon(store(dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "ts"))), lambda x: x["ts"]).alias("ts"))), shift)
 
 
-def fingerprint(df: DataFrame, text: str, out: str, words: DataFrame) -> DataFrame:
+def fingerprint(df: DataFrame, text: str, out: str, words: Lexicon) -> DataFrame:
     """Add an array of components, one for each subset of the lexicon, empty where the text has none of its terms."""
-    df = df.withColumn(f"{out}_all", terms(F.col(text))).withColumn(f"{out}_bits", words.scalar())
+    df = df.withColumn(f"{out}_all", terms(F.col(text))).withColumn(f"{out}_table", words.table.scalar())
 
     def chosen(t: Column) -> Column:
-        word = F.element_at(f"{out}_bits", (F.shiftrightunsigned(t, _SHIFT) + 1).cast("int"))
-        return F.call_function("shiftrightunsigned", word, t.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        return F.array_contains(F.element_at(f"{out}_table", (F.shiftrightunsigned(t, words.shift) + 1).cast("int")), t)
 
-    df = df.withColumn(f"{out}_in", F.filter(f"{out}_all", chosen)).drop(f"{out}_bits")
+    df = df.withColumn(f"{out}_in", F.filter(f"{out}_all", chosen)).drop(f"{out}_table")
     own = F.when(F.size(f"{out}_in") > 0, F.col(f"{out}_in")).otherwise(F.col(f"{out}_all"))
     df = df.withColumn(f"{out}_own", F.array_sort(own))
     of = lambda t, shift: F.shiftright(t, shift).bitwiseAND(F.lit(_SPLIT - 1))

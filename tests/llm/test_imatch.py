@@ -108,3 +108,36 @@ def test_one_term_changes_one_part_whatever_the_number_of_terms(spark):
     assert {d: f for d, (f, _) in got.items()} == {d: whole_fingerprint(t, hashes(t)) for d, t in rows}
     for i in range(len(sizes)):
         assert got[3 * i][1] > 0.95, (sizes[i], got[3 * i][1])
+
+
+def band(texts, low, high):
+    counts = {}
+    for t in texts:
+        for h in hashes(t):
+            counts[h] = counts.get(h, 0) + 1
+    return {h for h, c in counts.items() if max(2, low * len(texts)) <= c < max(3, high * len(texts))}
+
+
+def test_every_term_of_a_large_band_counts_and_no_other(spark):
+    rows = [(2 * i + j, " ".join(f"b{i}x{k}" for k in range(1000)) + f" own{i}x{j} the of and") for i in range(80) for j in range(2)]
+    kept = band([t for _, t in rows], *imatch.BAND)
+    assert len(kept) == 80_000 > imatch.LEXICON
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in imatch.compare(docs).collect()}
+    assert got == {d: whole_fingerprint(t, kept) for d, t in rows}
+
+
+def test_whole_table_by_exact_membership(spark, small_dir):
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()]
+    kept = band([t for _, t in rows], *imatch.BAND)
+    following = dict(zip(sorted(d for d, _ in rows), sorted(d for d, _ in rows)[1:] + [min(d for d, _ in rows)]))
+    texts = dict(rows)
+    want = {}
+    for d, t in rows:
+        half = len(t) // 2
+        a, b = whole_fingerprint(t, kept), whole_fingerprint(t[: len(t) - half] + texts[following[d]][:half], kept)
+        want[d] = (a, b, like(a, b), like(a, whole_fingerprint(texts[following[d]], kept)))
+    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS[2:]) for r in QUERIES["op8_imatch"](spark, small_dir).collect()}
+    assert got == want
+    near = sum(w[2] for w in want.values()), sum(w[3] for w in want.values())
+    print("near_edited, near_next", near, len(want))
