@@ -42,3 +42,23 @@ def test_tuning_draws_from_the_whole_space_beside_the_default(spark, small_dir,
     drawn = [c for name, c in asked["candidates"].items() if name != "default"]
     assert asked["candidates"]["default"] == {} and asked["k"] == asked["folds"] == 5
     assert drawn and all(set(c) == set(learning.SPACE) for c in drawn)
+
+
+def test_population_search_takes_the_whole_fleet_and_the_defaults(spark, small_dir, monkeypatch):
+    from bunkerline.operators.fleet import COASTAL
+    from bunkerline.plans import fitting
+
+    asked = {}
+    real = inspect.signature(fitting.search.search)
+
+    def stand_in(*args, **params):
+        bound = real.bind(*args, **params)
+        bound.apply_defaults()
+        asked.update(bound.arguments)
+        return bound.arguments["vessels"].limit(1), []
+
+    monkeypatch.setattr(fitting.search, "search", stand_in)
+    t = Inputs(spark, small_dir)
+    QUERIES["flt_population_search"](t)
+    assert asked["vessels"].count() == fitting.vessels(t).count()
+    assert asked["scenario"] == COASTAL and (asked["individuals"], asked["generations"]) == (20, 60)
