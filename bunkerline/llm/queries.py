@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import hashtree, imatch, line_crf, media, mixing, ngram_join, packing, reply_trees, suffix_dedup, toxicity
+from bunkerline.llm import alignment, hashtree, imatch, line_crf, media, mixing, ngram_join, packing, reply_trees, suffix_dedup, toxicity, whitening
 from bunkerline.llm.common import read, store
 from bunkerline.llm.labelled import remainder
 
@@ -177,3 +177,21 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> line_crf
 def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return judged(line_crf.score(docs, quality_model(spark, docs, sf_dir)), 4, 2)
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+@query
+def op13_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.valid(read(spark, sf_dir, "embeddings"), "embedding").select("vec_id", F.transform("embedding", lambda v: F.floor(64 * v.cast("double")) + 1000000).alias("x"))
+    out = whitening.whiten(rows, "x", components=32, keep=("vec_id",))
+    return out.withColumn("deviation", F.expr("try_cast(deviation as long)"))
