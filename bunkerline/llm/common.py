@@ -25,10 +25,10 @@ def store(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same as a compressed Parquet table, for rows that several branches of a plan read."""
     path = f"{shared_dir(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bunkerline.llm import alignment, hashtree, imatch, line_crf, media, mixing, ngram_join, packing, reply_trees, suffix_dedup, toxicity, whitening
+from bunkerline.llm import alignment, hashtree, imatch, line_crf, media, mixing, ngram_join, packing, reply_trees, suffix_dedup, toxicity, warc, whitening
 from bunkerline.llm.common import read, store
 from bunkerline.llm.labelled import remainder
 
@@ -179,6 +179,21 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(line_crf.score(docs, quality_model(spark, docs, sf_dir)), 4, 2)
 
 
+ORACLES["op11_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(h) >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM p
+"""
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.read_archives(warc.write_archives(read(spark, sf_dir, "pages")))
+    sound = F.when(F.col("fault").isNull(), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.col("record_id"), F.lit(": "), F.col("fault"))))
+    return found.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", sound.alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
