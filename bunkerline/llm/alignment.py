@@ -4,10 +4,11 @@ A text stands behind one space. Tokenizer A (byte-level BPE, a `tokenizers` file
 (sentencepiece, which adds the space itself) the text. Both give byte ranges; offsets where tokens of both end cut the
 tokens into groups, and an A and a B token whose ranges overlap are linked.
 
-**Chunks.** Neither tokenizer joins bytes across a place where a space follows a character that is no white space: A's
-pre-tokenizer starts a token there, and B has no piece with its space mark behind another character (looked up when
-the file is read; a file that has one makes every text a single chunk). A text is the concatenation of its chunks, and so
-are tokens, groups and links; each worker aligns a chunk once and gathers the rest from arrays.
+**Chunks.** Neither tokenizer joins bytes across a place where a space or a line feed follows a character that is no white
+space: A's pre-tokenizer starts a token there, and B has no piece with its space mark, or a line feed, behind another character
+(looked up when the file is read; a file that has one makes every text a single chunk). A text is the concatenation of its
+chunks, and so are tokens, groups and links. Each worker remembers chunks: new ones are encoded many at a time, and their ranges
+compared as arrays (the ends of both sides, sorted together, cut out exactly one link each).
 
 **Counting.** How many documents hold an (A id, B id) pair linked:
 
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,8 +52,8 @@ SPILL = 1 << 21
 DOC_BITS = 24
 #: Parts that runs are dealt to by A id.
 PARTS = 256
-#: Chunks a worker remembers before it starts anew.
-REMEMBERED = 1 << 17
+#: Chunks a worker remembers before it starts anew, and characters of new chunks that are encoded at a time.
+REMEMBERED, BLOCK = 1 << 19, 1 << 17
 #: Characters of a window of a long text.
 WINDOW = 1 << 20
 #: Entries that a merge takes from a run at a time.
@@ -82,34 +84,44 @@ class Tokenizers:
         self.a_bytes = [bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t in map(self.a.id_to_token, range(self.n_a))]
         pieces = [self.b.id_to_piece(i) for i in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.whole = any("▁" in p.lstrip("▁") for p in pieces)
-
-    def align(self, part: str) -> tuple[bytes, int, int, int, list[tuple[int, int]]] | None:
-        """Groups as text, numbers of A tokens, B tokens and groups, and links of a space and `part`; None if bytes differ."""
-        data = b" " + part.encode()
-        a, b = self.a.encode(" " + part, add_special_tokens=False).ids, self.b.encode(part)
-        a_own, b_own = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_own) != data or b"".join(b_own) != data:
+        self.whole = any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+        self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_text, self.b_text = ([[f"{i}{mark}".encode() for i in range(n)] for mark in marks] for n, marks in ((self.n_a, ",|"), (self.n_b, ",;")))
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of both sides of a text that begins with white space; None if bytes differ. A first line feed gets a space before it, which goes again."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        b = self.b.encode(text[1:] if text[0] == " " else text)
+        b = b if text[0] == " " else b[1:]
+        data = text.encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
-        groups, links = [], []
-        i = j = first_a = first_b = 0
-        end_a, end_b = len(a_own[0]), len(b_own[0])
-        while True:
-            links.append((a[i], b[j]))
-            step_a, step_b = end_a <= end_b, end_b <= end_a
-            if step_a:
-                i += 1
-            if step_b:
-                j += 1
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                if i == len(a):
-                    return ";".join(groups).encode(), len(a), len(b), len(groups), links
-                first_a, first_b = i, j
-            if step_a:
-                end_a += len(a_own[i])
-            if step_b:
-                end_b += len(b_own[j])
+        return np.array(a, np.int64), np.array(b, np.int64)
+
+    def align(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """For chunks: numbers of A tokens, B tokens, groups and links, all links' A ids and B ids, and groups as text, each with a mark behind.
+
+        A chunk that does not come back byte for byte has zeros.
+        """
+        ids = self.encode("".join(chunks))
+        if ids is None:
+            if len(chunks) == 1:
+                return np.zeros((1, 4), np.int64), np.empty(0, np.int64), np.empty(0, np.int64), [b""]
+            half = len(chunks) // 2
+            left, right = self.align(chunks[:half]), self.align(chunks[half:])
+            return np.vstack((left[0], right[0])), np.concatenate((left[1], right[1])), np.concatenate((left[2], right[2])), left[3] + right[3]
+        a, b = ids
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        chunk_end = np.cumsum([len(c.encode()) for c in chunks])
+        ends = np.union1d(a_end, b_end)
+        shared = np.intersect1d(a_end, b_end, assume_unique=True)
+        numbers = np.stack([np.diff(np.searchsorted(e, chunk_end, "right"), prepend=0) for e in (a_end, b_end, shared, ends)], axis=1)
+        a_group, b_group = np.searchsorted(shared, a_end), np.searchsorted(shared, b_end)
+        tokens = [self.a_text[last][i] for last, i in zip(np.isin(a_end, shared).tolist(), a.tolist())] + [self.b_text[last][i] for last, i in zip(np.isin(b_end, shared).tolist(), b.tolist())]
+        order = np.argsort(np.concatenate((2 * a_group, 2 * b_group + 1)), kind="stable")
+        tokens = [*map(tokens.__getitem__, order.tolist())]
+        cuts = [0, *np.cumsum(numbers[:, 0] + numbers[:, 1]).tolist()]
+        return numbers, a[np.searchsorted(a_end, ends)], b[np.searchsorted(b_end, ends)], [b"".join(tokens[i:j]) for i, j in zip(cuts, cuts[1:])]
 
 
 _tokenizers: dict[tuple[str, str], Tokenizers] = {}
@@ -123,7 +135,11 @@ def tokenizers(a_path: str, b_path: str) -> Tokenizers:
 
 
 class Chunks:
-    """Alignments of chunks, each worked out once: a code by chunk, and arrays by code."""
+    """Alignments of chunks, each worked out once: a code by name, and arrays by code.
+
+    A chunk that is one part between spaces and line feeds is named by it (with the line feed it begins with, without the space);
+    one of several parts by all its characters, which no single part can be.
+    """
 
     def __init__(self, own: Tokenizers, parts: int):
         self.own, self.parts = own, parts
@@ -133,50 +149,66 @@ class Chunks:
     def forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.groups: list[bytes] = []
-        self.numbers: list[tuple[int, int, int, int]] = []
-        self.pairs: list[np.ndarray] = []
-        self._arrays: tuple | None = None
+        self.numbers, self.pairs = [np.empty((0, 4), np.int64)], [np.empty(0, np.int64)]
 
-    def key(self, a: int, b: int) -> int:
-        """A pair as a number: by part of its A id, then A id, then B id."""
+    def key(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs as numbers: by part of the A id, then A id, then B id."""
         return ((a % self.parts) * self.stride + a // self.parts) * self.own.n_b + b
 
-    def learn(self, name: str) -> int:
-        found = self.own.align(name[:-1] if name[-1:] == " " else name)
-        code = self.codes[name] = len(self.groups)
-        groups, n_a, n_b, n_groups, links = found or (b"", 0, 0, 0, [])
-        self.groups.append(groups), self.numbers.append((n_a, n_b, n_groups, len(links)))
-        self.pairs.append(np.array([self.key(a, b) for a, b in links], np.int64))
-        self._arrays = None
-        return code
+    def learn(self, names: set[str]) -> None:
+        block, held, alone = [], 0, []
+        for name in names:
+            if name not in self.codes:
+                if name[-1:].isspace() or self.own.whole:
+                    alone.append([name])
+                    continue
+                block.append(name)
+                held += len(name)
+                if held > BLOCK:
+                    self._learn(block)
+                    block, held = [], 0
+        for some in (block, *alone):
+            self._learn(some)
+
+    def _learn(self, names: list[str]) -> None:
+        """Chunks that end in white space come alone: what follows could join them."""
+        if not names:
+            return
+        whole = self.own.whole
+        texts = [n if n[0] == " " and not whole or n[0] == "\n" and not whole else " " + n for n in names]
+        numbers, a, b, groups = self.own.align(texts)
+        self.codes.update(zip(names, range(len(self.groups), len(self.groups) + len(names))))
+        self.groups += groups
+        self.numbers.append(numbers), self.pairs.append(self.key(a, b))
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers by code, where the code's links start, and the links of all codes."""
-        if self._arrays is None:
-            numbers = np.array(self.numbers, np.int64).reshape(-1, 4)
-            self._arrays = numbers, np.concatenate(([0], np.cumsum(numbers[:, 3]))), np.concatenate([np.empty(0, np.int64), *self.pairs])
-        return self._arrays
-
-    def of(self, text: str) -> list[int]:
-        """Codes of a window's chunks. A part that ends in white space, or is empty, belongs to the next one.
-
-        A chunk that ends in white space has a code under itself and a space, which no part between spaces can be.
-        """
-        parts = [text] if self.own.whole else text.split(" ")
-        try:
-            return [*map(self.codes.__getitem__, parts)]
-        except KeyError:
-            pass
+        self.numbers, self.pairs = [np.concatenate(self.numbers)], [np.concatenate(self.pairs)]
+        return self.numbers[0], np.concatenate(([0], np.cumsum(self.numbers[0][:, 3]))), self.pairs[0]
+
+    def names(self, text: str) -> list[str]:
+        """Names of a window's chunks. A part that ends in white space, or is empty, belongs to the next one, at the end to the one before."""
+        if self.own.whole:
+            return [text]
+        parts = text.replace("\n", " \n").split(" ")
+        if not LOOSE.search(text):
+            return parts
         chunks: list[str] = []
-        held: str | None = None
+        held = ""
         for part in parts:
-            held = part if held is None else f"{held} {part}"
             if part and not part[-1].isspace():
-                chunks.append(held)
-                held = None
-        if held is not None:  # nothing follows: the end of the text
-            chunks = [*chunks[:-1], f"{chunks[-1]} {held}"] if chunks else [held]
-        return [self.codes[c] if c in self.codes else self.learn(c) for c in (c + " " * c[-1].isspace() for c in chunks)]
+                chunks.append((held + part if part[0] == "\n" else f"{held} {part}") if held else part)
+                held = ""
+            else:
+                held += part if part[:1] == "\n" else f" {part}"
+        if held and chunks:
+            held = chunks.pop() + held
+            held = held if held[0] in " \n" else " " + held
+        return [*chunks, held] if held else chunks
+
+
+#: White space at an end of a text, or beside other white space.
+LOOSE = re.compile(r"\A\s|\s\s|\s\Z")
 
 
 def windows(text: str, whole: bool) -> Iterator[str]:
@@ -218,26 +250,25 @@ class Spill:
         self.digests: list[str] = []
 
     def add(self, ids: pa.Array, texts: list[str | None]) -> None:
-        chunks, codes, owners, digests = self.chunks, [], [], []
-        for row, text in enumerate(texts):
-            if not text:
+        chunks, digests = self.chunks, []
+        named = [[chunks.names(w) for w in windows(text, chunks.own.whole)] if text else [] for text in texts]
+        chunks.learn({n for own in named for names in own for n in names})
+        numbers, starts, pairs = chunks.arrays()
+        known, codes, owners = np.zeros((len(texts), 4), np.int64), [], []
+        for row, own in enumerate(named):
+            named[row] = None
+            mine = [[*map(chunks.codes.__getitem__, names)] for names in own]
+            arrays = [np.array(c, np.int64) for c in mine]
+            if not own or any((numbers[c, 0] == 0).any() for c in arrays):
                 digests.append("")
                 continue
-            digest, ok, first = hashlib.sha256(), True, len(codes)
-            for k, window in enumerate(windows(text, chunks.own.whole)):
-                own = chunks.of(window)
-                digest.update(b";" * (k > 0) + b";".join(map(chunks.groups.__getitem__, own)))
-                ok = ok and all(map(chunks.groups.__getitem__, own))
-                codes.append(np.array(own, np.int64))
-                if not ok:
-                    break
-            if ok:
-                owners += [(row, len(c)) for c in codes[first:]]
-            else:
-                del codes[first:]
-            digests.append(digest.hexdigest() if ok else "")
-        numbers, starts, pairs = chunks.arrays()
-        known = np.zeros((len(texts), 4), np.int64)
+            digest = hashlib.sha256()
+            for k, c in enumerate(mine, 1 - len(mine)):
+                found = b"".join(map(chunks.groups.__getitem__, c))
+                digest.update(found if k else found[:-1])
+            digests.append(digest.hexdigest())
+            codes += arrays
+            owners += [(row, len(c)) for c in mine]
         if codes:
             code = np.concatenate(codes)
             owner = np.repeat(*np.array(owners, np.int64).T)
@@ -306,7 +337,7 @@ def _spilled(docs: DataFrame, a_path: str, b_path: str, parts: int) -> DataFrame
 
         for batch in batches:
             id_type = batch.column("id").type
-            for own in slices(batch, "text", 4 << 20):
+            for own in slices(batch, "text", 2 << 20):
                 spill.add(own.column("id"), own.column("text").to_pylist())
                 if spill.full() or spill.docs >= 1 << DOC_BITS - 1:
                     yield from map(typed, spill.write(task << 24 | n))

@@ -12,7 +12,7 @@ from bunkerline.llm.queries import QUERIES
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "a\n b", "a \n  b\t c \n", "\n", "\r\n x\r", "Naïve CAFÉ's İstanbul", "<|endoftext|> x<s></s><unk> <0x41>", "3,14   été",
-    "▁ mark", "x▁y", "漢字 emoji 😀 👩‍👩‍👧", "　wide　 \xa0space \x85 \x1c z", "don't you'll  we've", "x" * 5000, "\x00 nul\x00", "ＦＵＬＬ ﬁ é", "the the the", "the the the",
+    "▁ mark", "x▁y", "漢字 emoji 😀 👩‍👩‍👧", "　wide　 \xa0space \x85 \x1c z", "don't you'll  we've", "x" * 5000, "\x00 nul\x00", "ＦＵＬＬ ﬁ é", "the the the", "the the the", "a\n\nb\nc", "x \ny", "\ta\tb \t", "q\n", "q\n r", "\nb", " \nb", "\n\nb", "one\n's",
 ]
 
 
@@ -110,8 +110,10 @@ def test_many_spills_windows_and_forgetting(spark, monkeypatch):
             assert (best[mine] == (counts[mine] == counts[mine].max())).all()
     held = Counter()
     for text in texts:
-        a = chunks.own.align(text) if text else None
-        held[text] = len(set(a[4])) if a else 0
+        held[text] = 0
+        if text:
+            _, a, b, _ = chunks.own.align([" " + text])
+            held[text] = len(set(zip(a.tolist(), b.tolist())))
     assert total == sum(held[t] for t in texts)
 
 
