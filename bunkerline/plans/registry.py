@@ -4,6 +4,7 @@ it, the statement an independent engine must agree with."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bunkerline import dims
 from bunkerline.operators import derive
-from bunkerline.session import tune
+from bunkerline.session import shared_dir, tune
 from bunkerline.sources import filings as filing_source
 from bunkerline.sources import sinks
 from bunkerline.sources.views import BASE_TABLES, VIEWS, portable_sql, read_view
@@ -74,11 +75,25 @@ class Inputs:
         it is handed over as a table, pruned to the columns and periods a query needs, instead of
         being rebuilt from text inside every branch of a plan.
         """
-        key = (self.spark.sparkContext.applicationId, self.folder, *(self.identity(n) for n in ("lineitem", "part")))
+        key = self.source_key
         if key not in _STORED:
             _STORED[key] = sinks.write_panel(self.derived)
         return self.spark.read.parquet(_STORED[key])
 
+    @cached_property
+    def source_key(self) -> tuple:
+        """The session and the files that the panel comes from."""
+        return (self.spark.sparkContext.applicationId, self.folder, *(self.identity(n) for n in ("lineitem", "part")))
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table worked out from the panel, written once like it."""
+        key = (name, *self.source_key)
+        if key not in _STORED:
+            path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+            build().write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     @cached_property
     def usable(self) -> DataFrame:
         return self.stored.where("is_usable")
