@@ -7,6 +7,8 @@ compared cell by cell on an equi-depth grid.
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -195,29 +197,72 @@ def hypervolume_2d(front: DataFrame, x: str, y: str, reference: tuple[float, flo
     return swept.agg(F.coalesce(F.sum(area), F.lit(0.0)).alias("hypervolume"))
 
 
-def hypervolume_3d(front: DataFrame, objectives: Sequence[str], reference: Sequence[float], buckets: int = 32) -> DataFrame:
-    """Exact volume: slabs between consecutive z levels times the area below each level.
+class Staircase:
+    """The area that points (x, y) dominate up to a reference, kept while points are added.
 
-    Points meet the levels at or above them through bucketed ranks (an equi-join), and every
-    level sweeps its own points.
+    Steps are in order of x, with y falling; a new point cuts out the steps that it dominates, so each point comes and goes once.
+    """
+
+    def __init__(self, rx: float, ry: float):
+        self.rx, self.ry, self.area = rx, ry, 0.0
+        self.x: list[float] = []
+        self.y: list[float] = []
+
+    def add(self, x: float, y: float) -> None:
+        at = bisect.bisect_right(self.x, x)
+        if not (x < self.rx and y < self.ry) or at and self.y[at - 1] <= y:
+            return
+        first = at - 1 if at and self.x[at - 1] == x else at
+        last, roof = first, self.y[first - 1] if first else self.ry
+        left = x
+        while last < len(self.x) and self.y[last] >= y:  # what lies over the steps that go
+            self.area += (self.x[last] - left) * (roof - y)
+            left, roof = self.x[last], self.y[last]
+            last += 1
+        self.area += ((self.x[last] if last < len(self.x) else self.rx) - left) * (roof - y)
+        self.x[first:last], self.y[first:last] = [x], [y]
+
+
+def hypervolume_3d(front: DataFrame, objectives: Sequence[str], reference: Sequence[float], range_rows: int = 1 << 15) -> DataFrame:
+    """Exact volume by a sweep over z, in ranges of z that Spark samples.
+
+    A range is entered with the staircase of all earlier ranges, so it needs their (x, y) fronts and none of their other points; inside it the area
+    grows point by point, and each level counts with its distance to the next one. Rows are the front and the ranges' staircases.
     """
     x, y, z = objectives
     rx, ry, rz = (float(v) for v in reference)
     beats = reduce(lambda a, b: a & b, [F.col(c) < float(r) for c, r in zip(objectives, reference)])
-    points = front_vectors(front.where(beats), objectives)
-    levels = with_neighbours(points.select(F.col(z).alias("_level")).distinct(), "_level", "_level", "_below", "_above")
-    placed = value_positions(points, [], z).select(
-        F.col(z).alias("_z"), F.least(F.floor(F.col("below") * buckets / F.col("total")), F.lit(buckets - 1)).cast("int").alias("_b"))
-    levels = levels.join(placed, F.col("_level") == F.col("_z")).select(
-        "_level", (F.coalesce("_above", F.lit(rz)) - F.col("_level")).alias("_thick"), "_b")
-    spread = points.join(placed, F.col(z) == F.col("_z")).select(
-        x, y, z, F.explode(F.sequence(F.col("_b"), F.lit(buckets - 1))).alias("_b"))
-    met = spread.join(levels, "_b").where(F.col(z) <= F.col("_level"))
-    before = Window.partitionBy("_level").orderBy(x, y).rowsBetween(Window.unboundedPreceding, -1)
-    best = F.least(F.coalesce(F.min(y).over(before), F.lit(ry)), F.lit(ry))
-    met = met.withColumn("_best", best)
-    area = F.when(F.col(y) < F.col("_best"), (rx - F.col(x)) * (F.col("_best") - F.col(y))).otherwise(0.0)
-    return met.agg(F.coalesce(F.sum(area * F.col("_thick")), F.lit(0.0)).alias("hypervolume"))
+    points = cut_lineage(front_vectors(front.where(beats), objectives).select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z")))
+    ranges = max(1, math.ceil(points.count() / range_rows))
+    ranged = cut_lineage(points.repartitionByRange(ranges, "z").withColumn("_range", F.spark_partition_id()))
+    starts = {r["_range"]: r["z"] for r in ranged.groupBy("_range").agg(F.min("z").alias("z")).collect()}  # one row a range
+    order = sorted(starts)
+    following = {r: starts[n] for r, n in zip(order, order[1:])}
+    lowest = F.min("y").over(Window.partitionBy("_range").orderBy("x", "y").rowsBetween(Window.unboundedPreceding, -1))
+    steps = ranged.select("_range", "x", "y").withColumn("_low", lowest).where("_low is null or y < _low").drop("_low")
+    later = F.filter(F.array(*[F.lit(r) for r in order]), lambda r: r > F.col("_range"))
+    entered = steps.select(F.explode(later).alias("_range"), "x", "y", F.lit(None).cast("double").alias("z"))
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, stairs, level, volume, out = None, None, None, 0.0, []
+        for batch in batches:
+            for own, px, py, pz in zip(*(batch[c].tolist() for c in ("_range", "x", "y", "z"))):
+                if own != current:
+                    if current is not None:
+                        out.append(volume + (stairs.area * (following.get(current, rz) - level) if level is not None else 0.0))
+                    current, stairs, level, volume = own, Staircase(rx, ry), None, 0.0
+                if pz == pz:  # a point; the steps that the range is entered with come first
+                    if level is not None and pz > level:
+                        volume += stairs.area * (pz - level)
+                    level = pz
+                stairs.add(px, py)
+        if current is not None:
+            out.append(volume + (stairs.area * (following.get(current, rz) - level) if level is not None else 0.0))
+        yield pd.DataFrame({"volume": out}, dtype="float64")
+
+    rows = ranged.select("_range", "x", "y", "z").unionByName(entered)
+    parts = rows.repartition(ranges, "_range").sortWithinPartitions("_range", F.col("z").asc_nulls_first(), "x", "y").mapInPandas(sweep, "volume double")
+    return parts.agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("hypervolume"))
 
 
 def _append(span: Column, bins: int):
@@ -225,35 +270,36 @@ def _append(span: Column, bins: int):
 
 
 def nearest_distance(
-    targets: DataFrame, found: DataFrame, key: str, objectives: Sequence[str], skip_self: bool = False
+    targets: DataFrame, found: DataFrame, key: str, objectives: Sequence[str], skip_self: bool = False, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Distance from each target to its nearest found point, exactly.
+    """Distance from each target to its nearest found point, exactly, among those of the same ``by`` if given.
 
     Equal vectors are handled once. Found points lie in an equi-depth grid; a target first looks
-    at the cells around its own, then at every cell its best distance so far can still reach.
+    at the cells around its own, then wider and wider until it has met a point, then at every cell its best distance
+    so far can still reach. Groups share the grid and the jobs.
     """
-    objectives = list(objectives)
+    objectives, by = list(objectives), list(by)
     d = len(objectives)
     vectors = [F.col(c).cast("double").alias(c) for c in objectives]
-    points = cut_lineage(found.select(*vectors).groupBy(*objectives).agg(F.count(F.lit(1)).alias("_copies")))
-    asked = targets.select(*vectors).dropDuplicates()
-    bins = max(1, min(64, int((points.count() / CELL_POINTS) ** (1.0 / d))))
+    points = cut_lineage(found.select(*by, *vectors).groupBy(*by, *objectives).agg(F.count(F.lit(1)).alias("_copies")))
+    asked = targets.select(*by, *vectors).dropDuplicates()
+    bins = max(1, int((points.count() / CELL_POINTS) ** (1.0 / d)))
     share = [i / bins for i in range(1, bins)]
     cuts = points.agg(*[F.percentile_approx(c, share, 10000).alias(c) for c in objectives]).first() if share else None
 
     def bin_of(c: str, value: Column) -> Column:
         if cuts is None or cuts[c] is None:
             return F.lit(0)
-        return F.size(F.filter(F.array(*[F.lit(float(v)) for v in cuts[c]]), lambda e: e <= value))
+        return F.size(F.filter(F.lit([float(v) for v in cuts[c]]), lambda e: e <= value))
 
     def cell(parts: Sequence[Column]) -> Column:
         return reduce(lambda a, b: a * bins + b, parts)
 
     # a dense cell is packed into several tiles, so no list outgrows TILE_ROWS by much
     placed = points.withColumn("_cell", cell([bin_of(c, F.col(c)) for c in objectives]))
-    parts = placed.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_parts"))
-    tiles = placed.join(parts, "_cell").groupBy(
-        "_cell", F.pmod(F.xxhash64(*objectives), F.col("_parts")).alias("_chunk")
+    parts = placed.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_parts"))
+    tiles = placed.join(parts, [*by, "_cell"]).groupBy(
+        *by, "_cell", F.pmod(F.xxhash64(*objectives), F.col("_parts")).alias("_chunk")
     ).agg(F.collect_list(F.struct(*objectives)).alias("_points"))
 
     def gap(p: Column) -> Column:
@@ -270,33 +316,41 @@ def nearest_distance(
         for low, high in ranges:
             span = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(bins - 1)).cast("int"))
             cells = F.flatten(F.transform(cells, _append(span, bins)))
-        met = rows.select(*objectives, F.explode(cells).alias("_cell")).join(tiles, "_cell")
-        return met.select(*objectives, F.array_min(F.transform("_points", distance)).alias("_d")).groupBy(*objectives).agg(
+        met = rows.select(*by, *objectives, F.explode(cells).alias("_cell")).join(tiles, [*by, "_cell"])
+        return met.select(*by, *objectives, F.array_min(F.transform("_points", distance)).alias("_d")).groupBy(*by, *objectives).agg(
             F.min("_d").alias("_d"))
 
-    around = [(bin_of(c, F.col(c)) - 1, bin_of(c, F.col(c)) + 1) for c in objectives]
-    first = asked.join(visit(asked, around), objectives, "left")
-    first = cut_lineage(first)
+    def around(radius: int) -> list[tuple[Column, Column]]:
+        return [(bin_of(c, F.col(c)) - radius, bin_of(c, F.col(c)) + radius) for c in objectives]
+
+    first, radius = cut_lineage(asked.join(visit(asked, around(1)), [*by, *objectives], "left")), 1
+    while radius < bins and not (lonely := first.where("_d is null").drop("_d")).isEmpty():
+        radius = min(bins, 3 * radius)
+        met = first.where("_d is not null")
+        first = cut_lineage(met.unionByName(lonely.join(visit(lonely, around(radius)), [*by, *objectives], "left")))
     reach = F.col("_d") * (1.0 + 1e-9)
     within = [
         (F.coalesce(bin_of(c, F.col(c) - reach), F.lit(0)), F.coalesce(bin_of(c, F.col(c) + reach), F.lit(bins - 1)))
         for c in objectives
     ]
-    # a target with no neighbour around has no bound yet and looks everywhere
-    lonely = F.col("_d").isNull()
-    ranges = [(F.when(lonely, 0).otherwise(lo), F.when(lonely, bins - 1).otherwise(hi)) for lo, hi in within]
-    nearest = visit(first, ranges).withColumnRenamed("_d", "nearest")
-    rows = targets.select(key, *vectors).join(nearest, objectives, "left")
+    nearest = visit(first.where("_d is not null"), within).withColumnRenamed("_d", "nearest")
+    rows = targets.select(key, *by, *vectors).join(nearest, [*by, *objectives], "left")
     if skip_self:  # a copy elsewhere is at distance zero
-        copied = points.where(F.col("_copies") > 1).select(*objectives, F.lit(0.0).alias("_zero"))
-        rows = rows.join(copied, objectives, "left").withColumn("nearest", F.coalesce("_zero", "nearest"))
-    return rows.select(key, "nearest")
+        copied = points.where(F.col("_copies") > 1).select(*by, *objectives, F.lit(0.0).alias("_zero"))
+        rows = rows.join(copied, [*by, *objectives], "left").withColumn("nearest", F.coalesce("_zero", "nearest"))
+    return rows.select(key, *by, "nearest")
+
 
+def igd(found: DataFrame, reference_front: DataFrame, key: str, objectives: Sequence[str], by: str | None = None) -> DataFrame:
+    """Mean distance from the reference front to the nearest found point; infinite if none was found.
 
-def igd(found: DataFrame, reference_front: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:
-    """Mean distance from the reference front to the nearest found point; infinite if none was found."""
-    near = nearest_distance(reference_front, found, key, objectives)
-    return near.agg(F.coalesce(F.avg("nearest"), F.lit(float("inf"))).alias("igd"))
+    With ``by`` one row for each of its values in ``found`` (few), all in the same jobs.
+    """
+    mean = F.coalesce(F.avg("nearest"), F.lit(float("inf"))).alias("igd")
+    if by is None:
+        return nearest_distance(reference_front, found, key, objectives).agg(mean)
+    asked = reference_front.select(key, *objectives).join(F.broadcast(found.select(by).distinct()))  # one row a group
+    return nearest_distance(asked, found, key, objectives, by=[by]).groupBy(by).agg(mean)
 
 
 def spacing(front: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:

@@ -174,6 +174,44 @@ def test_hypervolume(spark):
     assert pareto.hypervolume_3d(stairs, OBJ, (3.0, 3.0, 3.0)).first()[0] == float(cells)
 
 
+def volume(points, reference):
+    """Boxes of a full grid of all coordinates that some point dominates."""
+    axes = [np.unique(np.append(points[:, i][points[:, i] < reference[i]], reference[i])) for i in range(3)]
+    total = 0.0
+    for i, x in enumerate(axes[0][:-1]):
+        for j, y in enumerate(axes[1][:-1]):
+            below = points[(points[:, 0] <= x) & (points[:, 1] <= y)]
+            if len(below):
+                total += (axes[0][i + 1] - x) * (axes[1][j + 1] - y) * max(0.0, reference[2] - below[:, 2].min())
+    return total
+
+
+@pytest.mark.parametrize("range_rows", [7, 1 << 15])
+def test_hypervolume_sweep_matches_boxes(spark, range_rows):
+    rng = np.random.default_rng(4)
+    directions = np.abs(rng.normal(size=(150, 3)))
+    curved = 1 - directions / np.linalg.norm(directions, axis=1, keepdims=True)
+    coarse = rng.integers(0, 6, (80, 3)).astype(float)
+    flat = np.column_stack([np.arange(20.0), np.arange(20.0)[::-1], np.full(20, 1.0)])
+    for points, reference in ((curved, (1.1, 0.9, 1.0)), (coarse, (5.0, 6.0, 5.0)), (flat, (30.0, 25.0, 2.0))):
+        df = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double, z double")
+        assert pareto.hypervolume_3d(df, OBJ, reference, range_rows).first()[0] == pytest.approx(volume(points, reference))
+    assert pareto.hypervolume_3d(df.limit(0), OBJ, reference).first()[0] == 0.0
+
+
+def test_nearest_by_group_and_far_targets(spark):
+    rng = np.random.default_rng(8)
+    cloud = [(f"g{i % 3}", *map(float, p)) for i, p in enumerate(rng.normal(size=(900, 2)))]
+    found = spark.createDataFrame([*cloud, ("alone", 500.0, 500.0)], "g string, x double, y double")
+    targets = [(i, g, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(size=(30, 2)) * [1, 40]) for g in ("g0", "g1", "g2", "alone")]
+    got = {(r["id"], r["g"]): r["nearest"] for r in pareto.nearest_distance(spark.createDataFrame(targets, "id int, g string, x double, y double"), found, "id", ["x", "y"], by=["g"]).collect()}
+    pool = [*cloud, ("alone", 500.0, 500.0)]
+    for i, g, x, y in targets:
+        assert got[i, g] == pytest.approx(min(np.hypot(x - a, y - b) for k, a, b in pool if k == g))
+    table = pareto.igd(found, spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double"), "id", ["x", "y"], "g")
+    assert {r["g"] for r in table.collect()} == {"g0", "g1", "g2", "alone"}
+
+
 def test_archive_keeps_spread(cloud):
     pdf, df = cloud
     held = pareto.update_archive(None, df, OBJ, "id", 20)
