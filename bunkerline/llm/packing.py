@@ -17,6 +17,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +28,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bunkerline.llm.alignment import byte_letters
 from bunkerline.llm.common import slices, store, tag
 
 WIDTH = 2048
 #: Words whose ids a worker remembers before it starts anew; bounds its memory, not its results.
 REMEMBERED = 500_000
 
+#: Words that neither the normaliser nor the pre-tokeniser changes or cuts.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+#: The letters that stand for bytes in the vocabulary.
+LETTERS = {byte: letter for letter, byte in byte_letters().items()}
+LITTLE = sys.byteorder == "little"
+
 PIECES = "doc_id {id}, piece int, start long, length long, ids binary"
 
 
@@ -39,7 +49,8 @@ class WordEncoder:
 
     The vocabulary's pre-tokeniser drops white space and never joins across it, so a text's ids are
     those of its white-space separated words in order, and a run of letters followed by stops is encoded
-    as the letters and then the stops. Texts that contain the opening of a special token go through the tokenizer whole.
+    as the letters and then the stops. Runs of small Latin letters are what normaliser and pre-tokeniser leave as they are, so their bytes'
+    letters go to the merges at once. Texts that contain the opening of a special token go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -47,22 +58,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [(array("I", e.ids) if LITTLE else np.array(e.ids, "<u4")).tobytes() for e in found]
 
     def _learn(self, words: set[bytes]) -> None:
-        split = {}
+        known, split, needed = self.known, [], set()
         for w in words:
             core = w.rstrip(b".,!?")
-            split[w] = core if core and core != w and core.decode("utf-8", "replace").isalpha() else w
-        needed = {c for c in split.values()} | {w[len(c):] for w, c in split.items() if c is not w}
-        needed = [w for w in needed if w not in self.known]
-        self.known.update(zip(needed, self._encode([w.decode("utf-8", "replace") for w in needed])))
-        for w, c in split.items():
-            if c is not w:
-                self.known[w] = self.known[c] + self.known[w[len(c):]]
+            if len(core) != len(w) and core and core.decode("utf-8", "replace").isalpha():
+                split.append((w, core, w[len(core):]))
+                needed.update(split[-1][1:])
+            else:
+                needed.add(w)
+        fresh = [w for w in needed if w not in known]
+        texts = [w.decode("utf-8", "replace") for w in fresh]
+        plain = [PLAIN.fullmatch(t) is not None for t in texts]
+        rest = iter(self._encode([t for t, p in zip(texts, plain) if not p]))
+        known.update((w, array("I", [x.id for x in self.merge(w.decode("latin-1").translate(LETTERS))]).tobytes() if p and LITTLE else self._encode([t])[0] if p else next(rest)) for w, t, p in zip(fresh, texts, plain))
+        for w, core, stops in split:
+            known[w] = known[core] + known[stops]
 
     def __call__(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a UTF-8 text."""
@@ -73,7 +91,7 @@ class WordEncoder:
         if None in ids:
             if len(known) > REMEMBERED:
                 known.clear()
-            self._learn({w for w in words if w not in known})
+            self._learn({w for w in set(words) if w not in known})
             ids = map(known.__getitem__, words)
         return b"".join(ids)
 
