@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import random
 import uuid
 from collections.abc import Iterator
@@ -32,6 +34,13 @@ def stash(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give freed memory back to the system at the end of a task: its worker lives on, and tasks of later stages run in it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tag() -> str:
     """A suffix that keeps working columns apart from whatever columns a caller's table has."""
     return f"{random.getrandbits(32):08x}"

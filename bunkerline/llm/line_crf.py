@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bunkerline.llm.common import blobs, lists, slices
+from bunkerline.llm.common import blobs, lists, release, slices
 from bunkerline.llm.labelled import calibrate, probability, sample
 
 PER_CLASS = 2000
@@ -158,8 +158,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     return fit(documents, y)
 
 
-def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The kept columns with `score`, the quality of the document, and `bad`, each line's probability of being bad."""
+def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", lines: bool = True) -> DataFrame:
+    """The kept columns with `score`, the quality of the document, and with `lines` also `bad`, each line's probability of being bad."""
     spec = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,6 +172,8 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id
                 else:
                     bad, _ = Chains(lengths).marginals(np.concatenate([f for f, _ in found]) @ model.weights, model.steps)
                     value = probability(quality(bad, np.concatenate([n for _, n in found]), np.cumsum(lengths) - lengths), model.curve)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value), lists(bad.astype(np.float32), lengths, pa.float32())], [*keep, "score", "bad"])
+                each = {"bad": lists(bad.astype(np.float32), lengths, pa.float32())} if lines else {}
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value), *each.values()], [*keep, "score", *each])
+        release()
 
-    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(scan, f"{spec}score double, bad array<float>")
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(scan, f"{spec}score double{', bad array<float>' if lines else ''}")

@@ -12,7 +12,7 @@ possible number of tokens that one of two linked documents of this size has and
 Equal token sets are one node from the start. Nodes under a rare token, once for each different
 group of them, are compared by bit signatures, which bound the overlap from above. Candidates, and the nodes under each combination, are joined into clusters, and the
 sets of a cluster are compared exactly, each pair once. Clusters above
-`block` nodes are cut into blocks that meet pairwise, so no task holds more. Only one link for each node leaves a task.
+`block` nodes, or with more tokens than as many middling texts have, are cut into blocks that meet pairwise, so no task holds more. Only one link for each node leaves a task.
 
 Defined cases: null and empty texts have no tokens, no links and are components of their own; a text shorter than the n-gram is one token;
 repeated rows are one node and count as links of each other; rows without doc_id take part, and a component's id is the least id in
@@ -31,12 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bunkerline.llm.common import blobs, slices, stash
+from bunkerline.llm.common import blobs, release, slices, stash
 from bunkerline.llm.components import components
 
 #: Cells of the frequency table, and of a piece of it; the table that is broadcast has a bit for each cell.
 CELLS, PIECE = 1 << 24, 1 << 16
-BLOCK = 1024
+#: Nodes of a block that a cluster is cut into, and tokens of them, about.
+BLOCK, BLOCK_TOKENS = 1024, 1 << 20
 REMEMBERED = 250_000
 _MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -130,6 +131,8 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
             own = used[at : at + 32]
             packed = [zlib.compress(counts[k * PIECE : (k + 1) * PIECE].tobytes(), 1) for k in own]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(own), id_type), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.int64()), pa.nulls(len(own), pa.int64()), pa.array(own, pa.int32()), pa.array(packed, pa.binary())], names)
+        del tokens, seen, counts
+        release()
 
     return docs.mapInArrow(scan, f"doc_id {kind.simpleString()}, node binary, short long, n long, piece int, counts binary")
 
@@ -203,6 +206,8 @@ def _index(docs: DataFrame, width: int, at_least: Fraction, frequent: np.ndarray
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["node", "n", "bits", "singles", "pairs"])
+        del tokens, seen
+        release()
 
     return docs.mapInArrow(scan, "node long, n long, bits binary, singles array<long>, pairs array<long>")
 
@@ -339,6 +344,8 @@ def _verify_clusters(rows: DataFrame, width: int, at_least: Fraction) -> DataFra
                     group[node] = (side, copies, own)
         if group:
             yield settle()
+        del group, tokens
+        release()
 
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(scan, "node binary, root binary, links long")
 
@@ -351,14 +358,14 @@ def join_texts(docs: DataFrame, width: int = 3, at_least: Fraction = Fraction(9,
     scanned = stash(_scan(plain, width))
     texts = scanned.where("piece is null").select("doc_id", "node", "short", "n")
     carrier = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("carrier")
-    classes = texts.where("n > 0").groupBy("node", "short").agg(F.count("*").alias("copies"), carrier)
+    classes = texts.where("n > 0").groupBy("node", "short", "n").agg(F.count("*").alias("copies"), carrier)
     frequent = _frequent(scanned.where("piece is not null").select("piece", "counts"))
     index = stash(_index(plain, width, at_least, frequent))
     clusters = components(_candidates(index, at_least))
 
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    members = clusters.join(sizes, "root").withColumnRenamed("node", "short").join(classes, "short")
-    members = members.select(F.xxhash64("carrier").alias("_id"), "root", "blocks", "node", "copies")
+    members = clusters.withColumnRenamed("node", "short").join(classes, "short")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
+    members = members.join(sizes, "root").select(F.xxhash64("carrier").alias("_id"), "root", "blocks", "node", "copies")
     placed = plain.select(F.xxhash64("doc_id").alias("_id"), "text").join(members, "_id")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bunkerline.llm.alignment import byte_letters
-from bunkerline.llm.common import slices, store, tag
+from bunkerline.llm.common import release, slices, store, tag
 
 WIDTH = 2048
 #: Words whose ids a worker remembers before it starts anew; bounds its memory, not its results.
@@ -82,6 +82,11 @@ class WordEncoder:
         for w, core, stops in split:
             known[w] = known[core] + known[stops]
 
+    def forget(self) -> None:
+        """At the end of a task most words are of texts that will not come again."""
+        if len(self.known) > REMEMBERED // 10:
+            self.known = {}
+
     def __call__(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a UTF-8 text."""
         if b"<|" in text:
@@ -125,6 +130,8 @@ def tokenise(docs: DataFrame, vocabulary: str, width: int = WIDTH, end_id: int =
                     [part.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"],
                 )
+        encode.forget()
+        release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES.format(id=kind))
 
