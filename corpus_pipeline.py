@@ -23,7 +23,7 @@ LEAST_QUALITY = 0.5
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model does not reject."""
-    scored = line_crf.score(docs, quality_model(spark, docs, sf_dir), keep=tuple(COLUMNS))
+    scored = line_crf.score(docs, quality_model(spark, docs, sf_dir), keep=tuple(COLUMNS), lines=False)
     return scored.where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
