@@ -12,7 +12,8 @@ come from sums per (pattern, bucket of the seeded hash) and a window within a bu
 source in the same way; each takes at least one document for a source that has one, and in a random order about halves what is missing or uses up what fits.
 
 Defined cases: null and empty texts have size 0; a null source is a source, last in order; a document of no source, or of
-sources without quota, is not taken; repeated rows are taken on their own; an empty table gives an empty result; all given columns stay.
+sources without quota, is not taken; repeated rows are taken on their own; an empty table gives an empty result; all given columns stay,
+whatever their names, but `size`, `takes` and `taken`, which are replaced.
 """
 
 from __future__ import annotations
@@ -121,11 +122,13 @@ def mix(docs: DataFrame, size: Column, sources: Column, quotas: dict, key: str =
     `sources` is an array of names; `quotas` has each source's words. Columns of those three names are replaced.
     """
     t = tag()
-    pat, h, b, cum, base, segs = (f"_{c}_{t}" for c in ("pattern", "hash", "bucket", "cum", "base", "segments"))
+    pat, h, b, cum, base, segs, own_row = (f"_{c}_{t}" for c in ("pattern", "hash", "bucket", "cum", "base", "segments", "row"))
     kind = docs.select(sources.alias("s")).schema["s"].dataType.simpleString()
     kept = [c for c in docs.columns if c not in ("size", "takes", "taken")]
-    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
-    rows = store(docs.select(*kept, size.alias("size"), F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast(kind)).alias(pat), digest.alias(h)).withColumn(b, F.substring(h, 1, BUCKET_DIGITS)))
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(quoted(key)).cast("string"), F.lit("null"))))
+    id_of = F.col(own_row).getField(key)  # a table's own columns travel in one struct, so no name of theirs meets one of the plan's
+    rows = store(docs.select(F.struct(*(F.col(quoted(c)) for c in kept)).alias(own_row), size.alias("size"), F.coalesce(F.array_sort(F.array_distinct(sources)), F.array().cast(kind)).alias(pat), digest.alias(h)).withColumn(b, F.substring(h, 1, BUCKET_DIGITS)))
     sums = rows.groupBy(pat, b).agg(F.sum("size").alias(cum)).persist()
     patterns = [(tuple(r[pat] or ()), r["n"]) for r in sums.groupBy(pat).agg(F.sum(cum).alias("n")).collect()]
     dealt = flow(patterns, {s: int(q) for s, q in quotas.items()}, repeats)
@@ -144,7 +147,7 @@ def mix(docs: DataFrame, size: Column, sources: Column, quotas: dict, key: str =
     plan = spark.createDataFrame(table, f"`{pat}` {kind}, `{segs}` array<struct<copy:int,source:{name},lo:long,hi:long,k:int,n:int>>")
     before = Window.partitionBy(pat).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(pat, b, F.coalesce(F.sum(cum).over(before), F.lit(0)).alias(base))
-    order = Window.partitionBy(pat, b).orderBy(h, key, "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(pat, b).orderBy(h, id_of, "size").rowsBetween(Window.unboundedPreceding, 0)
     same = lambda x, y: x[pat].eqNullSafe(y[pat])
     summed = rows.withColumn(cum, F.sum("size").over(order))
     placed = summed.join(bases, summed[pat].eqNullSafe(bases[pat]) & (summed[b] == bases[b])).drop(bases[pat]).drop(bases[b])
@@ -189,7 +192,7 @@ def mix(docs: DataFrame, size: Column, sources: Column, quotas: dict, key: str =
     rest = placed.where(F.col("size") > 0).join(F.broadcast(more), at, "left").drop(f"{pat}p", base)
     gone = F.concat(*(F.coalesce(F.transform(c, lambda s: s["copy"]), F.array().cast("array<int>")) for c in ("takes", "more")))
     rest = rest.join(F.broadcast(reach), F.col(pat).eqNullSafe(F.col(f"{pat}p"))).withColumn("gone", gone)
-    rest = rest.select(pat, cum, h, b, F.col(key).alias("key"), "size", "open", F.explode(F.array_except(F.sequence(F.lit(0), F.col("most") - 1), "gone")).alias("copy"))
+    rest = rest.select(pat, cum, h, b, id_of.alias("key"), "size", "open", F.explode(F.array_except(F.sequence(F.lit(0), F.col("most") - 1), "gone")).alias("copy"))
     passes: list[DataFrame] = []
     while any(n > 0 for n in missing.values()):
         lacks = F.broadcast(spark.createDataFrame([([missing[s] for s in known],)], "lacks array<long>"))
@@ -219,4 +222,4 @@ def mix(docs: DataFrame, size: Column, sources: Column, quotas: dict, key: str =
     empty = F.array().cast(f"array<struct<copy:int,source:{name}>>")
     takes = F.concat(F.coalesce(F.transform("takes", lambda s: F.struct(s["copy"], s["source"])), empty), F.coalesce("more", empty))
     takes = F.transform(F.array_sort(takes), lambda s: s["source"])
-    return done.select(*kept, "size", takes.alias("takes")).withColumn("taken", F.size("takes") * F.col("size"))
+    return done.select(f"{own_row}.*", "size", takes.alias("takes")).withColumn("taken", F.size("takes") * F.col("size"))

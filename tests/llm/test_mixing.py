@@ -97,3 +97,15 @@ def test_no_unused_document_of_overlapping_sources_fits(spark):
     assert all(set(r["takes"]) <= set(r["names"]) and len(r["takes"]) <= 2 for r in out)
     for s in quotas:
         assert 0 <= lack[s] < min((n for n in spare[s]), default=10**9), (s, lack)
+
+
+def test_columns_named_like_those_of_the_plan(spark):
+    rows = [(i, "s", 10 + i % 5, i, str(i), i % 2 == 0, i, i) for i in range(60)]
+    spec = "doc_id long, source string, n long, more long, open string, most boolean, seg long, `a.b` long"
+    docs = spark.createDataFrame(rows, spec)
+    out = mixing.mix(docs, F.col("n"), F.array("source"), {"s": 900}).collect()
+    plain = mixing.mix(docs.select("doc_id", "source", "n"), F.col("n"), F.array("source"), {"s": 900}).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in out) == sorted((r["doc_id"], r["taken"]) for r in plain)
+    assert {(r["doc_id"], r["more"], r["open"], r["most"], r["seg"], r["a.b"]) for r in out} == {(r[0], r[3], r[4], r[5], r[6], r[7]) for r in rows}
+    other = docs.select("doc_id", "source", "n", F.lit(1).alias("key"), F.lit(2).alias("copy"), F.lit(3).alias("to"), F.lit(4).alias("run"), F.lit(5).alias("lacks"))
+    assert mixing.mix(other, F.col("n"), F.array("source"), {"s": 900}).agg(F.sum("taken"), F.sum("key"), F.sum("lacks")).first()[1:] == (60, 300)
