@@ -7,7 +7,8 @@ terms' weights, without matches inside exception phrases, is divided by a slowly
 
 The lexicon is learned: word beginnings and whole words that are far more frequent among toxic documents, weighted by their log odds.
 Exception phrases are two-word phrases with a term that only clean documents have. Both come from counts made in Spark
-over a bounded sample (`PER_CLASS` documents a class) of the usable labels; the texts are never collected.
+over a bounded sample (`PER_CLASS` documents a class) of the usable labels; the texts are never collected. No number of terms is set:
+what passes the least support and odds (terms) or the least count (phrases) is kept, so the sample alone bounds the lexicon.
 
 Defined cases: null and empty texts have no matches and get the score of length 0; repeated rows and null ids are scored like any
 other; an empty table gives an empty result; without usable labels the lexicon is empty; only `id_col` and `text_col` are read.
@@ -31,7 +32,6 @@ from bunkerline.llm.labelled import calibrate, probability, sample
 PER_CLASS = 4000
 #: Least share of the toxic sample a term must occur in, and least log odds.
 SUPPORT, ODDS = 0.003, 3.0
-MOST_TERMS = 5000
 STEMS = range(4, 11)
 
 #: Letters of other alphabets and signs that look like Latin letters.
@@ -150,7 +150,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     sizes = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    best = _counts(texts).where((F.col("toxic") >= max(4, SUPPORT * toxic)) & (odds >= ODDS)).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS)
+    best = _counts(texts).where((F.col("toxic") >= max(4, SUPPORT * toxic)) & (odds >= ODDS)).orderBy(F.desc("toxic"), "term")
     lexicon = Lexicon(choose([tuple(r) for r in best.collect()], toxic, clean))
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["phrase", "label", "n"])
 
     found = texts.mapInArrow(phrases, "phrase string, label int, n long").groupBy("phrase").agg(F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum(F.col("n") * (1 - F.col("label"))).alias("clean"))
-    lexicon.exceptions = [r["phrase"] for r in found.where("toxic = 0 and clean >= 3").orderBy(F.desc("clean"), "phrase").limit(MOST_TERMS).collect()]
+    lexicon.exceptions = [r["phrase"] for r in found.where("toxic = 0 and clean >= 3").orderBy(F.desc("clean"), "phrase").collect()]  # of the sample only
     points = _weigh(texts.select(F.col("label").cast("long").alias("key"), "text"), lexicon).select("key", "weight", "words").collect()  # at most 2 x per_class numbers
     y = np.array([r["key"] for r in points], float)
     lexicon.curve = calibrate(strength(np.array([r["weight"] for r in points]), np.array([r["words"] for r in points])), y)
