@@ -6,7 +6,8 @@ of these, weighted by the lines' lengths, is mapped to the document's quality by
 
 Only documents have labels. Training starts with each line labelled as its document; after each fit, lines
 of bad documents that the model finds good are relabelled so, as long as one bad line is left. The sample is bounded
-(`PER_CLASS` documents a class, of whose lines the driver gets feature vectors and no text); scoring covers every line of every text.
+(`PER_CLASS` documents and `CLASS_LINES` lines a class, of which the driver gets feature vectors and no text; documents are taken whole, in the order of a hash of
+their text, and one that would pass the bound on lines is left out of the sample); scoring covers every line of every text.
 
 Defined cases: a null or empty text is one empty line; blank lines count only where nothing else is there; repeated rows and null ids are
 scored like any other; an empty table gives an empty result; without labels of both classes every document gets one constant score;
@@ -29,6 +30,7 @@ from bunkerline.llm.common import blobs, lists, release, slices
 from bunkerline.llm.labelled import calibrate, probability, sample
 
 PER_CLASS = 2000
+CLASS_LINES = 200_000
 ROUNDS, STEPS = 3, 150
 _UPPER = string.ascii_uppercase.encode()
 _DIGITS = string.digits.encode()
@@ -141,7 +143,25 @@ def quality(bad: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray
     return 1 - np.sqrt(np.add.reduceat(bad * sizes, first) / np.add.reduceat(sizes, first))
 
 
-def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS) -> Model | None:
+def _whole_documents(texts: DataFrame, class_lines: int) -> DataFrame:
+    """Those (text, label) rows of a sample that stay within `class_lines` lines a class, whole documents each.
+
+    The driver sees a number of lines for each text of the sample, which has a bounded number of rows.
+    """
+    name, lines = F.xxhash64("text", "label"), F.coalesce(F.regexp_count("text", F.lit("\n")), F.lit(0)) + 1
+    sizes = sorted((r["label"], r["name"], r["lines"] * r["rows"]) for r in texts.groupBy("label", name.alias("name")).agg(F.max(lines).alias("lines"), F.count("*").alias("rows")).collect())
+    left, out = {}, []
+    for label, own, n in sizes:
+        if n <= left.get(label, class_lines):
+            left[label] = left.get(label, class_lines) - n
+        else:
+            out.append((own,))
+    if not out:
+        return texts
+    return texts.withColumn("_name", name).join(F.broadcast(texts.sparkSession.createDataFrame(out, "_name long")), "_name", "left_anti").drop("_name")
+
+
+def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = PER_CLASS, class_lines: int = CLASS_LINES) -> Model | None:
     """A model from the labels for which `usable` holds; None where they lack a class."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +169,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
             found = [document_lines(t) for t in blobs(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([f.astype("<f4").tobytes() for f, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], ["label", "features", "lengths"])
 
-    rows = sample(docs, labels, label, per_class, usable).mapInArrow(scan, "label int, features binary, lengths binary").collect()
+    texts = _whole_documents(sample(docs, labels, label, per_class, usable), class_lines)
+    rows = texts.mapInArrow(scan, "label int, features binary, lengths binary").collect()
     rows.sort(key=lambda r: (r["label"], bytes(r["features"])))
     y = np.array([r["label"] for r in rows])
     if not len(y) or y.min() == y.max():

@@ -104,3 +104,23 @@ def test_odd_rows(spark):
     assert {r["score"] for r in line_crf.score(docs, None).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), toxicity.Lexicon({})).count() == line_crf.score(docs.limit(0), model).count() == 0
     assert toxicity.learn(docs, labels.limit(0), usable).terms == {}
+
+
+def test_sample_keeps_whole_documents_within_its_lines(spark):
+    rows = [(f"d{i}\n" * 9, i % 2) for i in range(40)] + [("x\n" * 5000, 1), (None, 0)]
+    texts = spark.createDataFrame(rows, "text string, label int")
+    assert line_crf._whole_documents(texts, 10_000).count() == len(rows)
+    kept = line_crf._whole_documents(texts, 100).collect()
+    assert {tuple(r) for r in kept} < set(rows) and all(r["text"] is None or len(r["text"]) < 100 for r in kept)
+    for y in (0, 1):
+        n = sum((r["text"] or "").count("\n") + 1 for r in kept if r["label"] == y)
+        assert 90 <= n <= 100
+    assert sorted(map(str, kept)) == sorted(map(str, line_crf._whole_documents(texts.repartition(3), 100).collect()))
+
+
+def test_every_term_above_the_support_is_weighed(spark):
+    words = [chr(97 + i // 676) + chr(97 + i // 26 % 26) + chr(97 + i % 26) + "q" for i in range(6000)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(6)] + [(i, "calm and clean") for i in range(6, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(60)], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels, labelled.F.lit(True))
+    assert len(lexicon.terms) == 6000 and {t.strip() for t in lexicon.terms} == set(words)
