@@ -2,7 +2,7 @@
 
 Fronts of any input size are found in two streaming phases and never by comparing every pair:
 equal vectors collapse first, each partition keeps only its own front, and the survivors are
-compared cell by cell on an equi-depth grid.
+compared cell by cell on an equi-depth grid that grows with their number.
 """
 
 from __future__ import annotations
@@ -17,15 +17,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bunkerline.functions.expr import float_bin
 from bunkerline.functions.ordering import (
     global_rank, running_min_before, value_positions, with_neighbours,
 )
 from bunkerline.session import cut_lineage
 
 FEASIBLE = 1e-9
-SINGLE_PASS_ROWS = 4096
-MAX_CELLS = 512
+CELL_ROWS = 2048
 TILE_ROWS = 2048
 CELL_POINTS = 16
 
@@ -117,43 +115,67 @@ def front_vectors(df: DataFrame, objectives: Sequence[str], by: Sequence[str] =
         {"_key": group, "_own": F.lit(True)})
     local = _stream_fronts(_drop_beaten(vectors, objectives, bool(by)), objectives, "_key")
     survivors = cut_lineage(local.dropDuplicates())
-    count = survivors.count()
-    if count <= SINGLE_PASS_ROWS:  # proven small: one task finishes it
-        return _stream_fronts(survivors.coalesce(1), objectives, "_key").drop("_key", "_own")
-    return _grid_front(survivors, objectives, count).drop("_key", "_own")
+    return _grid_front(survivors, objectives).drop("_key", "_own")
 
 
-def _grid_front(survivors: DataFrame, objectives: list[str], count: int) -> DataFrame:
-    """Compare survivors cell by cell.
+def _grid_front(survivors: DataFrame, objectives: list[str]) -> DataFrame:
+    """Compare survivors cell by cell, on one path whatever their number; no cell or point passes the driver.
 
-    A cell strictly below another in every bin dominates all of it, so such cells vanish whole;
-    a remaining cell only has to meet cells no higher in any bin.
+    A front of d objectives has d - 1 free ones, so a grid of (rows / CELL_ROWS) ** (1 / (d - 1)) bins a side has about
+    rows / CELL_ROWS occupied cells. A cell that lies above another one in every bin is dominated whole and goes. Any other
+    cell shares a bin with each cell that reaches it, so the pairs of cells to compare come from d equi-joins, and a point
+    travels only to cells whose highest corner it does not exceed.
     """
     d = len(objectives)
-    bins = max(2, int(min(MAX_CELLS, count / 1000 + 2) ** (1.0 / d)))
+    bins_of = [f"_b{i}" for i in range(d)]
+    largest = survivors.groupBy("_key").count().agg(F.max("count")).first()[0] or 1
+    bins = math.ceil((largest / CELL_ROWS) ** (1.0 / max(1, d - 1)))
     share = [i / bins for i in range(1, bins)]
-    cuts = survivors.agg(*[F.percentile_approx(c, share, 10000).alias(c) for c in objectives]).first()
+    cuts = survivors.agg(*[F.percentile_approx(c, share, 10000).alias(c) for c in objectives]).first() if share else None
 
     def bin_of(c: str) -> Column:
-        edges = F.array(*[F.lit(float(v)) for v in cuts[c]])
-        return F.size(F.filter(edges, lambda e: e <= F.col(c)))
-
-    placed = survivors.withColumn("_cell", F.array(*[bin_of(c) for c in objectives]))
-    cells = [(r["_key"], tuple(r["_cell"])) for r in placed.select("_key", "_cell").distinct().collect()]
-    routes = []
-    for key in {k for k, _ in cells}:
-        grid = np.array([c for k, c in cells if k == key])
-        beaten = (grid[None, :, :] < grid[:, None, :]).all(axis=2).any(axis=1)
-        grid = grid[~beaten]
-        reaches = (grid[:, None, :] <= grid[None, :, :]).all(axis=2)
-        for source, target in zip(*np.nonzero(reaches)):
-            routes.append((key, [int(v) for v in grid[source]], f"{key}#{'.'.join(map(str, grid[target]))}", bool(source == target)))
-    # bounded by the square of MAX_CELLS per group
-    table = survivors.sparkSession.createDataFrame(routes, "_key string, _cell array<int>, _target string, _here boolean")
-    sent = placed.join(table, ["_key", "_cell"]).withColumn("_own", F.col("_here")).drop("_here", "_cell")
+        return F.size(F.filter(F.lit([float(v) for v in cuts[c]]), lambda e: e <= F.col(c))) if cuts else F.lit(0)
+
+    placed = survivors.withColumns({b: bin_of(c) for b, c in zip(bins_of, objectives)})
+    corners = [f(c).alias(f"_{n}_{c}") for c in objectives for n, f in (("lo", F.min), ("hi", F.max))]
+    cells = cut_lineage(_unbeaten_cells(placed.groupBy("_key", *bins_of).agg(*corners), bins_of, bins))
+
+    to = [f"_t{i}" for i in range(d)]
+    above = cells.select("_key", *[F.col(b).alias(t) for b, t in zip(bins_of, to)], *[F.col(f"_hi_{c}").alias(f"_top_{c}") for c in objectives])
+    below = cells.select("_key", *bins_of, *[f"_lo_{c}" for c in objectives])
+    reaches = reduce(lambda a, b: a & b, [F.col(b) <= F.col(t) for b, t in zip(bins_of, to)] + [F.col(f"_lo_{c}") <= F.col(f"_top_{c}") for c in objectives])
+    pairs = []
+    for i, (b, t) in enumerate(zip(bins_of, to)):  # the first bin that both share names the pair, so each comes once
+        first = reduce(lambda x, y: x & y, [F.col(bins_of[j]) < F.col(to[j]) for j in range(i)], F.lit(True))
+        met = below.join(above.withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & (F.col(b) == F.col(t)))
+        pairs.append(met.where(reaches & first).select("_key", *bins_of, *to, *[f"_top_{c}" for c in objectives]))
+    own = reduce(lambda a, b: a & b, [F.col(b) == F.col(t) for b, t in zip(bins_of, to)])
+    within = reduce(lambda a, b: a & b, [F.col(c) <= F.col(f"_top_{c}") for c in objectives])
+    sent = placed.join(reduce(DataFrame.unionByName, pairs), ["_key", *bins_of]).where(within).select(
+        *survivors.drop("_own").columns, own.alias("_own"), F.concat_ws("#", "_key", *to).alias("_target"))
     return _stream_fronts(sent.repartition("_target"), objectives, "_target").drop("_target")
 
 
+def _unbeaten_cells(cells: DataFrame, bins_of: list[str], bins: int) -> DataFrame:
+    """Cells with no occupied cell below them in every bin.
+
+    A table over all but the last bin (rows / CELL_ROWS entries a group) holds the lowest last bin of any cell up to each
+    place: running minima along one side after the other, each over windows of one side's length.
+    """
+    *sides, last = bins_of
+    table = cells.select("_key").distinct()
+    for b in sides:
+        table = table.withColumn(b, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    table = table.join(cells.groupBy("_key", *sides).agg(F.min(last).alias("_low")), ["_key", *sides], "left")
+    for b in sides:
+        others = [c for c in sides if c != b]
+        table = table.withColumn("_low", F.min("_low").over(
+            Window.partitionBy("_key", *others).orderBy(b).rowsBetween(Window.unboundedPreceding, 0)))
+    lower = table.select("_key", *[(F.col(b) + 1).alias(b) for b in sides], "_low")
+    rows = cells.join(lower, ["_key", *sides], "left")
+    return rows.where(F.col("_low").isNull() | (F.col("_low") >= F.col(last))).drop("_low")
+
+
 def skyline(
     df: DataFrame, objectives: Sequence[str], violation: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:

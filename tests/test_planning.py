@@ -132,13 +132,30 @@ def brute(pdf):
     return set(pdf["id"][keep])
 
 
-@pytest.mark.parametrize("single_pass", [4096, 0])
-def test_skyline_matches_brute_force(cloud, monkeypatch, single_pass):
-    monkeypatch.setattr(pareto, "SINGLE_PASS_ROWS", single_pass)  # 0 forces the grid phase
+@pytest.mark.parametrize("cell_rows", [2048, 12])
+def test_skyline_matches_brute_force(cloud, monkeypatch, cell_rows):
+    monkeypatch.setattr(pareto, "CELL_ROWS", cell_rows)  # one cell, and a grid of many
     pdf, df = cloud
     assert {r["id"] for r in pareto.skyline(df, OBJ).collect()} == brute(pdf)
 
 
+@pytest.mark.parametrize("d", [1, 2, 3, 4])
+def test_front_of_any_number_of_objectives_over_many_cells(spark, monkeypatch, d):
+    monkeypatch.setattr(pareto, "CELL_ROWS", 8)
+    rng = np.random.default_rng(d)
+    names = [f"o{i}" for i in range(d)]
+    pts = rng.integers(0, 40, (900, d)).astype(float)  # many ties in every objective
+    pts[:, -1] += 40.0 * d - pts[:, :-1].sum(axis=1)
+    pdf = pd.DataFrame(pts, columns=names).assign(id=range(900), g=rng.integers(0, 3, 900))
+    got = {r["id"] for r in pareto.skyline(spark.createDataFrame(pdf), names, by=["g"]).collect()}
+    want = set()
+    for _, own in pdf.groupby("g"):
+        v = own[names].to_numpy()
+        want |= {i for i, p in zip(own["id"], v) if not ((v <= p).all(1) & (v < p).any(1)).any()}
+    assert got == want
+    assert pareto.skyline(spark.createDataFrame(pdf).limit(0), names).count() == 0
+
+
 def test_skyline_by_group_and_feasibility(cloud):
     pdf, df = cloud
     pdf = pdf.assign(g=pdf["id"] % 2, bad=(pdf["id"] % 5 == 0) * 0.5)
