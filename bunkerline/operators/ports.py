@@ -169,13 +169,18 @@ def crossover(df: DataFrame, horizon: tuple[int, int] = (2024, 2050), fuel: str
 
 
 def electrification_series(df: DataFrame, key: str, first: int = 2024, last: int = 2047, fuel: str = "mgo") -> DataFrame:
-    """Per key and year: battery and fuel emissions of the key's total work.
+    """Per key and year: battery and fuel emissions of the key's total work, the year in which the battery gets
+    cleaner (null if none is near enough), and the local pollutants a battery keeps out of the port.
 
     Work is summed per key first, so the explode over years runs on the small result.
     """
     work = df.groupBy(key).agg(F.sum("energy_mj").alias("energy_mj"))
-    years = work.withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
-    return years.withColumns({
+    # a null engine: pollutants depend on the fuel only
+    burnt = emissions.local_pollutants(work.withColumns({"fuel": F.lit(fuel), "engine": F.lit(None).cast("string")}))
+    for name in ("nox_kg", "sox_kg", "pm_kg"):
+        burnt = burnt.withColumnRenamed(name, f"avoided_{name}")
+    years = crossover(burnt, fuel=fuel).withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    return years.drop("fuel").withColumns({
         "electric_t": F.col("energy_mj") * emissions.electric_per_mj(grid_factor(F.col("year"))),
         "baseline_t": F.col("energy_mj") * F.lit(emissions.total_per_mj(fuel, "fossil")),
     })

@@ -188,7 +188,16 @@ def _(t: Inputs):
     return computed(t).groupBy("fuel", "pathway", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ems_notes")
+@query("ems_notes", """
+SELECT activity_id, fuel, pathway, array_to_string(list_filter([
+    CASE WHEN is_carrier THEN printf('grid at %.3f tCO2/MWh, %d%% drivetrain', grid, CAST(round(efficiency * 100) AS INTEGER)) END,
+    CASE WHEN NOT is_carrier AND efficiency <> 1e0 THEN printf('%d%% conversion efficiency, ', CAST(round(efficiency * 100) AS INTEGER))
+      || format('{:,.0f}', energy_mj / efficiency) || ' MJ in for ' || format('{:,.0f}', energy_mj) || ' MJ of shaft work' END,
+    CASE WHEN NOT is_carrier AND biogenic THEN 'biogenic combustion CO2 left out; upstream burden counted' END,
+    CASE WHEN NOT is_carrier AND slip > 0 THEN printf('methane slip %.2f%% of fuel mass (%s)', slip * 100, COALESCE(engine, 'measured fleet default')) END,
+    CASE WHEN NOT is_carrier AND share > 0 THEN printf('%.1f%% of energy from pilot %s, counted in full', share * 100, pilot_fuel) END],
+  lambda n: n IS NOT NULL), '; ') AS notes
+FROM (SELECT i.*, p.pilot_fuel FROM o_emsin i LEFT JOIN o_pilot p ON p.fuel = i.fuel)""")
 def _(t: Inputs):
     return computed(t, notes=True).select("activity_id", "fuel", "pathway", F.array_join("notes", "; ").alias("notes"))
 
@@ -275,11 +284,16 @@ def _(t: Inputs):
 
 
 @query("ems_electrification_series", f"""
-SELECT w.port, CAST(g.year AS INTEGER) AS year, round(w.energy / 0.92e0 / 3600e0 / 0.9e0 * g.grid, 3) + 0e0 AS electric_t, round(w.energy * {MGO}, 3) + 0e0 AS baseline_t
+SELECT w.port, CAST(g.year AS INTEGER) AS year, round(w.energy / 0.92e0 / 3600e0 / 0.9e0 * g.grid, 3) + 0e0 AS electric_t, round(w.energy * {MGO}, 3) + 0e0 AS baseline_t,
+  (SELECT CAST(min(c.year) AS INTEGER) FROM o_gridyear c WHERE c.year BETWEEN 2024 AND 2050 AND 1e0 / 0.92e0 / 3600e0 / 0.9e0 * c.grid < {MGO}) AS crossover_year,
+  round(w.energy / 0.45e0 / 42.7e0 / 1000e0 * 57e0, 3) + 0e0 AS avoided_nox_kg, round(w.energy / 0.45e0 / 42.7e0 / 1000e0 * 2e0, 3) + 0e0 AS avoided_sox_kg,
+  round(w.energy / 0.45e0 / 42.7e0 / 1000e0 * 0.3e0, 3) + 0e0 AS avoided_pm_kg
 FROM (SELECT port, sum(energy_mj) AS energy FROM v_berth GROUP BY port) w CROSS JOIN o_gridyear g WHERE g.year BETWEEN 2024 AND 2047""")
 def _(t: Inputs):
     out = ports.electrification_series(t.view("v_berth"), "port")
-    return out.select("port", "year", rnd("electric_t", 3).alias("electric_t"), rnd("baseline_t", 3).alias("baseline_t"))
+    return out.select(
+        "port", "year", rnd("electric_t", 3).alias("electric_t"), rnd("baseline_t", 3).alias("baseline_t"), "crossover_year",
+        *[rnd(f"avoided_{c}", 3).alias(f"avoided_{c}") for c in ("nox_kg", "sox_kg", "pm_kg")])
 
 
 # --------------------------------------------------------------------------- ports

@@ -34,20 +34,30 @@ values_cte("o_route", "route_idx int, route string, nmi double, demand double, m
 ])
 values_cte("o_ffuel", "fuel_idx int, fuel string, pathway string, price double", [
     (0, "mgo", "fossil", 1500.0), (1, "hfo", "fossil", 1100.0), (2, "lng", "fossil", 1300.0), (3, "methanol", "fossil", 2600.0)])
-cte("o_fuelmj", """
+def fuel_sql(fuels: str) -> str:
+    """Price, density and emissions of a scenario's fuels by their place in it."""
+    return f"""
 SELECT x.fuel_idx, x.fuel, x.price, f.efficiency, f.lhv * f.density / 1000e0 / f.tank_factor AS dens,
   (1e0 - COALESCE(pi.pilot_fraction, 0e0)) / f.efficiency * p.wtt / 1e6 + (1e0 - COALESCE(pi.pilot_fraction, 0e0)) / f.efficiency / f.lhv / 1000e0 * f.cf
   + CASE WHEN x.fuel = 'lng' THEN (1e0 / f.efficiency / f.lhv / 1000e0) * 0.01716e0 * 29.8e0 ELSE (1e0 - COALESCE(pi.pilot_fraction, 0e0)) / f.efficiency * f.ch4_g_mj / 1e6 * 29.8e0 END
   + (1e0 - COALESCE(pi.pilot_fraction, 0e0)) / f.efficiency * f.n2o_g_mj / 1e6 * 273e0
   + CASE WHEN x.fuel = 'methanol' THEN 0.04e0 * (1e0 / 0.45e0 * (14.4e0 / 1e6 + 3.206e0 / 42.7e0 / 1000e0 + 0.001171e0 / 1e6 * 29.8e0 + 0.004215e0 / 1e6 * 273e0)) ELSE 0e0 END AS t_per_mj
-FROM o_ffuel x JOIN o_fuel f ON f.fuel = x.fuel JOIN o_pathway p ON p.fuel = x.fuel AND p.pathway = x.pathway LEFT JOIN o_pilot pi ON pi.fuel = x.fuel""")
-cte("o_rfok", """
+FROM {fuels} x JOIN o_fuel f ON f.fuel = x.fuel JOIN o_pathway p ON p.fuel = x.fuel AND p.pathway = x.pathway LEFT JOIN o_pilot pi ON pi.fuel = x.fuel"""
+
+
+def route_fuel_sql(fuels: str) -> str:
+    """Whether a fuel can be had in 2030 at both ends of a route."""
+    return f"""
 SELECT r.route_idx, f.fuel_idx, COALESCE(a.status, 'none') IN ('available', 'limited') AND COALESCE(b.status, 'none') IN ('available', 'limited') AS ok
-FROM o_route r CROSS JOIN o_ffuel f LEFT JOIN o_availstep a ON a.port = r.p1 AND a.fuel = f.fuel AND a.y0 <= 2030 AND 2030 < a.y1
-LEFT JOIN o_availstep b ON b.port = r.p2 AND b.fuel = f.fuel AND b.y0 <= 2030 AND 2030 < b.y1""")
+FROM o_route r CROSS JOIN {fuels} f LEFT JOIN o_availstep a ON a.port = r.p1 AND a.fuel = f.fuel AND a.y0 <= 2030 AND 2030 < a.y1
+LEFT JOIN o_availstep b ON b.port = r.p2 AND b.fuel = f.fuel AND b.y0 <= 2030 AND 2030 < b.y1"""
+
+
+cte("o_fuelmj", fuel_sql("o_ffuel"))
+cte("o_rfok", route_fuel_sql("o_ffuel"))
 
 
-def scored_sql(source: str, keys: str, route: str = "o_route", transit: str = "r.max_hours") -> str:
+def scored_sql(source: str, keys: str, route: str = "o_route", transit: str = "r.max_hours", fuels: str = "o_fuelmj", usable: str = "o_rfok") -> str:
     """Scoring of (vessel row, route_idx, fuel_idx, speed_kn) rows as SQL."""
     return f"""
 SELECT *, CASE WHEN failure = 'range' THEN (nmi - range_n) / nmi WHEN failure = 'schedule' THEN late WHEN failure IS NOT NULL THEN 1e0 ELSE 0e0 END AS failure_violation,
@@ -65,19 +75,23 @@ FROM (SELECT *, CASE WHEN compatible_routes_text IS NOT NULL AND NOT list_contai
       SELECT {keys}, v.*, s.speed_kn, r.route_idx, r.route, r.nmi, r.demand, {transit} AS max_h, f.fuel_idx, f.fuel, f.price, f.efficiency, f.dens, f.t_per_mj, k.ok, 2000e0 AS carbon,
         least(greatest(s.speed_kn, v.min_speed_kn), v.max_speed_kn) AS sailed,
         CASE WHEN abs(s.speed_kn - least(greatest(s.speed_kn, v.min_speed_kn), v.max_speed_kn)) > 1e-9 THEN abs(s.speed_kn - least(greatest(s.speed_kn, v.min_speed_kn), v.max_speed_kn)) ELSE 0e0 END AS speed_violation
-      FROM {source} s JOIN v_vessel v ON v.vessel_key = s.vessel_key JOIN {route} r ON r.route_idx = s.route_idx JOIN o_fuelmj f ON f.fuel_idx = s.fuel_idx
-      JOIN o_rfok k ON k.route_idx = s.route_idx AND k.fuel_idx = s.fuel_idx))))"""
+      FROM {source} s JOIN v_vessel v ON v.vessel_key = s.vessel_key JOIN {route} r ON r.route_idx = s.route_idx JOIN {fuels} f ON f.fuel_idx = s.fuel_idx
+      JOIN {usable} k ON k.route_idx = s.route_idx AND k.fuel_idx = s.fuel_idx))))"""
 
 
 cte("o_assign", scored_sql("v_plan", "s.plan_id", transit="CASE r.route_idx WHEN 0 THEN 65e0 END"))
 TIMED = replace(COASTAL, routes=(replace(COASTAL.routes[0], max_transit_hours=65.0), *COASTAL.routes[1:]))
-cte("o_planroute", "SELECT plan_id, route, sum(delivered_t) AS got FROM o_assign GROUP BY ALL")
-cte("o_plan", """
+def plan_sql(scored: str) -> str:
+    """Objectives and violations of whole plans from their scored vessels."""
+    return f"""
 SELECT p.*, p.base + COALESCE(q.demand_violation, 0e0) AS violation, q.cargo_t FROM (
   SELECT plan_id, count(*) AS deployed, sum(fuel_energy_mj) AS energy_mj, sum(emissions_t) AS emissions_t, sum(cost_inr) AS cost_inr,
-         sum(speed_violation) + sum(failure_violation) AS base FROM o_assign GROUP BY plan_id) p
+         sum(speed_violation) + sum(failure_violation) AS base FROM {scored} GROUP BY plan_id) p
 JOIN (SELECT d.plan_id, sum(CASE WHEN r.demand - COALESCE(g.got, 0e0) > 1e-9 THEN (r.demand - COALESCE(g.got, 0e0)) / greatest(r.demand, 1e0) ELSE 0e0 END) AS demand_violation, sum(COALESCE(g.got, 0e0)) AS cargo_t
-  FROM (SELECT DISTINCT plan_id FROM o_assign) d CROSS JOIN o_route r LEFT JOIN o_planroute g ON g.plan_id = d.plan_id AND g.route = r.route GROUP BY d.plan_id) q ON q.plan_id = p.plan_id""")
+  FROM (SELECT DISTINCT plan_id FROM {scored}) d CROSS JOIN o_route r LEFT JOIN (SELECT plan_id, route, sum(delivered_t) AS got FROM {scored} GROUP BY ALL) g ON g.plan_id = d.plan_id AND g.route = r.route GROUP BY d.plan_id) q ON q.plan_id = p.plan_id"""
+
+
+cte("o_plan", plan_sql("o_assign"))
 
 
 # --------------------------------------------------------------------------- fleet
@@ -112,20 +126,33 @@ SWEEP = (
 )
 
 
+# two fuels: the four places of a plan's fuel number fall on them in turn
+values_cte("o_cheapfuel", "fuel_idx int, fuel string, pathway string, price double", [
+    (0, "lng", "fossil", 700.0), (1, "mgo", "fossil", 1500.0), (2, "lng", "fossil", 700.0), (3, "mgo", "fossil", 1500.0)])
+cte("o_cheapmj", fuel_sql("o_cheapfuel"))
+cte("o_cheapok", route_fuel_sql("o_cheapfuel"))
+cte("o_cheapassign", scored_sql("v_plan", "s.plan_id", transit="CASE r.route_idx WHEN 0 THEN 65e0 END", fuels="o_cheapmj", usable="o_cheapok"))
+cte("o_cheapplan", plan_sql("o_cheapassign"))
+
+
 @query("flt_scenario_sweep", """
 SELECT scenario, count(*) AS n, round(sum(energy_mj) / 1e6, 2) + 0e0 AS energy_tj, round(sum(emissions_t), 2) + 0e0 AS emissions_t, round(sum(cost_inr) / 1e6, 2) + 0e0 AS cost_minr, round(sum(violation), 4) + 0e0 AS violation FROM (
   SELECT 'coastal' AS scenario, plan_id, energy_mj, emissions_t, cost_inr, violation FROM o_plan
   UNION ALL SELECT 'capped', plan_id, energy_mj, emissions_t, cost_inr + 6000e0 * emissions_t,
-     violation + CASE WHEN emissions_t - 20000e0 > 1e-9 THEN (emissions_t - 20000e0) / 20000e0 ELSE 0e0 END FROM o_plan) GROUP BY scenario""")
+     violation + CASE WHEN emissions_t - 20000e0 > 1e-9 THEN (emissions_t - 20000e0) / 20000e0 ELSE 0e0 END FROM o_plan
+  UNION ALL SELECT 'cheap_lng', plan_id, energy_mj, emissions_t, cost_inr, violation FROM o_cheapplan) GROUP BY scenario""")
 def _(t: Inputs):
-    two = SWEEP[:2]
-    scored = fleet.score_plans(fleet.score_assignments(assignments(t), two), two)
+    scored = fleet.score_plans(fleet.score_assignments(assignments(t), SWEEP), SWEEP)
     return scored.groupBy("scenario").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.sum("energy_mj") / 1e6, 2).alias("energy_tj"), rnd(F.sum("emissions_t"), 2).alias("emissions_t"),
         rnd(F.sum("cost_inr") / 1e6, 2).alias("cost_minr"), rnd(F.sum("violation"), 4).alias("violation"))
 
 
-@query("flt_scenario_prices")
+@query("flt_scenario_prices", """
+SELECT scenario, count(*) AS n, round(sum(cost_inr), 0) + 0e0 AS cost_inr, count(*) FILTER (violation <= 1e-9) AS feasible FROM (
+  SELECT 'coastal' AS scenario, cost_inr, violation FROM o_plan
+  UNION ALL SELECT 'capped', cost_inr + 6000e0 * emissions_t, violation + greatest(0e0, emissions_t - 20000e0) FROM o_plan
+  UNION ALL SELECT 'cheap_lng', cost_inr, violation FROM o_cheapplan) GROUP BY scenario""")
 def _(t: Inputs):
     scored = fleet.score_plans(fleet.score_assignments(assignments(t), SWEEP), SWEEP)
     return scored.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("cost_inr"), 0).alias("cost_inr"), F.count_if("feasible").alias("feasible"))
@@ -173,11 +200,13 @@ SELECT 'large' AS kind, p_partkey AS vessel_key, 'V' || CAST(p_partkey AS VARCHA
   round(600e0 + {fleet_draw('large', 'tank')} * 2400e0, 6) + 0e0 AS tank_volume_m3, round(6e7 + {fleet_draw('large', 'cost')} * (4e8 - 6e7), 2) + 0e0 AS annual_cost_inr FROM part
 UNION ALL SELECT 'coastal', p_partkey, 'Coastal-' || CAST(p_partkey AS VARCHAR), CASE WHEN cap < 12000 THEN 'general_cargo' ELSE 'bulk_carrier' END, cap, spd, cap / 10, cap * 11000 FROM (
   SELECT p_partkey, [6000e0, 8000e0, 12000e0, 18000e0][CAST(floor({fleet_draw('coastal', 'capacity')} * 4) AS INTEGER) + 1] AS cap,
-         [14e0, 15e0, 16e0][CAST(floor({fleet_draw('coastal', 'speed')} * 3) AS INTEGER) + 1] AS spd FROM part)""")
+         [14e0, 15e0, 16e0][CAST(floor({fleet_draw('coastal', 'speed')} * 3) AS INTEGER) + 1] AS spd FROM part)
+UNION ALL SELECT 'tug', p_partkey, 'Tug-' || CAST(p_partkey AS VARCHAR), 'harbour_tug', 80e0, 12e0, round(60e0 + {fleet_draw('tug', 'tank')} * 80e0, 6) + 0e0,
+  round(2.2e7 + {fleet_draw('tug', 'cost')} * (3.2e7 - 2.2e7), 2) + 0e0 FROM part""")
 def _(t: Inputs):
     parts = t.table("part").select(F.col("p_partkey").alias("index"))
     both = None
-    for kind in ("large", "coastal"):
+    for kind in ("large", "coastal", "tug"):
         df = fleet.generated_fleet(parts, kind).select(
             F.lit(kind).alias("kind"), "vessel_key", "vessel", "vessel_class", rnd("capacity_t", 6).alias("capacity_t"), rnd("max_speed_kn", 6).alias("max_speed_kn"),
             rnd("tank_volume_m3", 6).alias("tank_volume_m3"), rnd("annual_cost_inr", 2).alias("annual_cost_inr"))
@@ -502,9 +531,12 @@ def _(t: Inputs):
     return pareto.best_by(front(t), OBJ, "plan_id")
 
 
-@query("par_archive_update")
+@query("par_archive_update", """
+SELECT a.plan_id, a.energy, a.emissions, a.cost, CAST(a.violation AS DOUBLE) AS violation FROM o_sky a WHERE NOT EXISTS (
+  SELECT 1 FROM o_sky b WHERE b.plan_id < a.plan_id AND abs(a.energy - b.energy) <= 1e-5 * greatest(abs(a.energy), abs(b.energy))
+    AND abs(a.emissions - b.emissions) <= 1e-5 * greatest(abs(a.emissions), abs(b.emissions)) AND abs(a.cost - b.cost) <= 1e-5 * greatest(abs(a.cost), abs(b.cost)))""")
 def _(t: Inputs):
-    rows = t.view("v_front").select("plan_id", *OBJ, "violation")
+    rows = t.view("v_front").select("plan_id", *OBJ, F.col("violation").cast("double").alias("violation"))
     held = pareto.update_archive(None, rows.where("plan_id % 2 = 0"), OBJ, "plan_id", violation="violation")
     return pareto.update_archive(held, rows.where("plan_id % 2 = 1"), OBJ, "plan_id", violation="violation")
 
