@@ -10,7 +10,8 @@ from bunkerline.functions.expr import rnd
 from bunkerline.operators import derive, emissions, features
 from bunkerline.plans.registry import Inputs, cte, query, values_cte
 from bunkerline.sources import filings as src
-from bunkerline.sources import sinks
+from bunkerline.sources import panel_store, sinks
+from bunkerline.sources.drops import DECLARED, read_drops
 
 # --------------------------------------------------------------------------- oracle tables
 NULLS = "('', 'n/a', 'na', 'not applicable', 'not available', '-', 'none')"
@@ -103,20 +104,6 @@ values_cte("o_unitdim", "dimension string, unit string, factor double",
 # --------------------------------------------------------------------------- 2.1 sources
 
 
-@query("src_period_scan", """
-SELECT source_file, count(*) AS rows_read, count(reporting_period) AS rows_with_period,
-       count(DISTINCT imo) AS ships FROM v_filings GROUP BY source_file""")
-def _(t: Inputs):
-    # text columns per period file; distinct ships via a two-step aggregate, so one file may hold most rows
-    per_ship = t.filings.groupBy("source_file", "imo").agg(
-        F.count(F.lit(1)).alias("n"), F.count("reporting_period").alias("p")
-    )
-    return per_ship.groupBy("source_file").agg(
-        F.sum("n").alias("rows_read"), F.sum("p").alias("rows_with_period"),
-        F.count("imo").alias("ships"),
-    )
-
-
 @query("src_coverage_filter", """
 SELECT report_coverage, CAST(year AS INTEGER) AS reporting_period, count(*) AS filings FROM (
   SELECT report_coverage, regexp_extract(source_file, '[0-9]{4}', 0) AS year FROM v_filings) GROUP BY ALL""")
@@ -150,6 +137,39 @@ def layouts(t: Inputs):
     return old, new
 
 
+def drops(t: Inputs) -> str:
+    """Both layouts as folders of drops, one a period: CSV up to 2021, Parquet after."""
+    def write(path: str) -> None:
+        old, new = layouts(t)
+        meta = [c for c in META if c not in ("source_file", "file_version")]  # path and name tell these
+        period = F.regexp_extract("source_file", r"\d{4}", 0).alias("period")
+        old = old.select(period, *meta, *[src.quoted(c) for c in old.columns if c not in META])
+        new = new.select(period, *meta, *[src.quoted(c) for c in new.columns if c not in META])
+        old.write.partitionBy("period").options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/csv")
+        new.write.partitionBy("period").parquet(f"{path}/parquet")
+
+    return t.folder_of("drops", write)
+
+
+@query("src_period_scan", f"""
+SELECT CAST(regexp_extract(source_file, '[0-9]{{4}}', 0) AS INTEGER) AS file_period, count(*) AS rows_read, count(reporting_period) AS rows_with_period,
+       count(DISTINCT imo) AS ships, count(time_at_sea_h) AS with_time, count(total_ch4_t) AS with_ch4, count(ship_name) AS with_name,
+       count(DISTINCT file_order) AS places
+FROM (SELECT *, CAST(NULL AS VARCHAR) AS ship_name FROM v_filings) GROUP BY 1""")
+def _(t: Inputs):
+    # distinct ships and places by two-step aggregates, so one period may hold most rows
+    rows = read_drops(t.spark, drops(t), keep=("file_order",))
+    per_place = rows.groupBy("file_period", "imo", "file_order").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in ("reporting_period", "time_at_sea_h", "total_ch4_t", "ship_name")])
+    sums = [F.sum(c).alias(c) for c in ("n", "reporting_period", "time_at_sea_h", "total_ch4_t", "ship_name")]
+    per_ship = per_place.groupBy("file_period", "imo").agg(*sums, F.count(F.lit(1)).alias("places"))
+    return per_ship.groupBy("file_period").agg(
+        F.sum("n").alias("rows_read"), F.sum("reporting_period").alias("rows_with_period"), F.count("imo").alias("ships"),
+        F.sum("time_at_sea_h").alias("with_time"), F.sum("total_ch4_t").alias("with_ch4"), F.sum("ship_name").alias("with_name"),
+        F.sum("places").alias("places"))
+
+
 @query("src_header_resolve", f"""
 SELECT reporting_period, count(*) AS filings, count(time_at_sea_h) AS with_time, count(laden_fuel_t) AS with_laden,
        count(total_ch4_t) AS with_ch4, CAST(sum(fuel_per_distance_kg_per_nmi) AS DOUBLE) AS fpd_sum
@@ -275,6 +295,20 @@ def _(t: Inputs):
     )
 
 
+BEST_FILLED = FILLED.replace("\n", " ")
+
+
+@query("sink_panel_refresh", f"""
+SELECT reporting_period, count(*) AS rows, count(DISTINCT imo) AS ships, CAST(sum({BEST_FILLED}) AS BIGINT) AS cells FROM o_panel GROUP BY ALL""")
+def _(t: Inputs):
+    # the versioned panel of the drops; ties between equally filled rows may fall otherwise than by order line
+    root = t.folder_of("panel_store", lambda path: panel_store.refresh(t.spark, drops(t), path) and None)
+    rows = panel_store.read_panel(t.spark, root)
+    cells = sum((F.col(c).isNotNull().cast("int") for c in DECLARED), F.lit(0))
+    return rows.groupBy("reporting_period").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("imo").alias("ships"), F.sum(cells).alias("cells"))
+
+
 @query("sink_run_context")
 def _(t: Inputs):
     inputs = t.usable.agg(

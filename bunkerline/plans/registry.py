@@ -85,14 +85,18 @@ class Inputs:
         """The session and the files that the panel comes from."""
         return (self.spark.sparkContext.applicationId, self.folder, *(self.identity(n) for n in ("lineitem", "part")))
 
-    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A table worked out from the panel, written once like it."""
+    def folder_of(self, name: str, write: Callable[[str], None]) -> str:
+        """A folder of the shared one that ``write`` fills, once for a session and set of input files."""
         key = (name, *self.source_key)
         if key not in _STORED:
             path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-            build().write.parquet(path)
+            write(path)
             _STORED[key] = path
-        return self.spark.read.parquet(_STORED[key])
+        return _STORED[key]
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table worked out from the panel, written once like it."""
+        return self.spark.read.parquet(self.folder_of(name, lambda path: build().write.parquet(path)))
 
     @cached_property
     def usable(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from bunkerline import dims, reference as ref
 from bunkerline.functions import units
 from bunkerline.operators import derive, features, learning, model, physics, splits, stats
-from bunkerline.sources import filings, sinks
+from bunkerline.sources import filings, panel_store, sinks
 from bunkerline.streaming.upsert import merge_drop, upsert_stream
 
 HEADERS = ["IMO Number", "Ship type", "Reporting Period", "Total fuel consumption [m tonnes]",
@@ -256,7 +256,7 @@ def test_stream_upsert(spark, tmp_path):
 
     def run():
         upsert_stream(spark, str(source), ", ".join(f"{n} string" for n in names), str(target), str(tmp_path / "cp")).awaitTermination()
-        return [(r["imo"], r["total_fuel_t"], r["file_version"]) for r in spark.read.parquet(str(target)).collect()]
+        return [(r["imo"], r["total_fuel_t"], r["file_version"]) for r in panel_store.read_panel(spark, str(target)).collect()]
 
     drop("filings_2021_v1.csv", 1, 100)
     assert run() == [(7, 100.0, 1)]
@@ -264,7 +264,7 @@ def test_stream_upsert(spark, tmp_path):
     assert run() == [(7, 120.0, 2)]
     batch = spark.read.option("header", True).csv(str(source / "filings_2021_v1.csv"))
     merge_drop(batch, str(target))  # a late, older version changes nothing
-    assert [(r["total_fuel_t"]) for r in spark.read.parquet(str(target)).collect()] == [120.0]
+    assert [(r["total_fuel_t"]) for r in panel_store.read_panel(spark, str(target)).collect()] == [120.0]
 
 
 def test_level_models_are_interchangeable(spark):
