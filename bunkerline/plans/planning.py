@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bunkerline.functions.expr import md5_uniform, rnd
-from bunkerline.operators import fleet, pareto, policy
+from bunkerline.operators import fleet, pareto, policy, scoring
 from bunkerline.operators.fleet import COASTAL, TINY
 from bunkerline.plans.registry import Inputs, cte, query, values_cte
 
@@ -119,6 +119,19 @@ def _(t: Inputs):
         rnd("violation", 7).alias("violation"), rnd("cargo_t", 3).alias("cargo_t"), "feasible")
 
 
+def cost_a_tonne(batch):
+    """Rupees a tonne delivered; a plan that delivers nothing has no score."""
+    return batch["cost_inr"] / batch["cargo_t"].where(batch["cargo_t"] > 0)
+
+
+@query("flt_objective", """
+SELECT plan_id, round(CASE WHEN cargo_t > 0 THEN cost_inr / cargo_t END, 6) + 0e0 AS cost_a_tonne, CASE WHEN cargo_t > 0 THEN NULL ELSE 'not a number' END AS error FROM o_plan""")
+def _(t: Inputs):
+    scored = scoring.score(plans(t).select("plan_id", "cost_inr", "cargo_t"), cost_a_tonne)
+    finite = F.when(F.col("score") < float("inf"), F.col("score"))
+    return scored.select("plan_id", rnd(finite, 6).alias("cost_a_tonne"), F.col("score_error").alias("error"))
+
+
 SWEEP = (
     TIMED,
     replace(TIMED, name="capped", emission_cap_tco2e=20000.0, carbon_price_inr_per_t=8000.0),
