@@ -318,15 +318,18 @@ def _(t: Inputs):
     return sinks.run_context(inputs, seed=1000, stage="panel")
 
 
+CARD_PARAMS = {"trees": 400, "depth": 6, "rate": 0.05}  # the published ensemble
+
+
 @query("sink_model_card", """
 SELECT count(*) AS n_rows, count(DISTINCT imo) AS n_ships,
        array_to_string(list_sort(list_distinct(list(CAST(reporting_period AS VARCHAR)))), ',') AS periods,
        11 AS n_features, 'vessel_class,design_efficiency_gco2_per_t_nmi,has_design_efficiency,efficiency_metric_eiv,efficiency_metric_eedi,efficiency_metric_eexi,has_ice_class,ice_class_ordinal,ice_time_share,reporting_period,time_at_sea_h' AS features,
-       'grouped out-of-fold log residuals' AS interval_method
+       '{"depth": 6, "rate": 0.05, "trees": 400}' AS params, 'grouped out-of-fold log residuals' AS interval_method
 FROM o_usable WHERE inferred_lhv_mj_per_kg * fuel_per_distance_kg_per_nmi > 0""")
 def _(t: Inputs):
-    card = sinks.model_card(features.with_target(t.usable).where("target > 0"))
-    return card.select("n_rows", "n_ships", "periods", "n_features", "features", "interval_method")
+    card = sinks.model_card(features.with_target(t.usable).where("target > 0"), CARD_PARAMS)
+    return card.select("n_rows", "n_ships", "periods", "n_features", "features", "params", "interval_method")
 
 
 # --------------------------------------------------------------------------- 2.2 cleaning

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -42,14 +43,23 @@ def write_json(record: DataFrame, path: str) -> None:
     record.write.mode("overwrite").json(path)
 
 
-def model_card(training: DataFrame) -> DataFrame:
-    """Training-set card: sizes, periods, features, interval method."""
+def model_card(training: DataFrame, params: dict | None = None, held_out: DataFrame | None = None) -> DataFrame:
+    """One row on a trained model: sizes, periods, features, settings, interval method, and all of it as JSON.
+
+    ``held_out`` is one row of metrics from rows the model did not see; they join the card under their own names.
+    """
     # the period set is small (one entry per reporting year), so it may live in one buffer
-    return training.agg(
+    card = training.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("imo").alias("n_ships"),
         F.array_join(F.array_sort(F.collect_set(F.col("reporting_period").cast("string"))), ",").alias("periods"),
     ).select(
         "*", F.lit(len(ref.MODEL_FEATURES)).alias("n_features"),
         F.lit(",".join(ref.MODEL_FEATURES)).alias("features"),
+        F.lit(json.dumps(params or {}, sort_keys=True)).alias("params"),
         F.lit("grouped out-of-fold log residuals").alias("interval_method"),
-    ).withColumn("card", F.to_json(F.struct("n_rows", "n_ships", "periods", "features", "interval_method")))
+    )
+    parts = [F.col(c) for c in card.columns]
+    if held_out is not None:
+        card = card.crossJoin(held_out.select(F.struct(*held_out.columns).alias("held_out")))  # one row each
+        parts.append(F.col("held_out"))
+    return card.withColumn("card", F.to_json(F.struct(*parts)))

@@ -1,3 +1,4 @@
+import json
 import math
 import os
 
@@ -239,6 +240,14 @@ def test_dims_are_consistent(spark):
     assert "dim_fuels" in dims.register_views(spark) and spark.table("dim_fuels").count() == 7
 
 
+def test_model_card_carries_settings_and_metrics(spark):
+    rows = spark.createDataFrame([(1, 2019), (1, 2020), (2, 2019)], "imo bigint, reporting_period int")
+    found = json.loads(sinks.model_card(rows, {"trees": 4}, spark.createDataFrame([(3, 12.5)], "n int, mape double")).first()["card"])
+    assert (found["n_rows"], found["n_ships"], found["periods"]) == (3, 2, "2019,2020")
+    assert json.loads(found["params"]) == {"trees": 4} and found["held_out"] == {"n": 3, "mape": 12.5}
+    assert "held_out" not in json.loads(sinks.model_card(rows).first()["card"])
+
+
 def test_digest_ignores_column_order(spark):
     df = spark.createDataFrame([(1, "x")], "b int, a string")
     one = sinks.run_context(df, 1, "s").first()["input_digest"]
