@@ -17,7 +17,9 @@ SAMPLE = [
     "agg_metrics_by_group", "agg_residual_bands", "agg_physics_ols", "agg_wilcoxon", "mdl_predict_interval",
     "ems_totals", "ems_compare", "ems_local_pollutants", "prt_blocking", "prt_shore_power", "tnk_assess", "kpi_assess",
     "flt_score_assignment", "flt_score_plan", "flt_exact_small", "flt_qubo_energy", "par_skyline",
-    "par_constrained_rank", "par_hypervolume_3d", "par_igd", "par_crowding",
+    "par_constrained_rank", "par_hypervolume_3d", "par_igd", "par_crowding", "par_archive_update",
+    "src_period_scan", "sink_panel_refresh", "sink_model_card", "ems_notes", "ems_electrification_series", "flt_scenarios",
+    "flt_scenario_sweep", "flt_scenario_prices", "flt_objective",
 ]
 
 
