@@ -278,3 +278,17 @@ def test_nearly_equal_plans_are_found_across_steps(spark):
     close = lambda x, y: abs(x - y) <= 1e-5 * max(abs(x), abs(y))
     want = {i for i, p in enumerate(points) if any(close(p[0], q[0]) and close(p[1], q[1]) for q in points[:i])}
     assert {r["k"] for r in pareto._nearly_equal(df, ["a", "b"], "k").collect()} == want
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exploded_candidates_are_not_broadcast(spark, tmp_path):
+    # Spark takes the options that an explode makes for as few bytes as the vessels they come from
+    spark.createDataFrame([vessel(k) for k in range(4)], VESSEL).write.parquet(f"{tmp_path}/vessels")  # a table of known size
+    fleets = spark.read.parquet(f"{tmp_path}/vessels").withColumn("instance", F.floor(F.col("vessel_key") / 2).cast("bigint"))
+    out = fleet.exact_small(fleets, TINY, "instance")
+    assert "Broadcast" not in planned(out)
+    assert "Broadcast" not in planned(fleet.qubo_variables(fleets, TINY, "instance"))
+    assert {r["instance"] for r in out.collect()} == {0, 1}
