@@ -320,7 +320,8 @@ def nearest_distance(
     # a dense cell is packed into several tiles, so no list outgrows TILE_ROWS by much
     placed = points.withColumn("_cell", cell([bin_of(c, F.col(c)) for c in objectives]))
     parts = placed.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_parts"))
-    tiles = placed.join(parts, [*by, "_cell"]).groupBy(
+    # everything joined here grows with the points, and Spark takes an explode's rows for as few as it was given: no broadcast
+    tiles = placed.join(parts.hint("merge"), [*by, "_cell"]).groupBy(
         *by, "_cell", F.pmod(F.xxhash64(*objectives), F.col("_parts")).alias("_chunk")
     ).agg(F.collect_list(F.struct(*objectives)).alias("_points"))
 
@@ -338,28 +339,28 @@ def nearest_distance(
         for low, high in ranges:
             span = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(bins - 1)).cast("int"))
             cells = F.flatten(F.transform(cells, _append(span, bins)))
-        met = rows.select(*by, *objectives, F.explode(cells).alias("_cell")).join(tiles, [*by, "_cell"])
+        met = rows.select(*by, *objectives, F.explode(cells).alias("_cell")).join(tiles.hint("merge"), [*by, "_cell"])
         return met.select(*by, *objectives, F.array_min(F.transform("_points", distance)).alias("_d")).groupBy(*by, *objectives).agg(
             F.min("_d").alias("_d"))
 
     def around(radius: int) -> list[tuple[Column, Column]]:
         return [(bin_of(c, F.col(c)) - radius, bin_of(c, F.col(c)) + radius) for c in objectives]
 
-    first, radius = cut_lineage(asked.join(visit(asked, around(1)), [*by, *objectives], "left")), 1
+    first, radius = cut_lineage(asked.join(visit(asked, around(1)).hint("merge"), [*by, *objectives], "left")), 1
     while radius < bins and not (lonely := first.where("_d is null").drop("_d")).isEmpty():
         radius = min(bins, 3 * radius)
         met = first.where("_d is not null")
-        first = cut_lineage(met.unionByName(lonely.join(visit(lonely, around(radius)), [*by, *objectives], "left")))
+        first = cut_lineage(met.unionByName(lonely.join(visit(lonely, around(radius)).hint("merge"), [*by, *objectives], "left")))
     reach = F.col("_d") * (1.0 + 1e-9)
     within = [
         (F.coalesce(bin_of(c, F.col(c) - reach), F.lit(0)), F.coalesce(bin_of(c, F.col(c) + reach), F.lit(bins - 1)))
         for c in objectives
     ]
     nearest = visit(first.where("_d is not null"), within).withColumnRenamed("_d", "nearest")
-    rows = targets.select(key, *by, *vectors).join(nearest, [*by, *objectives], "left")
+    rows = targets.select(key, *by, *vectors).join(nearest.hint("merge"), [*by, *objectives], "left")
     if skip_self:  # a copy elsewhere is at distance zero
         copied = points.where(F.col("_copies") > 1).select(*by, *objectives, F.lit(0.0).alias("_zero"))
-        rows = rows.join(copied, [*by, *objectives], "left").withColumn("nearest", F.coalesce("_zero", "nearest"))
+        rows = rows.join(copied.hint("merge"), [*by, *objectives], "left").withColumn("nearest", F.coalesce("_zero", "nearest"))
     return rows.select(key, *by, "nearest")
 
 

@@ -292,3 +292,8 @@ def test_exploded_candidates_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in planned(out)
     assert "Broadcast" not in planned(fleet.qubo_variables(fleets, TINY, "instance"))
     assert {r["instance"] for r in out.collect()} == {0, 1}
+
+
+def test_nearest_distances_broadcast_nothing_that_grows(spark):
+    rows = spark.range(400).select(F.col("id").alias("plan_id"), *[F.rand(i).alias(c) for i, c in enumerate(OBJ)]).localCheckpoint()
+    assert "Broadcast" not in planned(pareto.nearest_distance(rows, rows, "plan_id", OBJ, skip_self=True))
