@@ -297,3 +297,11 @@ def test_exploded_candidates_are_not_broadcast(spark, tmp_path):
 def test_nearest_distances_broadcast_nothing_that_grows(spark):
     rows = spark.range(400).select(F.col("id").alias("plan_id"), *[F.rand(i).alias(c) for i, c in enumerate(OBJ)]).localCheckpoint()
     assert "Broadcast" not in planned(pareto.nearest_distance(rows, rows, "plan_id", OBJ, skip_self=True))
+
+
+def test_search_spreads_the_rows_of_one_split(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([vessel(k) for k in range(4)], VESSEL).coalesce(1).write.parquet(f"{tmp_path}/vessels")
+    seen, observe = [], search._observe
+    monkeypatch.setattr(search, "_observe", lambda state, *rest: seen.append(state.rdd.getNumPartitions()) or observe(state, *rest))
+    search.search(spark.read.parquet(f"{tmp_path}/vessels"), COASTAL, individuals=2, generations=1)
+    assert seen == [spark.sparkContext.defaultParallelism]
