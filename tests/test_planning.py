@@ -305,3 +305,12 @@ def test_search_spreads_the_rows_of_one_split(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(search, "_observe", lambda state, *rest: seen.append(state.rdd.getNumPartitions()) or observe(state, *rest))
     search.search(spark.read.parquet(f"{tmp_path}/vessels"), COASTAL, individuals=2, generations=1)
     assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_greedy_scores_routes_in_the_row(spark):
+    rows = [vessel(1), vessel(1), vessel(1, hours=300.0), vessel(2, cost=2e8)]  # repeated, and repeated with another value
+    fleets = spark.createDataFrame(rows, VESSEL).withColumn("fleet", F.lit(0).cast("bigint"))
+    out = fleet.greedy(fleets, COASTAL, "fleet")
+    assert "[0,0,1]" not in planned(out)  # no triples of fraction, fuel and route are exploded
+    assert out.groupBy("fraction", "fuel_idx", "vessel").count().where("count > 1").isEmpty()
+    assert out.where("vessel = 'V1' and fuel_idx = 0 and fraction = 10").first()["delivered_t"] > 5e5
