@@ -316,3 +316,11 @@ def test_rewritten_inputs_are_read_again(spark, small_dir, tmp_path):
     rows = pq.read_table(f"{small_dir}/lineitem.parquet")
     pq.write_table(rows.slice(0, rows.num_rows // 2), f"{tmp_path}/lineitem.parquet")
     assert total() < before
+
+
+def test_dedup_sorts_rows_after_they_are_dealt_out(spark):
+    rows = spark.createDataFrame([(1, 2020, "a", "x"), (1, 2020, "b", "x")], "imo long, reporting_period int, file_order string, ship_type string")
+    out = filings.deduplicate(rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Exchange") > plan.rindex("Sort ")  # deeper nodes come later
+    assert [r["file_order"] for r in out.collect()] == ["b"]
