@@ -225,7 +225,7 @@ def merge(typed: DataFrame, root: str, stream: str = "", batch: int | None = Non
         if parts:
             rows = rows.unionByName(_open(spark, root, parts).select(*rows.columns))
         newest = rows.groupBy(_year().alias("_y")).agg(F.max("file_version").alias("_v"))
-        rows = rows.withColumn("_y", _year()).join(newest, "_y").where(F.col("file_version").eqNullSafe(F.col("_v"))).drop("_y", "_v")
+        rows = rows.withColumn("_y", _year()).join(F.broadcast(newest), "_y").where(F.col("file_version").eqNullSafe(F.col("_v"))).drop("_y", "_v")
         held.panel |= _write(filings.deduplicate(rows).withColumn("_part", _year()), root, "panel")
     if batch is not None:
         held.batches[stream] = batch

@@ -324,3 +324,15 @@ def test_dedup_sorts_rows_after_they_are_dealt_out(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("Exchange") > plan.rindex("Sort ")  # deeper nodes come later
     assert [r["file_order"] for r in out.collect()] == ["b"]
+
+
+def test_newest_versions_go_to_the_rows(spark):
+    rows = spark.createDataFrame([(2020, 1, "a"), (2020, 2, "b"), (None, 3, "c"), (2021, 1, "d")], "reporting_period int, file_version int, v string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = filings.latest_version(rows)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # a shuffle by period is a task a period
+    assert sorted(r["v"] for r in out.collect()) == ["b", "d"]
