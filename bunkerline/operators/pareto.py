@@ -26,6 +26,7 @@ FEASIBLE = 1e-9
 CELL_ROWS = 2048
 TILE_ROWS = 2048
 CELL_POINTS = 16
+GUARDS = 64
 
 
 def dominates(a: Sequence[Column], b: Sequence[Column]) -> Column:
@@ -42,7 +43,8 @@ def _front_stream(objectives: list[str], key: str):
     """Emit own rows no earlier row of the same key dominates, once per vector.
 
     Rows of a key arrive in (sum, objectives...) order, in which a dominating row always comes
-    first and equal vectors are neighbours, so the state is the front found so far.
+    first and equal vectors are neighbours, so the state is the front found so far. Many rows at a time
+    first meet a few strong points of it, and what is left the whole of it.
     """
     def keep(window: list[np.ndarray], points: np.ndarray) -> np.ndarray:
         alive = np.ones(len(points), dtype=bool)
@@ -57,27 +59,43 @@ def _front_stream(objectives: list[str], key: str):
                 alive[np.flatnonzero(alive)[(no_worse & better).any(axis=1)]] = False
         return alive
 
+    def strong(front: np.ndarray) -> np.ndarray:
+        """A few points of the front: those with the most room above them, and some along the first objective."""
+        if len(front) <= GUARDS:
+            return front
+        with np.errstate(invalid="ignore", over="ignore"):
+            room = np.nan_to_num(np.prod((front.max(axis=0) - front) / np.maximum(np.ptp(front, axis=0), 1e-300), axis=1))
+        along = np.argsort(front[:, 0])[:: -(-2 * len(front) // GUARDS)]
+        return front[np.union1d(np.argsort(-room)[: GUARDS // 2], along)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, window, last = None, [], None
+        current, window, last, guards, size = None, [], None, None, 0
         for batch in batches:
             for value, rows in batch.groupby(key, sort=False):
                 if value != current:
-                    current, window, last = value, [], None
+                    current, window, last, guards, size = value, [], None, None, 0
                 vectors = rows[objectives].to_numpy(dtype="float64")
                 fresh = np.ones(len(vectors), dtype=bool)
                 fresh[1:] = (vectors[1:] != vectors[:-1]).any(axis=1)
                 fresh[0] = last is None or bool((vectors[0] != last).any())
                 last, rows = vectors[-1], rows[fresh]
-                for start in range(0, len(rows), 256):
-                    chunk = rows.iloc[start:start + 256]
-                    points = chunk[objectives].to_numpy(dtype="float64")
-                    alive = keep(window, points)
-                    alive[alive] = keep([points[alive]], points[alive])
-                    if alive.any():
-                        window.append(points[alive])
-                        yield chunk[alive & chunk["_own"].to_numpy(dtype=bool)]
-                if len(window) > 8:
-                    window = [np.concatenate(window)]
+                for begin in range(0, len(rows), 4096):
+                    some = rows.iloc[begin:begin + 4096]
+                    found = sum(map(len, window))
+                    if found > 1.25 * size:
+                        guards, size = strong(np.concatenate(window)), found
+                    if guards is not None:
+                        some = some[keep([guards], some[objectives].to_numpy(dtype="float64"))]
+                    for start in range(0, len(some), 256):
+                        chunk = some.iloc[start:start + 256]
+                        points = chunk[objectives].to_numpy(dtype="float64")
+                        alive = keep(window, points)
+                        alive[alive] = keep([points[alive]], points[alive])
+                        if alive.any():
+                            window.append(points[alive])
+                            yield chunk[alive & chunk["_own"].to_numpy(dtype=bool)]
+                    if len(window) > 8:
+                        window = [np.concatenate(window)]
 
     return run
 
@@ -92,13 +110,14 @@ def _drop_beaten(vectors: DataFrame, objectives: list[str], grouped: bool) -> Da
     """Drop rows beaten by a few strong rows, before anything is sorted or leaves the JVM.
 
     The strong rows are one aggregate: the best in each objective and the best geometric mean.
-    They are real rows of the data, so whatever they dominate cannot be on the front.
+    They are real rows of the data, so whatever they dominate cannot be on the front. One row a group goes to the rows: a shuffle
+    would bring each group's rows to one task, and the fronts of partitions would be fronts of groups.
     """
     vector = F.struct(*objectives)
     mean = reduce(lambda a, b: a + b, [F.ln(F.greatest(F.col(c), F.lit(1e-300))) for c in objectives])
     best = [F.min_by(vector, by).alias(f"_p{i}") for i, by in enumerate([mean, *[F.struct(c, *objectives) for c in objectives]])]
     pivots = vectors.groupBy("_key").agg(*best) if grouped else vectors.agg(*best).withColumn("_key", F.lit(""))
-    rows = vectors.join(pivots if grouped else F.broadcast(pivots), "_key")
+    rows = vectors.join(F.broadcast(pivots), "_key")
     for i in range(len(best)):
         rows = rows.where(~dominates([F.col(f"_p{i}.{c}") for c in objectives], [F.col(c) for c in objectives]))
     return rows.select(*vectors.columns)

@@ -314,3 +314,25 @@ def test_greedy_scores_routes_in_the_row(spark):
     assert "[0,0,1]" not in planned(out)  # no triples of fraction, fuel and route are exploded
     assert out.groupBy("fraction", "fuel_idx", "vessel").count().where("count > 1").isEmpty()
     assert out.where("vessel = 'V1' and fuel_idx = 0 and fraction = 10").first()["delivered_t"] > 5e5
+
+
+def test_strong_rows_of_groups_go_to_the_rows(spark):
+    rows = spark.range(1000).selectExpr("cast(id % 3 as string) as _key", "cast(id as double) as a", "cast(-id as double) as b", "true as _own")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = planned(pareto._drop_beaten(rows, ["a", "b"], True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan  # a shuffle by group is a task a group
+
+
+def test_front_stream_meets_few_points_first(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 60, (3000, 3)).astype(float)
+    pdf = pd.DataFrame(points, columns=["a", "b", "c"]).sort_values(["a", "b", "c"], ignore_index=True)
+    pdf = pdf.assign(_sum=pdf.sum(axis=1), _own=True, _key="").sort_values(["_sum", "a", "b", "c"], ignore_index=True)
+    monkeypatch.setattr(pareto, "GUARDS", 4)
+    out = pd.concat(pareto._front_stream(["a", "b", "c"], "_key")(pdf.iloc[i:i + 500] for i in range(0, 3000, 500)))
+    unique = np.unique(points, axis=0)
+    worse = ((unique[:, None] >= unique[None]).all(axis=2) & (unique[:, None] > unique[None]).any(axis=2)).any(axis=1)
+    assert {tuple(v) for v in out[["a", "b", "c"]].to_numpy()} == {tuple(v) for v in unique[~worse]} and len(out) == (~worse).sum()
