@@ -1,4 +1,6 @@
+import re
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -336,3 +338,19 @@ def test_front_stream_meets_few_points_first(spark, monkeypatch):
     unique = np.unique(points, axis=0)
     worse = ((unique[:, None] >= unique[None]).all(axis=2) & (unique[:, None] > unique[None]).any(axis=2)).any(axis=1)
     assert {tuple(v) for v in out[["a", "b", "c"]].to_numpy()} == {tuple(v) for v in unique[~worse]} and len(out) == (~worse).sum()
+
+
+def test_scenarios_are_added_up_where_a_plans_vessels_are(spark):
+    from bunkerline.plans import catalog  # noqa: F401  registers the queries
+    from bunkerline.plans.registry import QUERIES
+
+    names = VESSEL.replace("compatible_routes array<string>", "compatible_routes_text string").replace("compatible_fuels array<string>", "compatible_fuels_text string")
+    views = {
+        "v_vessel": spark.createDataFrame([vessel(k) for k in range(4)], names),
+        "v_plan": spark.createDataFrame([(p, k, f"V{k}", k % 3, (p or 0) % 4, 10.0) for p in (1, 2, None) for k in range(4)],
+                                        "plan_id long, vessel_key long, vessel string, route_idx int, fuel_idx int, speed_kn double")}
+    for name in ("flt_scenario_sweep", "flt_scenario_prices"):
+        out = QUERIES[name](SimpleNamespace(view=views.get))
+        plan = planned(out)
+        assert "hashpartitioning(plan_id" in plan and not re.search(r"hashpartitioning\(plan_id[^)]*scenario", plan)
+        assert {(r["scenario"], r["n"]) for r in out.collect()} == {("coastal", 3), ("capped", 3), ("cheap_lng", 3)}
