@@ -265,7 +265,8 @@ def _compare_pairs(pairs: DataFrame, at_least: Fraction) -> DataFrame:
 
 def _candidates(index: DataFrame, at_least: Fraction) -> DataFrame:
     """Edges (u, v) that join all nodes that may be linked."""
-    singles = index.select(F.explode("singles").alias("key"), "node").repartition("key")  # rare tokens: no key is large; dealt out once for both uses
+    # rare tokens: no key is large; without nulls from the start, so that the join adds no filter and the rows are dealt out once for both uses
+    singles = index.where("node is not null").select(F.explode("singles").alias("key"), "node").where("key is not null").repartition("key")
     h = F.xxhash64("node")
     sums = [F.sum(h.bitwiseAND(F.lit(0x7FFFFFFF))).alias("s1"), F.sum(F.shiftrightunsigned(h, 33)).alias("s2")]
     met = singles.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("c"), *sums).where("u <> v")
@@ -281,6 +282,19 @@ def _candidates(index: DataFrame, at_least: Fraction) -> DataFrame:
     return twos.unionByName(_compare(postings, at_least)).unionByName(stars)
 
 
+def _only(rows: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose id may be among the wanted ones: the bits of a table of fixed size say so, and what else they let through falls to a join.
+
+    The table is cut into pieces, a row each, and no row moves for it.
+    """
+    place = lambda column: F.pmod(column, F.lit(CELLS)).cast("long")
+    marks = wanted.select(place(F.col(id_col)).alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    bit = F.bitmap_bit_position(place(F.col(id_col)))
+    octet = F.conv(F.hex(F.expr("substring(_bits, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("long")
+    told = rows.withColumns({"_bit": bit, "_at": F.bitmap_bucket_number(place(F.col(id_col)))})
+    return told.join(F.broadcast(marks), (F.col("_at") == F.col("_piece")) & (octet.bitwiseAND(F.expr("shiftleft(1L, cast(_bit % 8 as int))")) != 0), "left_semi").drop("_bit", "_at")
+
+
 def verify(nodes: list[bytes], sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, at_least: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """For a cluster: each node's place of a root among linked ones, and the copies its links lead to.
 
@@ -366,7 +380,7 @@ def join_texts(docs: DataFrame, width: int = 3, at_least: Fraction = Fraction(9,
     members = clusters.withColumnRenamed("node", "short").join(classes, "short")
     sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
     members = members.join(sizes, "root").select(F.xxhash64("carrier").alias("_id"), "root", "blocks", "node", "copies")
-    placed = plain.select(F.xxhash64("doc_id").alias("_id"), "text").join(members, "_id")
+    placed = _only(plain.select(F.xxhash64("doc_id").alias("_id"), "text"), "_id", members).join(members, "_id")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = placed.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from bunkerline.llm import ngram_join as nj
 from bunkerline.llm.components import components
@@ -117,3 +118,29 @@ def test_whole_table(spark, small_dir):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"]), r["links"]) for r in QUERIES["op3_ngram_join"](spark, small_dir).collect())
     want = brute(docs, 3, 9, 10)
     assert got == want and any(c != d for d, _, c, _ in want)
+
+
+def test_only_wanted_ids_move(spark):
+    """Every row of a wanted id stays, and few others, whatever the signs of the ids."""
+    rows = spark.range(-5000, 5000).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.xxhash64("id")).alias("_id"), F.lit("t").alias("text"))
+    wanted = rows.where("_id % 10 = 0").select("_id")
+    got = nj._only(rows, "_id", wanted)
+    assert got.columns == ["_id", "text"]
+    kept, want = [r[0] for r in got.collect()], [r[0] for r in wanted.collect()]
+    assert set(want) <= set(kept) and len(kept) == len(set(kept)) <= len(want) + 50
+    assert nj._only(rows, "_id", wanted.where("_id is null")).count() == 0
+
+
+def test_rare_tokens_are_dealt_out_once(spark, tmp_path):
+    rows = [(k, 9, b"\xff" * 8, [k // 3, 7, 8], [k]) for k in range(30)]
+    spark.createDataFrame(rows, "node long, n long, bits binary, singles array<long>, pairs array<long>").write.parquet(f"{tmp_path}/index")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("false", "-1")):
+        spark.conf.set(k, v)
+    try:
+        plan = nj._candidates(spark.read.parquet(f"{tmp_path}/index"), Fraction(4, 5))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # the rows for both uses, and what is compared under a key
+    assert sum("REPARTITION_BY_COL" in line and "ReusedExchange" not in line for line in plan.split("\n")) == 2

@@ -58,6 +58,35 @@ def test_near_copies(stages):
     assert [str(d) for d in ids(stages[2])] == sorted((c for d, _, c, _ in groups if d == c), key=int)
 
 
+def exchanges(plan):
+    """The columns of every shuffle that a plan starts out with."""
+    plan = plan.initialPlan() if hasattr(plan, "initialPlan") and plan.nodeName() == "AdaptiveSparkPlan" else plan
+    names = [plan.output().apply(i).name() for i in range(plan.output().size())]
+    own = [names] if plan.nodeName() == "Exchange" else []
+    return own + [e for i in range(plan.children().size()) for e in exchanges(plan.children().apply(i))]
+
+
+def test_near_copies_move_texts_once(spark, small_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = cp.join_near(spark, spark.read.parquet(f"{small_dir}/documents.parquet"), small_dir)
+        assert sum("text" in names for names in exchanges(out._jdf.queryExecution().executedPlan())) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_near_copies_of_repeated_rows_and_ids(spark, tmp_path):
+    """Rows that repeat entirely stay once, rows of one id with other texts or columns all stay, rows without an id too."""
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    rows = [(5, text, "en", None, 1), (5, text, "en", None, 1), (5, text, "de", None, 1), (5, other, "en", "s", None), (5, other, "en", "s", None), (9, text, "en", None, 1), (None, text, "en", None, 1), (None, text, "en", None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/rows")
+    got = cp.join_near(spark, spark.read.parquet(f"{tmp_path}/rows"), "")
+    own = cp.ngram_join.join_texts(spark.read.parquet(f"{tmp_path}/rows"), 5, cp.Fraction(4, 5)).where("component_id = doc_id").select("doc_id").distinct().collect()
+    want = Counter(dict.fromkeys([r for r in set(rows) if r[0] in {d[0] for d in own}], 1)) + Counter(r for r in rows if r[0] is None)
+    assert Counter(tuple(r) for r in got.collect()) == want and len(want) >= 3
+
+
 def test_repeats(stages):
     texts = [r["text"].encode() for r in stages[2]]
     got = {r["doc_id"]: r for r in stages[3]}
