@@ -111,10 +111,12 @@ def edited(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_id, edited) of documents (doc_id, text): the last half of the characters gives way to the start of the next document."""
     following = next_ids(docs)
     half = docs.groupBy("doc_id").agg(F.max(F.floor(F.char_length("text") / 2)).cast("int").alias("half"))
-    links = following.join(half, following["doc_id"].eqNullSafe(half["doc_id"])).select(following["doc_id"].alias("to"), "next_id", "half")
-    parts = docs.join(links, docs["doc_id"].eqNullSafe(links["next_id"])).select("to", "next_id", F.expr("left(text, half)").alias("part"))
-    parts = parts.groupBy("to", "next_id").agg(F.min("part").alias("part"))
-    joined = docs.join(parts, docs["doc_id"].eqNullSafe(parts["to"]))
+    links = following.join(half, following["doc_id"].eqNullSafe(half["doc_id"])).select(F.struct(following["doc_id"]).alias("to"), F.struct(F.col("next_id").alias("doc_id")).alias("next"), "half")
+    # a struct equals another whose field is null too; an id is the next one of one id only, so the join's own partitions hold the groups
+    keyed = docs.select(F.struct("doc_id").alias("key"), "text")
+    parts = keyed.join(links, keyed["key"] == links["next"]).select("to", "next", F.expr("left(text, half)").alias("part"))
+    parts = parts.groupBy("next").agg(F.min("to").alias("to"), F.min("part").alias("part"))
+    joined = keyed.join(parts, keyed["key"] == parts["to"]).select("key.doc_id", "text", F.col("next.doc_id").alias("next_id"), "part")
     kept = F.expr("concat(left(text, cast(char_length(text) - floor(char_length(text) / 2) as int)), left(part, cast(floor(char_length(text) / 2) as int)))")
     return joined.select("doc_id", "text", "next_id", kept.alias("edited"))
 

@@ -73,6 +73,25 @@ def test_odd_rows(spark):
     assert imatch.compare(docs.limit(1)).count() == 1
 
 
+def test_texts_and_parts_of_texts_move_once_each(spark):
+    def moved(plan):
+        own = plan.nodeName() == "Exchange" and any(plan.output().apply(i).dataType().simpleString() == "string" for i in range(plan.output().size()))
+        return own + sum(moved(plan.children().apply(i)) for i in range(plan.children().size()))
+
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = imatch.edited(spark.createDataFrame([(None, "gh"), (1, "abcd"), (1, "abca"), (2, "xyz")], "doc_id long, text string"))
+        rows = sorted((tuple(r) for r in out.collect()), key=str)
+        assert moved(out._jdf.queryExecution().executedPlan()) == 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert rows == [(1, "abca", 2, "abxy"), (1, "abcd", 2, "abxy"), (2, "xyz", None, "xyg"), (None, "gh", 1, "ga")]
+
+
 def test_one_term_changes_one_part_whatever_the_number_of_terms(spark):
     sizes = (95, 96, 191, 192, 384)
     rows = [(i, " ".join(f"t{n}x{k}" for k in range(n + more))) for i, (n, more) in enumerate((n, more) for n in sizes for more in (0, 1, 1))]
