@@ -187,3 +187,24 @@ def test_population_search_takes_the_whole_fleet_and_the_defaults(spark, small_d
     QUERIES["flt_population_search"](t)
     assert asked["vessels"].count() == fitting.vessels(t).count()
     assert asked["scenario"] == COASTAL and (asked["individuals"], asked["generations"]) == (20, 60)
+
+
+def test_models_of_more_rows_than_a_task_holds_use_all_of_them(spark, monkeypatch):
+    """Spread over blocks, each with its own draws of rows and rows to see, models are those of a task that holds all rows."""
+    df = planted(spark, 2400).withColumn("fold", (F.col("imo") % 3).cast("int")).repartition(3).persist()
+    settings = boosting.Settings(trees=8, depth=4, rate=0.3, columns=0.5, monotone=learning.DECREASING)
+    models = {"a": (settings, F.col("fold") != 0), "b": (boosting.with_settings(settings, trees=5, depth=3, subsample=0.6), F.col("fold") != 1)}
+    monkeypatch.setattr(boosting, "KEPT_TREES", 3)
+    monkeypatch.setattr(boosting, "RECORD_NODES", 3)
+    held, spread = learning.fit_tree_models(df, models), learning.fit_tree_models(df, models, most=500)
+    monkeypatch.setattr(boosting, "SENT_BYTES", 0)
+    added = learning.fit_tree_models(df, models, most=500)
+    fold_rows = {"a": df.where("target > 0 and fold != 0").count(), "b": df.where("target > 0 and fold != 1").count()}
+    codes, _, _ = boosting.sample(df.where("target > 0"), F.col("imo"), F.ln("target"), F.lit(1), held["a"].bins)
+    for name in models:
+        assert len(spread[name].trees) == len(held[name].trees) == len(added[name].trees)
+        root = np.array([t.rows[0] for t in spread[name].trees])
+        assert np.allclose(root / fold_rows[name], models[name][0].subsample, atol=0.06)
+        assert spread[name].base == pytest.approx(held[name].base)
+        for other in (held, added):
+            assert np.mean(np.abs(spread[name].score(codes) - other[name].score(codes)) > 1e-9) < 0.02  # ties of splits may fall otherwise
