@@ -208,3 +208,15 @@ def test_models_of_more_rows_than_a_task_holds_use_all_of_them(spark, monkeypatc
         assert spread[name].base == pytest.approx(held[name].base)
         for other in (held, added):
             assert np.mean(np.abs(spread[name].score(codes) - other[name].score(codes)) > 1e-9) < 0.02  # ties of splits may fall otherwise
+
+
+def test_search_on_more_rows_than_a_task_holds_uses_all_of_them(spark):
+    df = planted(spark, 1200).withColumn("fold", (F.col("imo") % 3).cast("int")).persist()
+    candidates = {"good": {"trees": 6, "rate": 0.3, "depth": 3}, "refused": {"rate": 0.0}, "short": {"trees": 2, "rate": 0.5, "depth": 2.0}}
+    held, spread = ({(r["candidate"], r["fold"]): r for r in learning.tune(df, candidates, **rows).collect()} for rows in ({}, {"held": 400}))
+    assert set(held) == set(spread) and len(spread) == 9
+    for key, r in spread.items():
+        assert (r["trees"], r["error"] is None) == (held[key]["trees"], held[key]["error"] is None) == ((6, True) if key[0] == "good" else (0, False))
+        assert r["mape"] == pytest.approx(held[key]["mape"], rel=1e-3)
+    trials = learning.Trials(df, 3)
+    assert len(trials.data.value[1]) == df.where("target > 0").count()
