@@ -25,7 +25,7 @@ from bunkerline.session import cut_lineage
 FEASIBLE = 1e-9
 CELL_ROWS = 2048
 TILE_ROWS = 2048
-CELL_POINTS = 16
+CELL_POINTS = 512
 GUARDS = 64
 
 
@@ -306,8 +306,37 @@ def hypervolume_3d(front: DataFrame, objectives: Sequence[str], reference: Seque
     return parts.agg(F.coalesce(F.sum("volume"), F.lit(0.0)).alias("hypervolume"))
 
 
-def _append(span: Column, bins: int):
-    return lambda base: F.transform(span, lambda b: base * bins + b)
+def _nested_cuts(points: DataFrame, objectives: Sequence[str], bins: int) -> list[np.ndarray]:
+    """Cut points of nested equi-depth boxes, boxes so far x cuts: of the first objective over all points, of each next one within each box so far."""
+    share, tables = [i / bins for i in range(1, bins)], []
+    for i, c in enumerate(objectives):
+        table = np.full((bins**i, bins - 1), np.inf)
+        if share:
+            placed = _in_boxes(points.select(*objectives), objectives[:i], tables, bins)
+            for box, cuts in placed.groupBy("_box").agg(F.percentile_approx(c, share, 10000)).collect():  # a row for bins * CELL_POINTS points or more
+                table[box] = cuts
+        tables.append(table)
+    return tables
+
+
+def _in_boxes(rows: DataFrame, objectives: Sequence[str], tables: Sequence[np.ndarray], bins: int, reach: Column | None = None) -> DataFrame:
+    """A row for the box of each row, or with a reach for each box that may hold a point so near."""
+    schema = rows.withColumn("_box", F.lit(0).cast("long")).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin in range(0, len(batch), 4096):
+                some = batch.iloc[begin:begin + 4096]
+                at, box = np.arange(len(some)), np.zeros(len(some), np.int64)
+                for c, cuts in zip(objectives, tables):
+                    value, off = some[c].to_numpy(dtype="float64")[at], some["_reach"].to_numpy(dtype="float64")[at]
+                    low, high = ((cuts[box] <= edge[:, None]).sum(axis=1) for edge in (value - off, value + off))
+                    wide = np.maximum(high - low, 0) + 1
+                    at, box, low = np.repeat(at, wide), np.repeat(box, wide), np.repeat(low, wide)
+                    box = box * bins + low + np.arange(len(at)) - np.repeat(np.cumsum(wide) - wide, wide)
+                yield some.iloc[at].drop(columns="_reach").assign(_box=box)
+
+    return rows.withColumn("_reach", F.lit(0.0) if reach is None else reach).mapInPandas(run, schema)
 
 
 def nearest_distance(
@@ -315,68 +344,63 @@ def nearest_distance(
 ) -> DataFrame:
     """Distance from each target to its nearest found point, exactly, among those of the same ``by`` if given.
 
-    Equal vectors are handled once. Found points lie in an equi-depth grid; a target first looks
-    at the cells around its own, then wider and wider until it has met a point, then at every cell its best distance
-    so far can still reach. Groups share the grid and the jobs.
+    Equal vectors are handled once. Found points lie in nested equi-depth boxes, which follow them where objectives depend on each other. A target
+    first meets the points of its own box, which bounds its distance, then those of the boxes that it can still reach; most reach no other.
+    A target without points in its box is bounded by a few points of its group. Groups share the boxes and the jobs.
     """
     objectives, by = list(objectives), list(by)
-    d = len(objectives)
-    vectors = [F.col(c).cast("double").alias(c) for c in objectives]
+    vectors, group = [F.col(c).cast("double").alias(c) for c in objectives], F.to_json(F.struct(*by)) if by else F.lit("")
     points = cut_lineage(found.select(*by, *vectors).groupBy(*by, *objectives).agg(F.count(F.lit(1)).alias("_copies")))
-    asked = targets.select(*by, *vectors).dropDuplicates()
-    bins = max(1, int((points.count() / CELL_POINTS) ** (1.0 / d)))
-    share = [i / bins for i in range(1, bins)]
-    cuts = points.agg(*[F.percentile_approx(c, share, 10000).alias(c) for c in objectives]).first() if share else None
-
-    def bin_of(c: str, value: Column) -> Column:
-        if cuts is None or cuts[c] is None:
-            return F.lit(0)
-        return F.size(F.filter(F.lit([float(v) for v in cuts[c]]), lambda e: e <= value))
-
-    def cell(parts: Sequence[Column]) -> Column:
-        return reduce(lambda a, b: a * bins + b, parts)
-
-    # a dense cell is packed into several tiles, so no list outgrows TILE_ROWS by much
-    placed = points.withColumn("_cell", cell([bin_of(c, F.col(c)) for c in objectives]))
-    parts = placed.groupBy(*by, "_cell").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_parts"))
-    # everything joined here grows with the points, and Spark takes an explode's rows for as few as it was given: no broadcast
-    tiles = placed.join(parts.hint("merge"), [*by, "_cell"]).groupBy(
-        *by, "_cell", F.pmod(F.xxhash64(*objectives), F.col("_parts")).alias("_chunk")
-    ).agg(F.collect_list(F.struct(*objectives)).alias("_points"))
+    there = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by] + [F.abs(c) < float("inf") for c in objectives])
+    finite = points.where(there).select(group.alias("_key"), *objectives)
+    asked = targets.select(group.alias("_key"), *vectors).dropna(subset=objectives).dropDuplicates()
+    bins = max(1, int((points.count() / CELL_POINTS) ** (1.0 / len(objectives))))
+    cuts = _nested_cuts(finite, objectives, bins)
+    placed = cut_lineage(_in_boxes(finite, objectives, cuts, bins))
+    # a box that ties make dense is dealt out over several tasks
+    boxes = cut_lineage(placed.groupBy("_key", "_box").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias("_parts"), F.min(F.struct(*objectives)).alias("_point")))
+    parts = boxes.select("_key", "_box", "_parts")
+    tiles = cut_lineage(placed.join(parts.hint("merge"), ["_key", "_box"]).select(
+        "_key", "_box", F.pmod(F.xxhash64(*objectives), F.col("_parts")).alias("_part"), F.lit(False).alias("_asks"), *objectives))
+
+    def measure(rows: pd.DataFrame) -> pd.DataFrame:
+        asks = rows["_asks"].to_numpy(dtype=bool)
+        own, meets = rows.loc[asks, ["_key", *objectives]], rows.loc[~asks, objectives].to_numpy(dtype="float64").T
+        values, out = own[objectives].to_numpy(dtype="float64").T, np.full(len(own), np.nan)
+        for begin in range(0, len(own) if meets.shape[1] else 0, 256):
+            some, gap = values[:, begin:begin + 256], 0.0
+            with np.errstate(invalid="ignore", over="ignore"):
+                for v, m in zip(some, meets):
+                    gap = gap + (v[:, None] - m[None, :]) ** 2
+            if skip_self:
+                i, j = np.nonzero(gap == 0)
+                same = (some[:, i] == meets[:, j]).all(axis=0)
+                gap[i[same], j[same]] = np.nan
+            out[begin:begin + 256] = np.sqrt(np.fmin.reduce(gap, axis=1))
+        return own.assign(_d=out)[~np.isnan(out)]
+
+    def visit(rows: DataFrame) -> DataFrame:
+        sent = rows.join(parts.hint("merge"), ["_key", "_box"]).select(
+            "_key", "_box", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(True).alias("_asks"), *objectives)
+        schema = "_key string, " + ", ".join(f"`{c}` double" for c in objectives) + ", _d double"
+        met = tiles.unionByName(sent).groupBy("_key", "_box", "_part").applyInPandas(measure, schema)
+        return met.groupBy("_key", *objectives).agg(F.min("_d").alias("_d"))
 
     def gap(p: Column) -> Column:
-        return F.sqrt(reduce(lambda a, b: a + b, [(p[c] - F.col(c)) * (p[c] - F.col(c)) for c in objectives]))
-
-    def distance(p: Column) -> Column:
-        if not skip_self:
-            return gap(p)
-        same = reduce(lambda a, b: a & b, [p[c] == F.col(c) for c in objectives])
-        return F.when(~same, gap(p))
-
-    def visit(rows: DataFrame, ranges: Sequence[tuple[Column, Column]]) -> DataFrame:
-        cells = F.array(F.lit(0).cast("int"))
-        for low, high in ranges:
-            span = F.sequence(F.greatest(low, F.lit(0)).cast("int"), F.least(high, F.lit(bins - 1)).cast("int"))
-            cells = F.flatten(F.transform(cells, _append(span, bins)))
-        met = rows.select(*by, *objectives, F.explode(cells).alias("_cell")).join(tiles.hint("merge"), [*by, "_cell"])
-        return met.select(*by, *objectives, F.array_min(F.transform("_points", distance)).alias("_d")).groupBy(*by, *objectives).agg(
-            F.min("_d").alias("_d"))
-
-    def around(radius: int) -> list[tuple[Column, Column]]:
-        return [(bin_of(c, F.col(c)) - radius, bin_of(c, F.col(c)) + radius) for c in objectives]
-
-    first, radius = cut_lineage(asked.join(visit(asked, around(1)).hint("merge"), [*by, *objectives], "left")), 1
-    while radius < bins and not (lonely := first.where("_d is null").drop("_d")).isEmpty():
-        radius = min(bins, 3 * radius)
-        met = first.where("_d is not null")
-        first = cut_lineage(met.unionByName(lonely.join(visit(lonely, around(radius)).hint("merge"), [*by, *objectives], "left")))
-    reach = F.col("_d") * (1.0 + 1e-9)
-    within = [
-        (F.coalesce(bin_of(c, F.col(c) - reach), F.lit(0)), F.coalesce(bin_of(c, F.col(c) + reach), F.lit(bins - 1)))
-        for c in objectives
-    ]
-    nearest = visit(first.where("_d is not null"), within).withColumnRenamed("_d", "nearest")
-    rows = targets.select(key, *by, *vectors).join(nearest.hint("merge"), [*by, *objectives], "left")
+        off = F.sqrt(reduce(lambda a, b: a + b, [(p[c] - F.col(c)) * (p[c] - F.col(c)) for c in objectives]))
+        return F.when(~reduce(lambda a, b: a & b, [p[c] == F.col(c) for c in objectives]), off) if skip_self else off
+
+    at_home = cut_lineage(_in_boxes(asked, objectives, cuts, bins))
+    first = cut_lineage(at_home.join(visit(at_home).hint("merge"), ["_key", *objectives], "left").select("_key", *objectives, "_d", F.col("_box").alias("_home")))
+    lonely = first.where("_d is null").select("_key", *objectives)
+    ranked = boxes.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_box")))).where(F.col("_nth") <= GUARDS)
+    few = ranked.groupBy("_key").agg(F.collect_list("_point").alias("_few"))  # GUARDS points a group
+    bounded = lonely.join(few.hint("merge"), "_key").select("_key", *objectives, F.array_min(F.transform("_few", gap)).alias("_d"), F.lit(-1).cast("long").alias("_home"))
+    bound = cut_lineage(first.unionByName(bounded).where("_d is not null"))
+    further = _in_boxes(bound, objectives, cuts, bins, F.col("_d") * (1.0 + 1e-9)).where("_box <> _home").select("_key", "_box", *objectives)
+    nearest = bound.join(visit(further).withColumnRenamed("_d", "_other").hint("merge"), ["_key", *objectives], "left").select(
+        "_key", *objectives, F.least("_d", "_other").alias("nearest"))
+    rows = targets.select(key, *by, *vectors).withColumn("_key", group).join(nearest.hint("merge"), ["_key", *objectives], "left").drop("_key")
     if skip_self:  # a copy elsewhere is at distance zero
         copied = points.where(F.col("_copies") > 1).select(*by, *objectives, F.lit(0.0).alias("_zero"))
         rows = rows.join(copied.hint("merge"), [*by, *objectives], "left").withColumn("nearest", F.coalesce("_zero", "nearest"))

@@ -354,3 +354,23 @@ def test_scenarios_are_added_up_where_a_plans_vessels_are(spark):
         plan = planned(out)
         assert "hashpartitioning(plan_id" in plan and not re.search(r"hashpartitioning\(plan_id[^)]*scenario", plan)
         assert {(r["scenario"], r["n"]) for r in out.collect()} == {("coastal", 3), ("capped", 3), ("cheap_lng", 3)}
+
+
+def test_nearest_distances_in_boxes_that_follow_a_front(spark, monkeypatch):
+    """Objectives that fall with each other, ties and copies: boxes stay small, most targets meet one, and distances are exact."""
+    monkeypatch.setattr(pareto, "CELL_POINTS", 20)
+    monkeypatch.setattr(pareto, "TILE_ROWS", 15)
+    rng = np.random.default_rng(4)
+    a = rng.uniform(1, 100, 600)
+    points = np.stack((a, 1000 / a + rng.normal(size=600) * 0.01, np.where(a < 50, 7.0, rng.integers(0, 3, 600))), axis=1)
+    points[-20:] = points[:20]
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)] + [(600, 3.0, None, 1.0)], "id long, x double, y double, z double")
+    got = {r["id"]: r["nearest"] for r in pareto.nearest_distance(df, df, "id", ["x", "y", "z"], skip_self=True).collect()}
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)) + np.diag(np.full(600, np.inf))
+    assert got.pop(600) is None and [got[i] for i in range(600)] == pytest.approx(gaps.min(axis=1).tolist())
+    known = df.where("y is not null").select("x", "y", "z").distinct()
+    bins = 3
+    cuts = pareto._nested_cuts(known, ["x", "y", "z"], bins)
+    home = pareto._in_boxes(known, ["x", "y", "z"], cuts, bins)
+    assert max(r["count"] for r in home.groupBy("_box").count().collect()) < 100 and home.count() == known.count()
+    assert pareto._in_boxes(known, ["x", "y", "z"], cuts, bins, F.lit(0.01)).count() < 4 * known.count()  # of 27
